@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard
+from . import jaccard, secret_scan, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,22 @@ def query(f):
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(spark, table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7, folds=3, fold=1)
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_scan(spark, table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("findings", lambda x: (x.kind == kind) & (x.depth == 0))).cast("long").alias(f"n_{kind}")
+
+    def spans(findings):
+        return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+
+    base = F.filter("findings", lambda x: x.depth == 0)
+    return found.select("doc_id", *(count(k) for k in secret_scan.KINDS), F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans"))
