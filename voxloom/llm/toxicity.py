@@ -308,3 +308,16 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, thre
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", held_out(folds, fold).alias("held_out"), "text")
     scored = rows.mapInArrow(_score_task(shared), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, fold: int = 1) -> DataFrame:
+    """The rows of ``docs`` whose text scores under ``threshold``, all columns as they were."""
+    weights, _ = toxicity_model(spark, docs, labels, folds, fold)
+    shared = spark.sparkContext.broadcast(weights)
+
+    def run(batches):
+        for batch in batches:
+            scores = [linear(data, bounds, shared.value) for data, bounds in batches_of(batch.column("text"))]
+            yield batch.filter(pa.array(np.concatenate(scores) < threshold)) if scores else batch
+
+    return docs.mapInArrow(run, docs.schema)
