@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, packing, secret_scan, toxicity
-from .common import table
+from . import ann, decontam, jaccard, langid, packing, quality, secret_scan, tokens, toxicity, warc
+from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,11 +19,32 @@ def query(f):
     return f
 
 
+@query
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = scratch(spark, "tokens")
+    tokens.encode_corpus(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out, end_id=2)
+    return tokens.read_corpus(spark, out, digest=True)
+
+
+@query
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(spark, table(spark, sf_dir, "embeddings"), queries="vec_id % 50 = 0", k=5)
+
+
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(spark, table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "warc")
+    warc.write_warc(spark, table(spark, sf_dir, "pages"), out)
+    return warc.archived(warc.read_warc(spark, out, payload=False))
+
+
 @query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.benchmark_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -34,6 +55,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7, folds=3, fold=1)
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(spark, table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(spark, table(spark, sf_dir, "documents"))
@@ -51,3 +77,21 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("findings", lambda x: x.depth == 0)
     return found.select("doc_id", *(count(k) for k in secret_scan.KINDS), F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans"))
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_language(spark, table(spark, sf_dir, "documents"), folds=4, fold=2)
+
+
+ORACLE_SQL["op4_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), f AS (
+  SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h
+)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, sha256(p.h) AS payload_digest,
+       CASE WHEN f.first < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first < p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h AND p.n >= 100
+"""
