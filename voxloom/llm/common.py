@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS_PER_BATCH = "2000"
 
@@ -65,6 +66,15 @@ def drop(spark: SparkSession, *frames: DataFrame) -> None:
         remove(spark, df._voxloom_path)
 
 
+#: The most rows of a few numbers each that are broadcast (under 64 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def fits(df: DataFrame) -> DataFrame:
+    """``df`` for a broadcast if it has at most BROADCAST_ROWS rows, else as it is: the join then shuffles."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 # --- words and shingles of a batch of texts, as 64-bit hashes -------------------------------------
 
 _U = np.uint64

@@ -18,11 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import fits, shared_dir, written
 
 UNITS = "mm cm m km kg g mg lb lbs oz ft inch inches mile miles meter meters metre metres liter liters litre litres ml second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur".split()
-#: The most rows of benchmark windows or of matched doc_ids that are broadcast (under 64 MB); beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 
 def _barrier(df: DataFrame, keep: list[str], value: Column, name: str) -> DataFrame:
@@ -61,10 +59,6 @@ def _windows(df: DataFrame, keep: list[str], length: int, pos: str) -> DataFrame
     return df.select(*keep, F.posexplode(hashes).alias(pos, "h"))
 
 
-def _fits(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 8, least_plain: int = 3, coverage: float = 0.5, enough: int = 12, slack: int = 1) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, coverage, verbatim): one row per document and item that it leaks.
 
@@ -90,16 +84,16 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
     coded = canonical(tokens(docs, ["doc_id"]), ["doc_id"])
     found = None
     for length in sorted(lengths):
-        mine = _fits(spark, own.where(F.col("length") == length).select("h", "item_id", "at", "length"))
+        mine = fits(own.where(F.col("length") == length).select("h", "item_id", "at", "length"))
         part = _windows(coded, ["doc_id"], length, "pos").join(mine, "h").select("doc_id", "item_id", "pos", "at", "length")
         found = part if found is None else found.union(part)
     found = written(spark, found.distinct(), "matches")
 
     # the slots of what matched: one row per occurrence, its windows and its pairs of values
     occurrences = found.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "length").agg(F.collect_set("at").alias("ats"))
-    ids = _fits(spark, found.select("doc_id").distinct())
+    ids = fits(found.select("doc_id").distinct())
     words = tokens(docs.join(ids, "doc_id", "left_semi"), ["doc_id"]).withColumnRenamed("raw", "doc_raw")
-    both = occurrences.join(words, "doc_id").join(_fits(spark, items.withColumnRenamed("raw", "item_raw")), "item_id")
+    both = occurrences.join(words, "doc_id").join(fits(items.withColumnRenamed("raw", "item_raw")), "item_id")
     at = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("length") - 1))))
     slots = F.filter(at, lambda i: F.get("codes", i).between(1, 3))
 
@@ -110,7 +104,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
     both = both.select("doc_id", "item_id", "ats", pairs.alias("pairs"))
     clashes = F.size("pairs") - F.least(F.size(F.array_distinct("pairs.a")), F.size(F.array_distinct("pairs.b")))
     good = both.where(clashes <= slack).select("doc_id", "item_id", F.explode("ats").alias("at"), F.forall("pairs", lambda p: p.a == p.b).alias("same"))
-    leaks = good.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("windows"), F.min("same").alias("verbatim")).join(_fits(spark, total), "item_id")
+    leaks = good.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("windows"), F.min("same").alias("verbatim")).join(fits(total), "item_id")
     leaks = leaks.withColumn("coverage", F.col("windows") / F.col("item_windows")).where((F.col("coverage") >= coverage) | (F.col("windows") >= enough))
     return leaks.select("doc_id", "item_id", "windows", "item_windows", "coverage", "verbatim")
 
@@ -118,4 +112,4 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
 def remove_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that leak no item, all columns as they were; null doc_ids stay."""
     bad = written(spark, benchmark_leaks(spark, docs, benchmark, **how).select("doc_id").distinct(), "leaks")
-    return docs.join(_fits(spark, bad), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(fits(bad), "doc_id", "left_anti").select(*docs.columns)
