@@ -52,10 +52,10 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, what: str, **options) -> DataFrame:
     """``df`` through a Parquet table in the shared folder: lineage is cut and survives lost executors."""
     path = scratch(spark, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._voxloom_path = path
     return out

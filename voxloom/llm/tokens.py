@@ -28,7 +28,7 @@ from .common import drop, shared_dir, written
 
 MAGIC = b"VXTOKEN1"
 #: A Python worker keeps the ids of the latest words: of so many at least, and twice as many at most.
-CACHED = 500_000
+CACHED = 800_000
 SHARD_TOKENS = 16_000_000
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -114,11 +114,23 @@ class Encoder:
         return [b"".join([known[p] for p in pieces]) for pieces in cut]
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder_of(tokenizer_json: str) -> Encoder:
+    """This process's encoder: the words that one task met are known to the worker's next."""
+    key = hash(tokenizer_json)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(tokenizer_json)
+    return _ENCODERS[key]
+
+
 def _tokenize(shared, end_id: int | None):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("id", pa.int32()), ("times", pa.int64())])
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         counts = np.zeros(max(encoder.size, (end_id or 0) + 1), np.int64)
         end = b"" if end_id is None else np.array([end_id], encoder.type).tobytes()
         for batch in batches:
@@ -218,7 +230,7 @@ def encode_corpus(spark: SparkSession, docs: DataFrame, tokenizer_path: str, out
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(shared, end_id), "doc_id long, ids binary, id int, times long")
-    both = written(spark, rows, "ids")
+    both = written(spark, rows, "ids", compression="zstd")
     counts = both.where("id is not null").groupBy("id").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "id").collect()  # at most the vocabulary
     encoder = Encoder(shared.value)
     size = max([encoder.size, (end_id or 0) + 1])
