@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import BROADCAST_ROWS, shared_dir, written
 
 CAPACITIES = (512, 2048, 8192)
 BUCKETS = 256
@@ -114,7 +114,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, capacities: tuple[int
     placed = _ranges(spark, placements, "length int, a long, b long, first long, bin_offset int")
     # a length's placements as one sorted array, searched by the piece's rank
     by_length = placed.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("a", "b", "first", "bin_offset"))).alias("places"))
-    ranked = ranked.join(by_length, "length")
+    # at most the largest capacity's rows, and the plan's size is known here
+    ranked = ranked.join(F.broadcast(by_length) if len(placements) <= BROADCAST_ROWS else by_length, "length")
     ranked = ranked.withColumn("place", F.element_at(F.filter("places", lambda p: (p.a <= F.col("rank")) & (F.col("rank") <= p.b)), 1))
     out = ranked.select("doc_id", "piece", (F.col("piece").cast("long") * most).alias("piece_start"), "length", (F.col("place.first") + F.col("rank") - F.col("place.a")).alias("bin_id"), F.col("place.bin_offset").alias("bin_offset"))
     # bins by blocks of ids, so that a range join becomes an equal one
