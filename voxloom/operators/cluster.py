@@ -36,10 +36,11 @@ def components(on: DataFrame, space, connect: str = "26-connect", most: int = 10
     for _ in range(most):
         spread = scattered(labels.select("v", "root"), space, offsets, space.ijk(), ["root"]).groupBy("v").agg(F.min("root").alias("near"))
         low = labels.join(spread, "v", "left").select("v", "root", F.least("root", "near").alias("to"))
-        # roots hook onto the least label seen anywhere in their tree, then everybody jumps twice
-        hook = low.groupBy(F.col("root").alias("r")).agg(F.min("to").alias("best"))
-        hook2 = hook.alias("a").join(hook.alias("b"), F.col("a.best") == F.col("b.r"), "left").select(F.col("a.r").alias("r"), F.least(F.col("a.best"), F.col("b.best")).alias("best"))
-        new = _checkpointed(low.join(hook2, low.root == hook2.r).select("v", F.least("to", "best").alias("root"), F.col("root").alias("was")))
+        # a voxel and the root it points to both take the least label seen; then all pointers jump twice
+        hooked = low.select("v", "to").union(low.select(F.col("root").alias("v"), "to")).groupBy("v").agg(F.min("to").alias("p"))
+        for _ in range(2):
+            hooked = hooked.join(hooked.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p"))
+        new = _checkpointed(labels.join(hooked, "v").select("v", F.col("p").alias("root"), F.col("root").alias("was")))
         changed = new.where("root <> was").limit(1).count()
         labels = new.select("v", "root")
         if not changed:
