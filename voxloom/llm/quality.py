@@ -1,6 +1,7 @@
 """Quality scores from a weak-label model.
 
-Heuristic labellers vote 1 (good), -1 (bad) or 0 (abstain) on a whole text; they overlap, and none is trusted.
+Heuristic labellers vote 1 (good), -1 (bad) or 0 (abstain) on a whole text; they overlap, and none is trusted. Most
+know one symptom of bad texts and abstain without it, since texts are bad in ways that exclude each other.
 Expectation-maximisation over the counts of all vote patterns estimates each one's accuracy, and the posteriors of a
 bounded sample train a logistic scorer over hashed word shapes. No label, id, language or source is read.
 """
@@ -17,7 +18,7 @@ from .toxicity import batches_of, label_model
 
 SAMPLE_ROWS = 8000
 SLOTS = 1 << 14
-LABELLERS = ("symbols", "capitals", "bars", "repeats", "doubled", "stops")
+LABELLERS = ("symbols", "capitals", "bars", "repeats", "doubled", "stops", "prose")
 
 #: Bytes to classes of shape: a small letter or part of a longer character, A capital, 0 digit, the rest themselves.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -66,15 +67,11 @@ def votes(m: np.ndarray) -> np.ndarray:
     symbols, capitals, bars, kinds, doubled, stops, n = m
     out = np.zeros((m.shape[1], len(LABELLERS)), np.int8)
 
-    def vote(j, bad, good):
-        out[:, j] = np.where(bad, -1, np.where(good, 1, 0))
-
-    vote(0, symbols > 0.05, symbols < 0.01)
-    vote(1, capitals > 0.4, capitals < 0.1)
-    vote(2, bars > 0.1, bars == 0)
-    vote(3, (n >= 20) & (kinds < 0.35 - 0.02 * np.log2(np.maximum(1, n / 64))), (kinds > 0.45) | (n < 20))
-    vote(4, doubled > 0.1, doubled < 0.03)
-    vote(5, (n >= 20) & ((stops < 0.01) | (stops > 0.6)), (stops >= 0.03) & (stops <= 0.4))
+    few = 0.35 - 0.02 * np.log2(np.maximum(1, n / 64))
+    symptoms = (symbols > 0.05, capitals > 0.4, bars > 0.1, (n >= 20) & (kinds < few), doubled > 0.1, (n >= 20) & ((stops < 0.01) | (stops > 0.6)))
+    for j, bad in enumerate(symptoms):
+        out[:, j] = np.where(bad, -1, 0)
+    out[:, 6] = (symbols < 0.01) & (capitals < 0.15) & (bars == 0) & (stops >= 0.02) & (stops <= 0.5) & (doubled < 0.03) & ((kinds > few) | (n < 20))
     out[n == 0] = -1
     return out
 
@@ -128,7 +125,7 @@ def quality_model(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPL
     counted = docs.select("text").mapInArrow(_count, "pattern binary, times long").groupBy("pattern").agg(F.sum("times").alias("times")).collect()  # 3 ** labellers rows at most
     patterns = np.array([np.frombuffer(bytes(r[0]), np.int8) for r in counted], np.int8).reshape(-1, len(LABELLERS))
     times = np.array([r[1] for r in counted], float)
-    bad, accuracy, correlation = label_model(-patterns, times, 0.15)
+    bad, accuracy, correlation = label_model(-patterns, times, 0.15, silence=False)
     good = {p.tobytes(): 1 - float(x) for p, x in zip(patterns, bad)}
     chance = min(1.0, 1.5 * sample_rows / max(1.0, times.sum()))
     ids = docs.select("doc_id").where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(chance * (1 << 20)) + 1).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)

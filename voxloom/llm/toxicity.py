@@ -133,10 +133,12 @@ def votes(data: np.ndarray, bounds: np.ndarray, lexicons: list[np.ndarray], need
     return out
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 60):
+def label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 60, silence: bool = True):
     """Posterior of class 1 for each vote pattern, with the voters' accuracies and correlations.
 
-    patterns: distinct rows of votes; counts: how often each occurs; prior: the first guess of class 1's share.
+    patterns: distinct rows of votes; counts: how often each occurs; prior: the first guess of class 1's share;
+    silence: whether an abstention tells the classes apart. False is for voters that each know one symptom only, which
+    exclude each other; then no voter is weighed down for its correlations either.
     """
     patterns = patterns.astype(np.int64)
     m = patterns.shape[1]
@@ -161,8 +163,9 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds:
             residual += (r * w[:, None]).T @ r
         scale = np.sqrt(np.maximum(np.diag(residual), 1e-9))
         correlation = residual / np.outer(scale, scale)
-        weight = 1 / np.maximum(1.0, np.abs(np.where(np.eye(m, dtype=bool), 1.0, correlation)).sum(1))
-        logit = np.log(pi / (1 - pi)) + sum(weight[j] * (np.log(theta[1, j, patterns[:, j] + 1]) - np.log(theta[0, j, patterns[:, j] + 1])) for j in range(m))
+        weight = weight if not silence else 1 / np.maximum(1.0, np.abs(np.where(np.eye(m, dtype=bool), 1.0, correlation)).sum(1))
+        tells = np.ones(patterns.shape) if silence else patterns != 0
+        logit = np.log(pi / (1 - pi)) + sum(weight[j] * tells[:, j] * (np.log(theta[1, j, patterns[:, j] + 1]) - np.log(theta[0, j, patterns[:, j] + 1])) for j in range(m))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - post).max(initial=0) < 1e-7:
             post = new
