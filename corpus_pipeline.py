@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from voxloom.llm import decontam, jaccard, packing, secret_scan, toxicity
 from voxloom.llm.common import table, written

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _U, _BYTE_LOWER, _powers, mix, scratch, shared_dir, slices, written
+from .common import _BYTE_LOWER, _U, _powers, mix, shared_dir, slices, written
 
 #: At most so many labelled rows are fitted on.
 SAMPLE_ROWS = 8000
