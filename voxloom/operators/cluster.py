@@ -119,8 +119,6 @@ def fill_holes(on: DataFrame, space) -> DataFrame:
 
 def neighbor_count_18(on: DataFrame, space) -> DataFrame:
     """(v, n): how many of the 18 neighbours are on, for every voxel that has any; beyond the edge the nearest cell counts."""
-    import itertools
-
     spark = on.sparkSession
     offsets = connectivity("18-connect")
     nx, ny, nz = space.dim[:3]
@@ -130,7 +128,6 @@ def neighbor_count_18(on: DataFrame, space) -> DataFrame:
     at = every.select("v", i.alias("i"), j.alias("j"), k.alias("k"), F.explode(table).alias("o"))
     clamp = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), c))
     near = space.index(clamp(F.col("i") + F.col("o.dx"), nx).cast("long"), clamp(F.col("j") + F.col("o.dy"), ny), clamp(F.col("k") + F.col("o.dz"), nz))
-    del itertools
     return at.select("v", near.alias("w")).join(on.select(F.col("v").alias("w")), "w", "left_semi").groupBy("v").agg(F.count("*").alias("n"))
 
 
