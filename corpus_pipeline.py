@@ -16,7 +16,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates (five words, similarity 0.8): the one with the smallest doc_id."""
-    found = jaccard.ngram_jaccard_join(spark, docs, width=5, percent=80)
+    found = jaccard.ngram_jaccard_join(spark, docs, width=5, percent=80, links=False)
     others = found.where("component_id <> doc_id").select("doc_id").distinct()
     others = written(spark, others, "others")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)

@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on nulls, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import collections
 import itertools
 import random
 import re
@@ -69,6 +70,29 @@ def test_jaccard_against_all_pairs(spark, percent, seed):
     assert got == plain_join(docs, k, percent)
 
 
+@pytest.mark.parametrize("block,held", [(jaccard.BLOCK, jaccard.HELD), (7, 1 << 14)])
+def test_all_links_are_counted_and_listed(spark, monkeypatch, block, held):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HELD", held)
+    rng = random.Random(5)
+    base = words(rng, 200).split()
+    docs = corpus(rng, 3)
+    docs += [(1000 + i, " ".join(base[:i] + ["y"] + base[i + 1 :])) for i in range(0, 60, 2)]
+    docs += [(2000, docs[-1][1]), (1002, "one text of a doc_id that stands twice")]
+    rows = {}
+    for i, t in docs:
+        rows.setdefault(shingles(t, 4), []).append(i)
+    sets = [s for s in rows if s]
+    close = [(x, y) for x, y in itertools.combinations(sets, 2) if 100 * len(x & y) >= 85 * len(x | y)]
+    times = collections.Counter(s for pair in close for s in pair)
+    assert max(times.values()) >= 29
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = jaccard.ngram_jaccard_join(spark, df).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in got) == sorted((i, len(s), times[s]) for s in rows for i in rows[s])
+    pairs = [(r.a, r.b) for r in jaccard.ngram_jaccard_links(spark, df).collect()]
+    assert sorted(pairs) == sorted(tuple(sorted((min(rows[x]), min(rows[y])))) for x, y in close)
+
+
 def test_signatures_meet_for_every_close_pair():
     rng = np.random.default_rng(3)
     for frequent in (0, 1, 10**9):

@@ -16,7 +16,10 @@ Every text is the set of its distinct ``width``-word shingles, hashed to 64 bits
 4. *Rest.* More stars join what is left in different components. What still shares a signature across components is
    compared exhaustively, in blocks, by size and parity bitmap (a lower bound on the symmetric difference): first for
    as many pairs as would join the components, then for all that are left. Only pairs that may link leave the block,
-   and whole sets decide on them: no link between different sets is lost, and no pairs of a group are listed.
+   and whole sets decide on them: no component is torn.
+5. *Links.* Only where links are asked for: every two different sets of a component meet once, in blocks that bring
+   their whole sets along, and those of fitting size and bitmap are verified there, so that no link is lost and pairs
+   are listed only if they are the result.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ STARS = 3
 SALTS = 16
 SEEN = 200_000
 BLOCK = 2048
+#: Bytes of sets that a block of a component has on the average at most.
+HELD = 1 << 23
 _U = np.uint64
 
 
@@ -347,6 +352,70 @@ def _rest(percent: int, forest: bool):
     return run
 
 
+def _within(percent: int, counted: bool):
+    """From rows (c, i, j, block, n, rep, key, items) sorted by c, i, j, n: every link of a component between one set of
+    block i and one of block j, verified by their items; each pair of sets meets once. counted: for each set (rep, key,
+    n) how many links it has in the meeting, else the links (a, b)."""
+
+    def flush(t):
+        c, i, j, block, n, rep, key = (t.column(x).to_numpy() for x in range(7))
+        items = t.column(7)
+        start = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        times, left, right = np.zeros(len(c), np.int64), [], []
+        for a, b in zip(start, np.append(start[1:], len(c))):
+            if b - a == 1:
+                continue
+            sets = [np.frombuffer(x, _U) for x in items.slice(a, b - a).to_pylist()]
+            size, own, part = _thin(int(n[b - 1])), n[a:b], block[a:b]
+            while size > 512 and size // 8 * (b - a) > HELD:
+                size //= 2
+            maps = np.frombuffer(b"".join(_bitmap(u, size) for u in sets), np.uint64).reshape(b - a, -1)
+            last = np.searchsorted(own, own * 100 // percent, side="right")
+            one_block = i[a] == j[a]
+            for x in range(b - a):
+                u, v = x + 1, int(last[x])
+                if u >= v:
+                    continue
+                both = own[u:v] + own[x]
+                ok = np.bitwise_count(maps[u:v] ^ maps[x]).sum(1) <= both - 2 * (-(-percent * both // (100 + percent)))
+                if not one_block:
+                    ok &= part[u:v] != part[x]
+                near = np.flatnonzero(ok) + u
+                for near in np.split(near, np.flatnonzero(np.diff(np.cumsum(own[near]) // (HELD // 8))) + 1):
+                    if not len(near):
+                        continue
+                    others = np.concatenate([sets[y] for y in near])
+                    at = np.minimum(np.searchsorted(sets[x], others), len(sets[x]) - 1)
+                    same = np.add.reduceat((sets[x][at] == others).astype(np.int64), np.append(0, np.cumsum(own[near])[:-1]))
+                    linked = near[100 * same >= percent * (own[near] + own[x] - same)]
+                    times[a + x] += len(linked)
+                    times[a + linked] += 1
+                    if not counted:
+                        left.append(np.full(len(linked), rep[a + x]))
+                        right.append(rep[a + linked])
+        if counted:
+            some = times > 0
+            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (rep, key, n, times)], names=["rep", "d1", "n", "n_links"])
+        x, y = (np.concatenate([np.empty(0, np.int64), *z]) for z in (left, right))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = (pa.concat_tables([held, now]) if held is not None else now).combine_chunks()
+            at = [held.column(x).to_numpy() for x in range(3)]
+            last = np.flatnonzero((at[0] != at[0][-1]) | (at[1] != at[1][-1]) | (at[2] != at[2][-1])) if len(held) else []
+            if len(last):
+                cut = int(last[-1]) + 1
+                yield flush(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield flush(held)
+
+    return run
+
+
 _MET = "kind int, sig long, key long, other long, n long"
 
 
@@ -376,6 +445,16 @@ def _sets(width: int):
     return run
 
 
+def _keyed_sets(width: int):
+    def run(batches):
+        for batch in batches:
+            sets = [u for u in shingle_sets(batch.column(1), width)]
+            key = np.array([int(mix(u).sum(dtype=_U)) if len(u) else 0 for u in sets], _U).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array([len(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], names=["rep", "d1", "n", "items"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -390,15 +469,37 @@ def _verify(percent: int):
     return run
 
 
-def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): one row per row of ``docs``.
 
-    component_id: the smallest doc_id that links reach. n_links: the verified links of the row's class
-    representative to representatives of other classes that the join had to verify (stars; links inside an already
-    joined component are not all enumerated). A null or empty text, or one without words, has no shingles and only
-    itself as its component. A null doc_id gives a null component. Rows that repeat a doc_id are kept, each with the
-    component of its own set's class. Other columns of ``docs`` are not read.
+    component_id: the smallest doc_id that links reach. n_links: how many different sets of other rows the row's set
+    links to (without ``links`` the column is left out, and only as many links are verified as make the components). A
+    null or empty text, or one without words, has no shingles and only itself as its component. A null doc_id gives a
+    null component. Rows that repeat a doc_id are kept, each with the component of its own set's class. Other columns
+    of ``docs`` are not read.
     """
+    ids, classes, found, within = _joined(spark, docs, width, percent, id_col, text_col)
+    classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    names = ["d1", "d2", "n", F.coalesce("component", "rep").alias("c")]
+    if links:
+        degree = within(True, "rep long, d1 long, n long, n_links long").groupBy("rep", "d1", "n").agg(F.sum("n_links").alias("n_links"))
+        classes = classes.join(degree, ["rep", "d1", "n"], "left")
+        names.append("n_links")
+    out = ids.join(classes.select(*names), ["d1", "d2", "n"], "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"), *(["n_links"] if links else []))
+    return out.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))) if links else out
+
+
+def ngram_jaccard_links(spark: SparkSession, docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b), a <= b: every link between different sets, as the smallest doc_ids that have them.
+
+    a = b where one doc_id has two linked sets. Equal sets are one: their rows are told by ``ngram_jaccard_join``.
+    """
+    return _joined(spark, docs, width, percent, id_col, text_col)[3](False, "a long, b long")
+
+
+def _joined(spark: SparkSession, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str):
+    """The rows' digests, the classes of equal sets, the components of their representatives, and what gives all links."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     shared_dir(spark)
@@ -475,8 +576,18 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, width: int = 4, per
     found = written(spark, components(spark, links), "components")
     drop(spark, members)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    classes = classes.select("d1", "d2", "n", F.coalesce("component", "rep").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = ids.join(classes, ["d1", "d2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    def within(counted: bool, schema: str) -> DataFrame:
+        # all links are inside components: there every two sets of fitting size and bitmap are compared, each pair once
+        own = classes.join(found.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep").select("rep", "d1", "n", "c")
+        blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / HELD)).cast("int")
+        own = written(spark, own.join(own.groupBy("c").agg(blocks.alias("blocks")), "c"), "joined")
+        texts = docs.join(fits(own.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+        sets = written(spark, texts.mapInArrow(_keyed_sets(width), "rep long, d1 long, n long, items binary"), "sets")
+        # a doc_id that repeats with equal sets is there once
+        sets = own.join(sets.groupBy("rep", "d1", "n").agg(F.first("items").alias("items")), ["rep", "d1", "n"])
+        block = F.pmod(F.xxhash64("rep", "d1"), F.col("blocks")).cast("int")
+        sets = sets.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sets = sets.select("c", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "n", "rep", F.col("d1").alias("key"), "items")
+        return sets.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "n").mapInArrow(_within(percent, counted), schema)
+
+    return ids, classes, found, within
