@@ -436,6 +436,16 @@ def test_profiles_against_counting():
         assert langid.profile(text, alphabet).tolist() == want
 
 
+def test_scripts_beyond_the_frequent_letters_are_told_apart(spark):
+    rng = random.Random(6)
+    scripts = {"zh": [chr(0x4E00 + i) for i in range(90)], "ko": [chr(0xAC00 + i) for i in range(90)], "ja": [chr(0x3041 + i) for i in range(80)], "en": list("abcdefghijklmnopqrstuvwxyz"), "xx": [chr(c) for c in range(0xE0, 0x17F) if chr(c).isalpha()]}
+    docs = [(i, lang, "".join(rng.choice(scripts[lang]) + " " * (rng.random() < 0.2) for _ in range(60 if lang in ("zh", "ko", "ja") else 400))) for i, lang in enumerate(list(scripts) * 24)]
+    got = langid.identify_language(spark, spark.createDataFrame(docs, "doc_id long, lang string, text string")).collect()
+    assert any(r.held_out for r in got) and all(r.lang_pred == docs[r.doc_id][1] for r in got)
+    grams = langid.profile("a\u4e00 b")
+    assert len(grams) == len(set(grams.tolist())) == 3 + 5 + 4
+
+
 # --- pipeline
 
 

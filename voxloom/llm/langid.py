@@ -1,8 +1,8 @@
 """Language identification by rank-order n-gram profiles and the out-of-place distance.
 
 Texts become lower-cased letters; everything between runs of letters is one blank, and so are both ends. n-grams are 1
-to 3 characters of that, blanks alone excepted. Characters are coded in six bits: the blank, the 62 letters that the
-training documents have most, and one code for all other letters. A language's profile is its ``most`` most frequent
+to 3 characters of that, blanks alone excepted. Characters are whole code points, 21 bits each, so no two letters of
+any script are merged. A language's profile is its ``most`` most frequent
 n-grams over all training documents, a document's the same of its whole text, ties to the smaller code. The
 out-of-place distance sums, over the document's profile, how far each n-gram's rank is from its rank in the language's
 profile (``most`` if it isn't there); the nearest language wins, ties to the one that sorts first.
@@ -22,6 +22,7 @@ from .toxicity import held_out
 LETTERS = 62
 MOST = 300
 CODES = 1 << 18
+BLANK = 0x110000  # above all code points, so that an n-gram's length shows in its code
 _TABLE: list[np.ndarray] = []
 
 
@@ -35,6 +36,26 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _letters(text: str) -> np.ndarray:
+    """Code points of the letters, BLANK for one blank between runs of them and at both ends."""
+    c = _points(text).astype(np.int64)
+    c = np.where(_is_letter()[c], c, BLANK)
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] != BLANK) | (c[:-1] != BLANK)
+    c = c[keep]
+    c = c[int(len(c) > 0 and c[0] == BLANK) :]
+    c = c[: len(c) - int(len(c) > 0 and c[-1] == BLANK)]
+    return np.concatenate(([BLANK], c, [BLANK])) if len(c) else c
+
+
+def _whole_grams(c: np.ndarray) -> np.ndarray:
+    """Codes of all 1-, 2- and 3-grams of code points but blanks."""
+    if not len(c):
+        return c
+    two = (c[:-1] << 21) | c[1:]
+    return np.concatenate((c[c != BLANK], two, (two[:-1] << 21) | c[2:]))
+
+
 def _coded(text: str, alphabet: np.ndarray) -> np.ndarray:
     """Codes of the letters, 0 for one blank between runs of them and at both ends."""
     c = alphabet[_points(text)]
@@ -56,8 +77,9 @@ def _grams(c: np.ndarray) -> np.ndarray:
     return np.concatenate((one, two + CODES, three + 2 * CODES)) if len(c) else c
 
 
-def profile(text: str, alphabet: np.ndarray, most: int = MOST) -> np.ndarray:
-    grams = np.sort(_grams(_coded(text, alphabet)))
+def profile(text: str, alphabet: np.ndarray | None = None, most: int = MOST) -> np.ndarray:
+    """The most frequent n-grams of a text, of code points or, given an ``alphabet``, of its six-bit codes."""
+    grams = np.sort(_whole_grams(_letters(text)) if alphabet is None else _grams(_coded(text, alphabet)))
     if not len(grams):
         return grams
     start = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
@@ -66,10 +88,12 @@ def profile(text: str, alphabet: np.ndarray, most: int = MOST) -> np.ndarray:
     return grams[start[order]]
 
 
-def out_of_place(grams: np.ndarray, ranks: np.ndarray, most: int = MOST) -> np.ndarray:
-    """Distances to all languages; ranks: languages by 3 * CODES, ``most`` where an n-gram has no rank."""
+def out_of_place(grams: np.ndarray, known: np.ndarray, ranks: np.ndarray, most: int = MOST) -> np.ndarray:
+    """Distances to all languages; ranks: languages by the sorted n-grams ``known`` and a last column for all others, ``most`` where an n-gram has no rank."""
     own = np.arange(len(grams))
-    at = ranks[:, grams]
+    place = np.searchsorted(known, grams)
+    place[np.append(known, -1)[place] != grams] = len(known)
+    at = ranks[:, place]
     return np.where(at < most, np.abs(at - own), most).sum(1)
 
 
@@ -79,57 +103,39 @@ def alphabet_of(letters: list[int]) -> np.ndarray:
     return table
 
 
-def _count_letters(batches):
-    total = np.zeros(0x110000, np.int64)
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            total += np.bincount(_points(text), minlength=len(total)) if len(text) > 1 << 20 else 0
-            if len(text) <= 1 << 20:
-                c, n = np.unique(_points(text), return_counts=True)
-                total[c] += n
-    used = np.flatnonzero((total > 0) & _is_letter())
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["letter", "times"])
-
-
-def _count_grams(shared):
-    def run(batches):
-        counts: dict[str, np.ndarray] = {}
+def _count_grams(batches):
+    held: dict[str, list] = {}
+    size = 0
 
-        def flush():
-            for lang, total in counts.items():
-                used = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(total[used])], names=["lang", "gram", "times"])
-            counts.clear()
+    def flush():
+        for lang, parts in held.items():
+            grams, times = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(times.astype(np.int64))], names=["lang", "gram", "times"])
+        held.clear()
 
-        alphabet = alphabet_of(shared.value)
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang not in counts:
-                    if len(counts) >= 16:
-                        yield from flush()
-                    counts[lang] = np.zeros(3 * CODES, np.int64)
-                grams = np.sort(_grams(_coded(text, alphabet)))
-                if len(grams):
-                    start = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
-                    counts[lang][grams[start]] += np.diff(np.append(start, len(grams)))
-        yield from flush()
-
-    return run
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            grams = _whole_grams(_letters(text))
+            held.setdefault(lang, []).append(grams)
+            size += len(grams)
+            if size >= 1 << 22:
+                yield from flush()
+                size = 0
+    yield from flush()
 
 
 def _predict(shared):
     def run(batches):
-        letters, langs, ranks = shared.value
-        alphabet = alphabet_of(letters)
+        known, langs, ranks = shared.value
         for batch in batches:
             found, score = [], []
             for text in batch.column(2).to_pylist():
-                grams = profile(text or "", alphabet)
+                grams = profile(text or "")
                 if not len(grams) or not langs:
                     found.append("und")
                     score.append(0.0)
                     continue
-                d = out_of_place(grams, ranks)
+                d = out_of_place(grams, known, ranks)
                 best = int(np.argmin(d))
                 found.append(langs[best])
                 score.append(1.0 - float(d[best]) / (MOST * len(grams)))
@@ -139,20 +145,18 @@ def _predict(shared):
 
 
 def language_profiles(spark: SparkSession, docs: DataFrame, folds: int = 4, fold: int = 2):
-    """(letters, languages, ranks) from all documents with text and language whose fold is not held out."""
+    """(n-grams, languages, ranks) from all documents with text and language whose fold is not held out."""
     shared_dir(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null").where(~held_out(folds, fold)).select("lang", "text")
-    top = known.select("text").mapInArrow(_count_letters, "letter long, times long").groupBy("letter").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "letter").limit(LETTERS).collect()
-    letters = [r[0] for r in top]
-    shared = spark.sparkContext.broadcast(letters)
-    grams = known.mapInArrow(_count_grams(shared), "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
+    grams = known.mapInArrow(_count_grams, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("times"), "gram")) - 1
     rows = grams.withColumn("rank", rank).where(F.col("rank") < MOST).collect()  # MOST rows a language
     langs = sorted({r.lang for r in rows})
-    ranks = np.full((len(langs), 3 * CODES), MOST, np.int16)
+    ranked = np.array(sorted({r.gram for r in rows}), np.int64)
+    ranks = np.full((len(langs), len(ranked) + 1), MOST, np.int16)
     for r in rows:
-        ranks[langs.index(r.lang), r.gram] = r["rank"]
-    return letters, langs, ranks
+        ranks[langs.index(r.lang), np.searchsorted(ranked, r.gram)] = r["rank"]
+    return ranked, langs, ranks
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
