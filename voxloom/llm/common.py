@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -10,7 +11,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_PER_BATCH = "2000"
+#: An Arrow batch to a Python worker has at most so many rows, and ends at the row that reaches so many bytes.
+ROWS_PER_BATCH, BYTES_PER_BATCH = "2000", "4m"
+
+# Python workers are reused: what they free of 1 MB or more goes back to the machine (glibc's M_MMAP_THRESHOLD)
+if hasattr(ctypes.CDLL(None), "mallopt"):
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,19 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) one of our own.
+    """The folder that driver and executors share, with its scheme: ``spark.checkpoint.dir``; in local mode else one of our own.
 
-    Also bounds Arrow batches by rows, so that a batch of long texts fits a Python worker.
+    Also bounds Arrow batches by rows and bytes, so that a batch of long texts fits a Python worker.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxloom-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return str(current.get()).rstrip("/")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and (current := context._jsc.sc().getCheckpointDir()).isDefined():
+        found = str(current.get())
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxloom-"))
+        found = str(context._jsc.sc().getCheckpointDir().get())
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:

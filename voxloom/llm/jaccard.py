@@ -18,8 +18,8 @@ Every text is the set of its distinct ``width``-word shingles, hashed to 64 bits
    as many pairs as would join the components, then for all that are left. Only pairs that may link leave the block,
    and whole sets decide on them: no component is torn.
 5. *Links.* Only where links are asked for: every two different sets of a component meet once, in blocks that bring
-   their whole sets along, and those of fitting size and bitmap are verified there, so that no link is lost and pairs
-   are listed only if they are the result.
+   their whole sets along. What they share is counted exactly there, by matrix products over the items that many of a
+   block have, so that no link is lost and pairs are listed only if they are the result.
 """
 
 from __future__ import annotations
@@ -37,8 +37,12 @@ from .components import components
 SLOTS = 1 << 18
 STARS = 3
 SALTS = 16
+#: A single shingle's meeting is dealt over parts of so many members on the average.
+PART = 1 << 16
 SEEN = 200_000
 BLOCK = 2048
+#: Links are counted in blocks of so many sets of a component; items that at most FEW of two blocks' sets have, pair by pair.
+WITHIN, FEW = 1024, 8
 #: Bytes of sets that a block of a component has on the average at most.
 HELD = 1 << 23
 _U = np.uint64
@@ -167,7 +171,9 @@ def _postings(width: int, percent: int, table):
                     seen.popitem(last=False)
                 one, two = signatures(u, counts, frequent, percent)
                 sig += [one, two]
-                part += [np.full(len(one), -1, np.int32), np.full(len(two), d % SALTS, np.int32)]
+                # a slot's count bounds its shingles' own: large ones meet in parts first, as combinations do
+                parts = counts[(one & _U(SLOTS - 1)).astype(np.int64)] // PART
+                part += [np.where(parts > 0, (d & (1 << 40) - 1) % (parts + 1), -1).astype(np.int32), np.full(len(two), d % SALTS, np.int32)]
                 m = len(one) + len(two)
                 key.append(np.full(m, d, _U))
                 size.append(np.full(m, len(u), np.int64))
@@ -186,23 +192,24 @@ def _batch(schema, sig, part, key, size):
 
 
 def _stars(count: int, seed: int, percent: int):
-    """Rows (sig, key, c, n) sorted by sig and n. kind 0: pairs of members with ``count`` of their meeting's members in
-    another component, of a size that may link; kind 1: the members that any such partner is there for."""
+    """Rows (sig, part, parts, key, c, n) sorted by sig, part and n. kind 0: pairs of members with ``count`` of their
+    part's members in another component, of a size that may link; kind 1: the members that any such partner may be there
+    for (of a meeting in one part this is known, else all)."""
     schema = pa.schema([("kind", pa.int32()), ("sig", pa.int64()), ("key", pa.int64()), ("other", pa.int64())])
 
-    def flush(sig, key, c, n):
-        run_of = np.cumsum(np.append(False, sig[1:] != sig[:-1]))
+    def flush(sig, part, parts, key, c, n):
+        run_of = np.cumsum(np.append(False, (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])))
         at = run_of * (1 << 40) + n
         lo = np.searchsorted(at, run_of * (1 << 40) - (-percent * n // 100))
         hi = np.searchsorted(at, run_of * (1 << 40) + n * 100 // percent, side="right")
         change = np.append(np.flatnonzero((c[1:] != c[:-1]) | (run_of[1:] != run_of[:-1])) + 1, len(c))
         following = change[np.searchsorted(change, np.arange(len(c)), side="right")]
-        keep = (c[lo] != c) | (following[lo] < hi)
-        sig, key, c, n = sig[keep], key[keep], c[keep], n[keep]
+        keep = (c[lo] != c) | (following[lo] < hi) | (parts > 1)
+        run_of, sig, key, c, n = run_of[keep], sig[keep], key[keep], c[keep], n[keep]
         yield out(1, sig, key, key)
         if not len(sig):
             return
-        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        start = np.flatnonzero(np.append(True, run_of[1:] != run_of[:-1]))
         length = np.diff(np.append(start, len(sig)))
         run_of = np.repeat(np.arange(len(start)), length)
         pairs = []
@@ -220,9 +227,9 @@ def _stars(count: int, seed: int, percent: int):
     def run(batches):
         held: list = []
         for batch in batches:
-            now = [batch.column(i).to_numpy() for i in range(4)]
+            now = [batch.column(i).to_numpy() for i in range(6)]
             held = [np.concatenate(x) for x in zip(held, now)] if held else now
-            last = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) >= 1 << 17 else []
+            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1])) if len(held[0]) >= 1 << 17 else []
             if len(last):
                 cut = int(last[-1]) + 1
                 yield from flush(*[x[:cut] for x in held])
@@ -352,10 +359,38 @@ def _rest(percent: int, forest: bool):
     return run
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many items each two of ``sets`` share: items that many have by matrix products, the others pair by pair."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(u) for u in sets])
+    item = np.concatenate(sets)
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
+    start = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+    times = np.diff(np.append(start, len(item)))
+    run = np.repeat(np.arange(len(start)), times)
+    behind = np.arange(len(item)) - start[run]
+    few, often = (times <= FEW) & (times < m), np.flatnonzero((times > FEW) & (times < m))
+    same = np.zeros((m, m), np.float32)
+    for back in range(1, FEW):
+        later = np.flatnonzero(few[run] & (behind >= back))
+        if len(later):
+            same += np.bincount(owner[later - back] * m + owner[later], minlength=m * m).reshape(m, m)
+    same += same.T
+    place = np.full(len(start), -1)
+    place[often] = np.arange(len(often))
+    for a in range(0, len(often), 2048):
+        at = np.flatnonzero((place[run] >= a) & (place[run] < a + 2048))
+        has = np.zeros((m, min(2048, len(often) - a)), np.float32)
+        has[owner[at], place[run[at]] - a] = 1
+        same += has @ has.T
+    return same + np.float32((times == m).sum())
+
+
 def _within(percent: int, counted: bool):
     """From rows (c, i, j, block, n, rep, key, items) sorted by c, i, j, n: every link of a component between one set of
-    block i and one of block j, verified by their items; each pair of sets meets once. counted: for each set (rep, key,
-    n) how many links it has in the meeting, else the links (a, b)."""
+    block i and one of block j; each pair of sets meets once. counted: for each set (rep, key, n) how many links it has
+    in the meeting, else the links (a, b)."""
 
     def flush(t):
         c, i, j, block, n, rep, key = (t.column(x).to_numpy() for x in range(7))
@@ -365,34 +400,19 @@ def _within(percent: int, counted: bool):
         for a, b in zip(start, np.append(start[1:], len(c))):
             if b - a == 1:
                 continue
-            sets = [np.frombuffer(x, _U) for x in items.slice(a, b - a).to_pylist()]
-            size, own, part = _thin(int(n[b - 1])), n[a:b], block[a:b]
-            while size > 512 and size // 8 * (b - a) > HELD:
-                size //= 2
-            maps = np.frombuffer(b"".join(_bitmap(u, size) for u in sets), np.uint64).reshape(b - a, -1)
-            last = np.searchsorted(own, own * 100 // percent, side="right")
-            one_block = i[a] == j[a]
-            for x in range(b - a):
-                u, v = x + 1, int(last[x])
-                if u >= v:
-                    continue
-                both = own[u:v] + own[x]
-                ok = np.bitwise_count(maps[u:v] ^ maps[x]).sum(1) <= both - 2 * (-(-percent * both // (100 + percent)))
-                if not one_block:
-                    ok &= part[u:v] != part[x]
-                near = np.flatnonzero(ok) + u
-                for near in np.split(near, np.flatnonzero(np.diff(np.cumsum(own[near]) // (HELD // 8))) + 1):
-                    if not len(near):
-                        continue
-                    others = np.concatenate([sets[y] for y in near])
-                    at = np.minimum(np.searchsorted(sets[x], others), len(sets[x]) - 1)
-                    same = np.add.reduceat((sets[x][at] == others).astype(np.int64), np.append(0, np.cumsum(own[near])[:-1]))
-                    linked = near[100 * same >= percent * (own[near] + own[x] - same)]
-                    times[a + x] += len(linked)
-                    times[a + linked] += 1
-                    if not counted:
-                        left.append(np.full(len(linked), rep[a + x]))
-                        right.append(rep[a + linked])
+            own, part = n[a:b], block[a:b]
+            same = _shared([np.frombuffer(x, _U) for x in items.slice(a, b - a).to_pylist()])
+            for x in range(0, b - a, 256):
+                linked = 100 * same[x : x + 256] >= percent * (own[x : x + 256, None] + own - same[x : x + 256])
+                linked[np.arange(len(linked)), np.arange(x, x + len(linked))] = False
+                if i[a] != j[a]:
+                    linked &= part[x : x + 256, None] != part
+                times[a + x : a + x + len(linked)] += linked.sum(1)
+                if not counted:
+                    u, v = np.nonzero(linked)
+                    u, v = u[u + x < v], v[u + x < v]
+                    left.append(rep[a + x + u])
+                    right.append(rep[a + v])
         if counted:
             some = times > 0
             return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (rep, key, n, times)], names=["rep", "d1", "n", "n_links"])
@@ -400,18 +420,22 @@ def _within(percent: int, counted: bool):
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(batches):
-        held = None
+        held, size = [], 0
         for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = (pa.concat_tables([held, now]) if held is not None else now).combine_chunks()
-            at = [held.column(x).to_numpy() for x in range(3)]
-            last = np.flatnonzero((at[0] != at[0][-1]) | (at[1] != at[1][-1]) | (at[2] != at[2][-1])) if len(held) else []
-            if len(last):
-                cut = int(last[-1]) + 1
-                yield flush(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and len(held):
-            yield flush(held)
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            whole = tuple(held[0].column(x)[0].as_py() for x in range(3)) != tuple(batch.column(x)[batch.num_rows - 1].as_py() for x in range(3))
+            if whole and size >= WITHIN:
+                t = pa.Table.from_batches(held).combine_chunks()
+                at = [t.column(x).to_numpy() for x in range(3)]
+                cut = int(np.flatnonzero((at[0] != at[0][-1]) | (at[1] != at[1][-1]) | (at[2] != at[2][-1]))[-1]) + 1
+                yield flush(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                size = len(t) - cut
+        if held:
+            yield flush(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -565,7 +589,10 @@ def _joined(spark: SparkSession, docs: DataFrame, width: int, percent: int, id_c
         return now.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n").mapInArrow(_rest(percent, forest), "ra long, na long, ka long, rb long, nb long, kb long").distinct()
 
     # more stars between components, then what could join components, then every pair that may still link
-    more = mixed().repartition("sig").sortWithinPartitions("sig", "n").select("sig", "key", "c", "n").mapInArrow(_stars(4, STARS, percent), "kind int, sig long, key long, other long")
+    parts = F.ceil(F.col("blocks") * BLOCK / PART).cast("int")
+    apart = mixed().withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    apart = apart.repartition("sig", "part").sortWithinPartitions("sig", "part", "n").select("sig", "part", "parts", "key", "c", "n")
+    more = apart.mapInArrow(_stars(4, STARS, percent), "kind int, sig long, key long, other long")
     more = written(spark, more, "stars")
     all_members, members = members, written(spark, more.where("kind = 1").select("sig", "key").join(by_key, "key"), "members")
     drop(spark, all_members)
@@ -579,7 +606,7 @@ def _joined(spark: SparkSession, docs: DataFrame, width: int, percent: int, id_c
     def within(counted: bool, schema: str) -> DataFrame:
         # all links are inside components: there every two sets of fitting size and bitmap are compared, each pair once
         own = classes.join(found.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep").select("rep", "d1", "n", "c")
-        blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / HELD)).cast("int")
+        blocks = F.ceil(F.greatest(F.count("*") / WITHIN, F.sum("n") * 8 / HELD)).cast("int")
         own = written(spark, own.join(own.groupBy("c").agg(blocks.alias("blocks")), "c"), "joined")
         texts = docs.join(fits(own.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
         sets = written(spark, texts.mapInArrow(_keyed_sets(width), "rep long, d1 long, n long, items binary"), "sets")

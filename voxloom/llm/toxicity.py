@@ -6,6 +6,8 @@
    of at most 3 ** voters rows). Expectation-maximisation estimates each voter's distribution of votes by class; the
    correlations that remain between voters given the class weight down voters that repeat each other.
 3. *Classifier.* A logistic model over hashed words and word beginnings is fitted to the posteriors of the sample.
+   Features are counted and chosen by aggregations over the sample; the one task that fits holds for each row only the
+   chosen ones, so long texts are never together in one place.
 
 No score reads doc_id, lang, source or a label. Rows with crc32(doc_id as text) mod ``folds`` = ``held_out`` teach
 nothing: they are neither in the sample nor in the counts.
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE_LOWER, _U, _powers, mix, shared_dir, slices, written
+from .common import _BYTE_LOWER, _U, _powers, drop, mix, shared_dir, slices, written
 
 #: At most so many labelled rows are fitted on.
 SAMPLE_ROWS = 8000
@@ -73,19 +75,56 @@ def batches_of(column, at_once: int = 1 << 19):
         yield data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def learned(texts, toxic: np.ndarray, least: int = 6, share: float = 0.85) -> list[np.ndarray]:
+WIDTH = (1 + len(BEGINNINGS)) * SLOTS
+#: Targets are summed as whole numbers of this many to one, so that sums are equal whatever their order.
+UNIT = 1 << 20
+
+
+def bags(data: np.ndarray, bounds: np.ndarray):
+    """(text, feature, times): how often each text has each feature; features count on over the kinds."""
+    kinds, owner, _ = features(data, bounds)
+    out = []
+    for k, slots in enumerate(kinds):
+        ok = slots >= 0
+        pairs, times = np.unique(owner[ok].astype(np.int64) * SLOTS + slots[ok], return_counts=True)
+        out.append((pairs // SLOTS, pairs % SLOTS + k * SLOTS, times))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _tally(target_of):
+    """From (toxic, text): in how many texts of the task each feature is, and the sum of their targets; feature WIDTH is in all."""
+
+    def run(batches):
+        has, mass = np.zeros(WIDTH + 1, np.int64), np.zeros(WIDTH + 1, np.int64)
+        for batch in batches:
+            at, toxic = 0, batch.column(0).to_numpy()
+            for data, bounds in batches_of(batch.column(1)):
+                n = len(bounds) - 1
+                target = np.round(target_of(toxic[at : at + n], data, bounds) * UNIT).astype(np.int64)
+                at += n
+                row, col, _ = bags(data, bounds)
+                has += np.bincount(col, minlength=WIDTH + 1)
+                mass += np.round(np.bincount(col, target[row], minlength=WIDTH + 1)).astype(np.int64)
+                has[-1] += n
+                mass[-1] += target.sum()
+        used = np.flatnonzero(has)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(has[used]), pa.array(mass[used])], names=["feature", "has", "mass"])
+
+    return run
+
+
+def _tallied(sample: DataFrame, target_of) -> DataFrame:
+    """(feature, has, mass) over the whole sample."""
+    parts = sample.select("toxic", "text").mapInArrow(_tally(target_of), "feature int, has long, mass long")
+    return parts.groupBy("feature").agg(F.sum("has").alias("has"), F.sum("mass").alias("mass"))
+
+
+def learned(sample: DataFrame, least: int = 6, share: float = 0.85) -> list[np.ndarray]:
     """For each kind of feature the slots that at least ``least`` toxic texts have, and ``share`` of all that have them."""
-    seen = [np.zeros((2, SLOTS)) for _ in range(1 + len(BEGINNINGS))]
-    at = 0
-    for data, bounds in batches_of(texts):
-        kinds, owner, _ = features(data, bounds)
-        label = toxic[at : at + len(bounds) - 1].astype(np.int64)
-        at += len(bounds) - 1
-        for counts, slots in zip(seen, kinds):
-            ok = slots >= 0
-            pairs = np.unique(owner[ok].astype(np.int64) * SLOTS + slots[ok])
-            counts += np.bincount(label[pairs // SLOTS] * SLOTS + pairs % SLOTS, minlength=2 * SLOTS).reshape(2, SLOTS)
-    return [np.flatnonzero((c[1] >= least) & (c[1] >= share * c.sum(0))).astype(np.int32) for c in seen]
+    counts = _tallied(sample, lambda toxic, data, bounds: toxic.astype(float))
+    chosen = counts.where((F.col("feature") < WIDTH) & (F.col("mass") >= least * UNIT) & (F.col("mass") >= share * UNIT * F.col("has")))
+    cols = np.array(sorted(r.feature for r in chosen.select("feature").collect()), np.int64)  # WIDTH rows at most
+    return [(cols[cols // SLOTS == k] % SLOTS).astype(np.int32) for k in range(1 + len(BEGINNINGS))]
 
 
 def hits(kinds: list[np.ndarray], owner: np.ndarray, texts: int, lexicons: list[np.ndarray]) -> list[np.ndarray]:
@@ -100,21 +139,34 @@ def hits(kinds: list[np.ndarray], owner: np.ndarray, texts: int, lexicons: list[
     return out
 
 
-def enough(texts, toxic: np.ndarray, lexicons: list[np.ndarray], precision: float = 0.85, least: int = 4) -> np.ndarray:
+#: Hits of a lexicon are told apart up to so many.
+MOST_HITS = 20
+
+
+def enough(sample: DataFrame, lexicons: list[np.ndarray], precision: float = 0.85, least: int = 4) -> np.ndarray:
     """For each learned lexicon the fewest members by which a text is toxic in ``precision`` of the sample's cases."""
-    found = [[] for _ in lexicons]
-    for data, bounds in batches_of(texts):
-        kinds, owner, _ = features(data, bounds)
-        for f, h in zip(found, hits(kinds, owner, len(bounds) - 1, lexicons)):
-            f.append(h)
-    out = np.full(len(lexicons), 99, np.int32)
-    for j, f in enumerate(found):
-        h = np.concatenate(f) if f else np.empty(0)
-        for t in range(20, 0, -1):
-            has = h >= t
-            if has.sum() >= least and toxic[has].mean() >= precision:
-                out[j] = t
-    return out
+
+    def run(batches):
+        seen = np.zeros((len(lexicons), MOST_HITS + 1, 2), np.int64)
+        for batch in batches:
+            at, toxic = 0, batch.column(0).to_numpy()
+            for data, bounds in batches_of(batch.column(1)):
+                kinds, owner, _ = features(data, bounds)
+                n = len(bounds) - 1
+                for k, h in enumerate(hits(kinds, owner, n, lexicons)):
+                    np.add.at(seen[k], (np.minimum(h, MOST_HITS), toxic[at : at + n]), 1)
+                at += n
+        k, h, c = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (k, h, c, seen[k, h, c])], names=["k", "hits", "toxic", "n"])
+
+    found = sample.select("toxic", "text").mapInArrow(run, "k long, hits long, toxic long, n long").groupBy("k", "hits", "toxic").agg(F.sum("n").alias("n")).collect()  # a few hundred rows
+    counts = np.zeros((len(lexicons), MOST_HITS + 1, 2))
+    for r in found:
+        counts[r.k, r.hits, r.toxic] = r.n
+    beyond = counts[:, ::-1].cumsum(1)[:, ::-1]
+    ok = (beyond.sum(2) >= least) & (beyond[:, :, 1] >= precision * beyond.sum(2))
+    ok[:, 0] = False
+    return np.where(ok.any(1), ok.argmax(1), 99).astype(np.int32)
 
 
 def votes(data: np.ndarray, bounds: np.ndarray, lexicons: list[np.ndarray], needed: np.ndarray) -> np.ndarray:
@@ -175,44 +227,69 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds:
     return post, accuracy, correlation
 
 
-def fit(texts, target: np.ndarray, rounds: int = 400, l2: float = 1e-4, least: int = 3) -> np.ndarray:
-    """Weights of SLOTS features by kind and a bias: logistic loss against soft targets, full-batch Adagrad.
+def telling(counts: DataFrame, least: int = 3) -> list[int]:
+    """The features whose odds between the classes stand out by 3 standard errors; ``counts`` as of ``_tallied``."""
+    total = counts.where(F.col("feature") == WIDTH).first()
+    if total is None:
+        return []
+    one, every = total.mass / UNIT, total.has
+    a = F.col("mass") / UNIT + 0.5
+    b = F.col("has") - F.col("mass") / UNIT + 0.5
+    odds = F.abs(F.log(a) - F.log(F.lit(one + 1.0)) - F.log(b) + F.log(F.lit(every - one + 1.0)))
+    chosen = counts.where((F.col("feature") < WIDTH) & (F.col("has") >= least) & (odds > 3 * F.sqrt(1 / a + 1 / b)) & (odds > 1))
+    return sorted(r.feature for r in chosen.select("feature").collect())  # WIDTH rows at most
 
-    Features are ``log(1 + times)`` of the slots whose odds between the classes stand out by 3 standard errors; the
-    others keep weight 0.
-    """
-    width = (1 + len(BEGINNINGS)) * SLOTS
-    row, col, val, at = [], [], [], 0
-    for data, bounds in batches_of(texts):
-        kinds, owner, _ = features(data, bounds)
-        for k, slots in enumerate(kinds):
-            ok = slots >= 0
-            pairs, times = np.unique((owner[ok].astype(np.int64) + at) * SLOTS + slots[ok], return_counts=True)
-            row.append(pairs // SLOTS)
-            col.append(pairs % SLOTS + k * SLOTS)
-            val.append(np.log1p(times))
-        at += len(bounds) - 1
-    row, col, val = (np.concatenate(x) if x else np.empty(0) for x in (row, col, val))
-    row, col = row.astype(np.int64), col.astype(np.int64)
-    has1, has = np.bincount(col, target[row], minlength=width), np.bincount(col, minlength=width)
-    a, b = has1 + 0.5, has - has1 + 0.5
-    odds = np.log(a / (target.sum() + 1)) - np.log(b / (at - target.sum() + 1))
-    chosen = (has >= least) & (np.abs(odds) > 3 * np.sqrt(1 / a + 1 / b)) & (np.abs(odds) > 1)
-    keep = chosen[col]
-    row, col, val = row[keep], col[keep], val[keep]
-    used, col = np.unique(col, return_inverse=True)
-    w, bias, g2, b2 = np.zeros(len(used)), -2.0, np.full(len(used), 1e-8), 1e-8
+
+def _bagged(target_of, chosen: np.ndarray):
+    """From (toxic, text): each text's target and its chosen features (places in ``chosen``) with ``log(1 + times)``."""
+
+    def run(batches):
+        for batch in batches:
+            at, toxic = 0, batch.column(0).to_numpy()
+            for data, bounds in batches_of(batch.column(1)):
+                n = len(bounds) - 1
+                target = target_of(toxic[at : at + n], data, bounds)
+                at += n
+                row, col, times = bags(data, bounds)
+                place = np.minimum(np.searchsorted(chosen, col), max(0, len(chosen) - 1))
+                keep = chosen[place] == col if len(chosen) else np.zeros(len(col), bool)
+                row, place, value = row[keep], place[keep], np.log1p(times[keep]).astype(np.float32)
+                order = np.argsort(row, kind="stable")
+                cut = np.searchsorted(row[order], np.arange(n + 1))
+                place, value = place[order].astype(np.int32), value[order]
+                yield pa.RecordBatch.from_arrays([pa.array(target.astype(float)), *(pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for x in (place, value))], names=["target", "places", "bag"])
+
+    return run
+
+
+def _fit_task(features: int):
+    def run(batches):
+        target, col, val = [], [], []
+        for batch in batches:
+            target.append(batch.column(0).to_numpy())
+            col += [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
+            val += [np.frombuffer(x, np.float32) for x in batch.column(2).to_pylist()]
+        if target:
+            row = np.repeat(np.arange(len(col)), [len(x) for x in col])
+            w = fit(row, np.concatenate(col), np.concatenate(val), np.concatenate(target), features)
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["weights"])
+
+    return run
+
+
+def fit(row, col, val, target: np.ndarray, features: int, rounds: int = 400, l2: float = 1e-4) -> np.ndarray:
+    """Weights of the features and, last, a bias: logistic loss against soft targets, full-batch Adagrad."""
+    n = max(1, len(target))
+    w, bias, g2, b2 = np.zeros(features), -2.0, np.full(features, 1e-8), 1e-8
     for _ in range(rounds):
-        z = np.bincount(row, val * w[col], minlength=at) + bias
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / max(1, at)
-        g = np.bincount(col, val * d[row], minlength=len(used)) + l2 * w
+        z = np.bincount(row, val * w[col], minlength=len(target)) + bias
+        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
+        g = np.bincount(col, val * d[row], minlength=features) + l2 * w
         g2 += g * g
         b2 += d.sum() ** 2
         w -= 0.3 * g / np.sqrt(g2)
         bias -= 0.3 * d.sum() / np.sqrt(b2)
-    out = np.zeros(width + 1, np.float32)
-    out[used], out[-1] = w, bias
-    return out
+    return np.append(w, bias)
 
 
 def linear(data: np.ndarray, bounds: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -254,10 +331,6 @@ def _score_task(weights):
     return run
 
 
-def _whole(batches, names):
-    return pa.Table.from_batches(batches).select(names).combine_chunks() if batches else None
-
-
 def toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample_rows: int = SAMPLE_ROWS):
     """(weights, report): the fitted classifier and the voters' accuracies and correlations.
 
@@ -269,34 +342,27 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = written(spark, docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")), "sample")
 
-    def lexicon_task(batches):
-        t = _whole(list(batches), ["toxic", "text"])
-        if not t:
-            return
-        text, toxic = t["text"].combine_chunks(), t["toxic"].to_numpy()
-        found = learned(text, toxic)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), pa.array(enough(text, toxic, found)), pa.array(range(len(found)), pa.int32())], names=["lexicon", "needed", "k"])
-
-    one = sample.coalesce(1)
-    found = one.select("toxic", "text").mapInArrow(lexicon_task, "lexicon binary, needed int, k int").orderBy("k").collect()
-    lexicons = [np.frombuffer(bytes(r[0]), np.int32) for r in found] or [np.empty(0, np.int32)] * (1 + len(BEGINNINGS))
-    shared = spark.sparkContext.broadcast((lexicons, np.array([r[1] for r in found] or [99] * len(lexicons))))
+    lexicons = learned(sample)
+    needed = enough(sample, lexicons)
+    shared = spark.sparkContext.broadcast((lexicons, needed))
     counted = docs.where(~held_out(folds, fold)).select("text").mapInArrow(_votes_task(shared), "pattern binary, times long").groupBy("pattern").agg(F.sum("times").alias("times")).collect()  # 3 ** voters rows at most
     patterns = np.array([np.frombuffer(bytes(r[0]), np.int8) for r in counted], np.int8).reshape(-1, len(VOTERS))
     post, accuracy, correlation = label_model(patterns, np.array([r[1] for r in counted], float), 0.1)
     known_post = {p.tobytes(): float(x) for p, x in zip(patterns, post)}
 
-    def fit_task(batches):
-        t = _whole(list(batches), ["text"])
-        if not t:
-            return
-        text, target = t["text"].combine_chunks(), []
-        for data, bounds in batches_of(text):
-            target += [known_post.get(r.tobytes(), 0.0) for r in votes(data, bounds, *shared.value)]
-        yield pa.RecordBatch.from_arrays([pa.array([fit(text, np.array(target)).tobytes()], pa.binary())], names=["weights"])
-
-    fitted = one.select("text").mapInArrow(fit_task, "weights binary").collect()
-    weights = np.frombuffer(bytes(fitted[0][0]), np.float32) if fitted else np.append(np.zeros((1 + len(BEGINNINGS)) * SLOTS, np.float32), np.float32(-3))
+    def posterior(_, data, bounds):
+        return np.array([known_post.get(r.tobytes(), 0.0) for r in votes(data, bounds, *shared.value)])
+
+    tally = written(spark, _tallied(sample, posterior), "tally")
+    chosen = np.array(telling(tally), np.int64)
+    bagged = sample.select("toxic", "text").mapInArrow(_bagged(posterior, chosen), "target double, places binary, bag binary")
+    fitted = bagged.repartition(1).mapInArrow(_fit_task(len(chosen)), "weights binary").collect()  # SAMPLE_ROWS rows, chosen features only
+    weights = np.zeros(WIDTH + 1, np.float32)
+    weights[-1] = -3
+    if fitted:
+        w = np.frombuffer(bytes(fitted[0][0]), np.float64)
+        weights[chosen], weights[-1] = w[:-1], w[-1]
+    drop(spark, sample, tally)
     return weights, {"voters": VOTERS, "accuracy": accuracy, "correlation": correlation, "patterns": len(patterns)}
 
 
