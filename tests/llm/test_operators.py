@@ -267,35 +267,43 @@ def test_warc_query(spark):
 
 
 def plain_codes(text):
-    raw = [t for t in re.split(r"[^\w.!?]+|_", text or "") if t.rstrip(".!?")]
+    raw = [t for t in re.split(r"[^\w.!?]+|_|(?<=[0-9])(?=[^\W\d_])", text or "") if t.rstrip(".!?")]
     out, values = [], []
-    for n, t in enumerate(raw):
+    for t in raw:
         core = t.rstrip(".!?")
         low = core.lower()
-        before = raw[n - 1] if n else None
         if re.fullmatch(r"[0-9.]+", core):
             c = 1
         elif low in decontam.UNITS:
             c = 2
-        elif len(core) > 1 and core[0] != low[0] and core[1] == low[1] and before is not None and before[-1] not in ".!?":
+        elif len(core) > 1 and core[0] != low[0] and core[1] == low[1]:
             c = 3
         else:
             c = low
-        out.append(c)
-        values.append(low)
+        if c in (1, 3) and out and out[-1] == c:
+            values[-1] += " " + low
+        else:
+            out.append(c)
+            values.append(low)
     return out, values
 
 
+def plain_words(text):
+    low = [t.rstrip(".!?").lower() for t in re.split(r"[^\w.!?]+|_|(?<=[0-9])(?=[^\W\d_])", text or "") if t.rstrip(".!?")]
+    return low, low
+
+
 def plain_leaks(docs, items, window=8, least=3, coverage=0.5, enough=12, slack=1):
     leaks = set()
     for i, item in items:
-        codes, values = plain_codes(item)
-        n = min(window, len(codes))
-        own = {a: tuple(codes[a : a + n]) for a in range(len(codes) - n + 1) if n and sum(isinstance(c, str) for c in codes[a : a + n]) >= least}
-        if not own:
-            continue
+        for codes_of in (plain_codes, plain_words):
+            codes, values = codes_of(item)
+            n = min(window, len(codes))
+            own = {a: tuple(codes[a : a + n]) for a in range(len(codes) - n + 1) if n and sum(isinstance(c, str) for c in codes[a : a + n]) >= least}
+            if own:
+                break
         for d, text in docs:
-            dc, dv = plain_codes(text)
+            dc, dv = codes_of(text)
             places = {}
             for p in range(len(dc) - n + 1):
                 places.setdefault(tuple(dc[p : p + n]), []).append(p)
@@ -321,6 +329,10 @@ def test_leaks_against_plain_version(spark):
         (3, "12 34 56"),
         (4, None),
         (5, "Mix 3 kg of flour with 2 liters of milk and 4 eggs, then wait 30 minutes before baking it."),
+        (6, "Alice has 3 apples. Alice buys 5 more apples. How many apples does Alice have now?"),
+        (7, "A bus leaves New York with 1,234 passengers and drives 5km to the next stop where 7 people get off."),
+        (8, "What is 12 + 7?"),
+        (9, "Yes"),
     ]
     rng = random.Random(7)
     filler = [words(rng, 40) for _ in range(6)]
@@ -335,12 +347,18 @@ def test_leaks_against_plain_version(spark):
         (17, "Mix 9 kg of flour with 9 liters of milk and 9 eggs, then wait 9 minutes before baking it."),
         (18, " ".join(filler)),
         (19, items[0][1] + " " + items[0][1]),
+        (20, f"{filler[0]} Brenda has 7 apples. Brenda buys 9 more apples. How many apples does Brenda have now?"),
+        (21, f"{filler[1]} a bus leaves Paris with 950 passengers and drives 12 km to the next stop where 30 people get off. {filler[0]}"),
+        (22, f"{filler[2]} what is 12 + 7? {filler[3]}"),
+        (23, "What is 12 + 8? Yes, twenty."),
+        (24, "The train leaves at 5. Alice has 3 pears and the apples. How is it now?"),
     ]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id long")
     b = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id long")
     got = {(r.doc_id, r.item_id): r for r in decontam.benchmark_leaks(spark, d, b).collect()}
     assert set(got) == plain_leaks(docs, [i for i in items if i[1]])
-    assert {(10, 1), (11, 1), (12, 2), (16, 5), (19, 1)} <= set(got) and (17, 5) not in got
+    assert {(10, 1), (11, 1), (12, 2), (13, 3), (16, 5), (19, 1), (20, 6), (21, 7), (22, 8)} <= set(got) and (17, 5) not in got
+    assert not {x for x, _ in got} & {18, 23, 24}
     assert got[10, 1].verbatim and not got[11, 1].verbatim
     kept = decontam.remove_leaks(spark, d, b)
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted({x for x, _ in docs} - {x for x, _ in got})
