@@ -15,11 +15,18 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates (five words, similarity 0.8): the one with the smallest doc_id."""
-    found = jaccard.ngram_jaccard_join(spark, docs, width=5, percent=80, links=False)
-    others = found.where("component_id <> doc_id").select("doc_id").distinct()
-    others = written(spark, others, "others")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component of near duplicates (five words, similarity 0.8): the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id and its text one stays. Rows without a doc_id cannot be told apart and stay.
+    """
+    found = written(spark, jaccard.ngram_jaccard_join(spark, docs, width=5, percent=80, links=False).select("doc_id", "component_id"), "found")
+    others = written(spark, found.where("component_id <> doc_id").select("doc_id").distinct(), "others")
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    again = written(spark, found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").union(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
