@@ -70,9 +70,9 @@ def test_jaccard_against_all_pairs(spark, percent, seed):
     assert got == plain_join(docs, k, percent)
 
 
-@pytest.mark.parametrize("block,held", [(jaccard.BLOCK, jaccard.HELD), (7, 1 << 14)])
+@pytest.mark.parametrize("block,held", [(jaccard.WITHIN, jaccard.HELD), (7, 1 << 14)])
 def test_all_links_are_counted_and_listed(spark, monkeypatch, block, held):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "WITHIN", block)
     monkeypatch.setattr(jaccard, "HELD", held)
     rng = random.Random(5)
     base = words(rng, 200).split()
@@ -93,6 +93,16 @@ def test_all_links_are_counted_and_listed(spark, monkeypatch, block, held):
     assert sorted(pairs) == sorted(tuple(sorted((min(rows[x]), min(rows[y])))) for x, y in close)
 
 
+def test_shared_items_of_blocks(monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 7)
+    rng = np.random.default_rng(8)
+    for size, kinds in ((1, 5), (5, 40), (30, 60), (40, 4000)):
+        sets = [np.unique(rng.integers(1, kinds, rng.integers(1, 50)).astype(np.uint64)) for _ in range(2 * size)]
+        for left, right in ((sets, sets), (sets[:size], sets[size:])):
+            got = np.concatenate([same for _, same in jaccard._shared(left, right)])
+            assert got.tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+
+
 def test_signatures_meet_for_every_close_pair():
     rng = np.random.default_rng(3)
     for frequent in (0, 1, 10**9):

@@ -41,8 +41,8 @@ SALTS = 16
 PART = 1 << 16
 SEEN = 200_000
 BLOCK = 2048
-#: Links are counted in blocks of so many sets of a component; items that at most FEW of two blocks' sets have, pair by pair.
-WITHIN, FEW = 1024, 8
+#: Links are counted in blocks of so many sets of a component, TILE rows at a time; items that at most FEW have, one by one.
+WITHIN, TILE, FEW = 4096, 512, 8
 #: Bytes of sets that a block of a component has on the average at most.
 HELD = 1 << 23
 _U = np.uint64
@@ -359,64 +359,85 @@ def _rest(percent: int, forest: bool):
     return run
 
 
-def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """How many items each two of ``sets`` share: items that many have by matrix products, the others pair by pair."""
-    m = len(sets)
-    owner = np.repeat(np.arange(m), [len(u) for u in sets])
-    item = np.concatenate(sets)
+def _shared(left: list[np.ndarray], right: list[np.ndarray]):
+    """(first row, counts) by TILE sets of ``left``: how many items each has in common with each set of ``right``.
+
+    Items that many of ``right`` have are counted by matrix products, the others posting by posting.
+    """
+    m = len(right)
+    owner = np.repeat(np.arange(m), [len(u) for u in right])
+    item = np.concatenate(right)
     order = np.argsort(item, kind="stable")
     owner, item = owner[order], item[order]
     start = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
     times = np.diff(np.append(start, len(item)))
-    run = np.repeat(np.arange(len(start)), times)
-    behind = np.arange(len(item)) - start[run]
-    few, often = (times <= FEW) & (times < m), np.flatnonzero((times > FEW) & (times < m))
-    same = np.zeros((m, m), np.float32)
-    for back in range(1, FEW):
-        later = np.flatnonzero(few[run] & (behind >= back))
-        if len(later):
-            same += np.bincount(owner[later - back] * m + owner[later], minlength=m * m).reshape(m, m)
-    same += same.T
-    place = np.full(len(start), -1)
+    known = item[start]
+    often = np.flatnonzero((times > FEW) & (times < m))
+    place = np.full(len(known), -1)
     place[often] = np.arange(len(often))
-    for a in range(0, len(often), 2048):
-        at = np.flatnonzero((place[run] >= a) & (place[run] < a + 2048))
-        has = np.zeros((m, min(2048, len(often) - a)), np.float32)
-        has[owner[at], place[run[at]] - a] = 1
-        same += has @ has.T
-    return same + np.float32((times == m).sum())
+    posting = place[np.repeat(np.arange(len(start)), times)]
+    for a in range(0, len(left), TILE):
+        some = left[a : a + TILE]
+        row = np.repeat(np.arange(len(some)), [len(u) for u in some])
+        mine = np.concatenate(some)
+        at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+        there = known[at] == mine
+        row, at = row[there], at[there]
+        same = np.bincount(row[times[at] == m], minlength=len(some)).astype(np.float32)[:, None] + np.zeros((1, m), np.float32)
+        few = np.flatnonzero((times[at] <= FEW) & (times[at] < m))
+        if len(few):
+            n = times[at[few]]
+            behind = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pair = np.repeat(row[few], n) * m + owner[np.repeat(start[at[few]], n) + behind]
+            same += np.bincount(pair, minlength=len(some) * m).reshape(len(some), m)
+        for k in range(0, len(often), 1024):
+            width = min(1024, len(often) - k)
+            own = np.flatnonzero((place[at] >= k) & (place[at] < k + width))
+            if not len(own):
+                continue
+            x, y = np.zeros((len(some), width), np.float32), np.zeros((m, width), np.float32)
+            x[row[own], place[at[own]] - k] = 1
+            theirs = np.flatnonzero((posting >= k) & (posting < k + width))
+            y[owner[theirs], posting[theirs] - k] = 1
+            same += x @ y.T
+        yield a, same
 
 
 def _within(percent: int, counted: bool):
-    """From rows (c, i, j, block, n, rep, key, items) sorted by c, i, j, n: every link of a component between one set of
-    block i and one of block j; each pair of sets meets once. counted: for each set (rep, key, n) how many links it has
-    in the meeting, else the links (a, b)."""
+    """From rows (c, i, j, block, n, rep, key, items) sorted by c, i, j, block, n: every link of a component between one
+    set of block i and one of block j; each pair of sets meets once. counted: for each set (rep, key, n) how many links it
+    has in the meeting, else the links (a, b)."""
 
     def flush(t):
         c, i, j, block, n, rep, key = (t.column(x).to_numpy() for x in range(7))
         items = t.column(7)
         start = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        times, left, right = np.zeros(len(c), np.int64), [], []
+        times, one, two = np.zeros(len(c), np.int64), [], []
         for a, b in zip(start, np.append(start[1:], len(c))):
-            if b - a == 1:
+            sets = [np.frombuffer(x, _U) for x in items.slice(a, b - a).to_pylist()]
+            alone = i[a] == j[a]
+            half = len(sets) if alone else int(np.searchsorted(block[a:b], block[a], side="right"))
+            left, right, u = (sets, sets, a) if alone else (sets[:half], sets[half:], a + half)
+            if not right or alone and len(sets) == 1:
                 continue
-            own, part = n[a:b], block[a:b]
-            same = _shared([np.frombuffer(x, _U) for x in items.slice(a, b - a).to_pylist()])
-            for x in range(0, b - a, 256):
-                linked = 100 * same[x : x + 256] >= percent * (own[x : x + 256, None] + own - same[x : x + 256])
-                linked[np.arange(len(linked)), np.arange(x, x + len(linked))] = False
-                if i[a] != j[a]:
-                    linked &= part[x : x + 256, None] != part
-                times[a + x : a + x + len(linked)] += linked.sum(1)
+            own = n[u:b]
+            for x, same in _shared(left, right):
+                rows = n[a + x : a + x + len(same), None]
+                linked = 100 * same >= percent * (rows + own - same)
+                if alone:
+                    linked[np.arange(len(same)), np.arange(x, x + len(same))] = False
+                times[a + x : a + x + len(same)] += linked.sum(1)
+                if not alone:
+                    times[u:b] += linked.sum(0)
                 if not counted:
-                    u, v = np.nonzero(linked)
-                    u, v = u[u + x < v], v[u + x < v]
-                    left.append(rep[a + x + u])
-                    right.append(rep[a + v])
+                    p, q = np.nonzero(linked)
+                    once = p + x < q if alone else np.ones(len(p), bool)
+                    one.append(rep[a + x + p[once]])
+                    two.append(rep[u + q[once]])
         if counted:
             some = times > 0
             return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (rep, key, n, times)], names=["rep", "d1", "n", "n_links"])
-        x, y = (np.concatenate([np.empty(0, np.int64), *z]) for z in (left, right))
+        x, y = (np.concatenate([np.empty(0, np.int64), *z]) for z in (one, two))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(batches):
@@ -427,7 +448,7 @@ def _within(percent: int, counted: bool):
             held.append(batch)
             size += batch.num_rows
             whole = tuple(held[0].column(x)[0].as_py() for x in range(3)) != tuple(batch.column(x)[batch.num_rows - 1].as_py() for x in range(3))
-            if whole and size >= WITHIN:
+            if whole and size >= TILE:
                 t = pa.Table.from_batches(held).combine_chunks()
                 at = [t.column(x).to_numpy() for x in range(3)]
                 cut = int(np.flatnonzero((at[0] != at[0][-1]) | (at[1] != at[1][-1]) | (at[2] != at[2][-1]))[-1]) + 1
@@ -615,6 +636,6 @@ def _joined(spark: SparkSession, docs: DataFrame, width: int, percent: int, id_c
         block = F.pmod(F.xxhash64("rep", "d1"), F.col("blocks")).cast("int")
         sets = sets.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         sets = sets.select("c", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "n", "rep", F.col("d1").alias("key"), "items")
-        return sets.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "n").mapInArrow(_within(percent, counted), schema)
+        return sets.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "block", "n").mapInArrow(_within(percent, counted), schema)
 
     return ids, classes, found, within
