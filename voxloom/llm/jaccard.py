@@ -597,7 +597,6 @@ def _joined(spark: SparkSession, docs: DataFrame, width: int, percent: int, id_c
 
     def mixed() -> DataFrame:
         """(sig, key, rep, n, c) of the meetings that still have members of two components."""
-        found = components(spark, links)
         now = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "key", "rep", "n", F.coalesce("component", "rep").alias("c"))
         apart = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi")
         return now.join(apart.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sig")
@@ -609,7 +608,15 @@ def _joined(spark: SparkSession, docs: DataFrame, width: int, percent: int, id_c
         now = now.select("sig", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "c", "n", "rep", "key", "bitmap")
         return now.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n").mapInArrow(_rest(percent, forest), "ra long, na long, ka long, rb long, nb long, kb long").distinct()
 
+    def settled(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """The components so far; those known before come as stars, on which few rounds are left to do."""
+        if before is not None:
+            links = links.select("a", "b").union(before.where("id <> component").select("id", "component"))
+        return written(spark, components(spark, links), "components")
+
     # more stars between components, then what could join components, then every pair that may still link
+    found = settled(links)
+    drop(spark, links)
     parts = F.ceil(F.col("blocks") * BLOCK / PART).cast("int")
     apart = mixed().withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     apart = apart.repartition("sig", "part").sortWithinPartitions("sig", "part", "n").select("sig", "part", "parts", "key", "c", "n")
@@ -617,12 +624,14 @@ def _joined(spark: SparkSession, docs: DataFrame, width: int, percent: int, id_c
     more = written(spark, more, "stars")
     all_members, members = members, written(spark, more.where("kind = 1").select("sig", "key").join(by_key, "key"), "members")
     drop(spark, all_members)
-    links = written(spark, links.union(verified(with_classes(more.where("kind = 0").select("key", "other").distinct()))), "links")
+    links = verified(with_classes(more.where("kind = 0").select("key", "other").distinct()))
     drop(spark, more)
     for forest in (True, False):
-        links = written(spark, links.union(verified(compared(mixed(), forest))), "links")
-    found = written(spark, components(spark, links), "components")
-    drop(spark, members)
+        found = settled(links, found)
+        drop(spark, links)
+        links = verified(compared(mixed(), forest))
+    found = settled(links, found)
+    drop(spark, members, links)
 
     def within(counted: bool, schema: str) -> DataFrame:
         # all links are inside components: there every two sets of fitting size and bitmap are compared, each pair once
