@@ -1,11 +1,15 @@
 """Golden values, contracts and round trips of the volumetric engine."""
 
+import collections
+import math
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators import cluster, elementwise, neighbor, reduce, resample, select
+from voxloom.plans import frame as frame_module
 from voxloom.plans.contracts import BackendDrift, ImplicitConversion, InvalidArgument, InvalidSpace, MaskMismatch, OutOfBounds, Receipt, SpaceMismatch
 from voxloom.plans.frame import Frame, densified, sparsified
 from voxloom.plans.space import Space, axis_codes, matrix_to_quaternion, obliquity, output_aligned_space, quaternion_to_matrix, rescale_affine, voxel_sizes
@@ -370,3 +374,166 @@ def test_entry_lists_match():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+# --- sparse frames, large balls, components over cubes, clip levels -------------------------------
+
+
+def _sparse_series(spark, seed=1):
+    rng = np.random.default_rng(seed)
+    cells = [(int(v), int(t), float(rng.normal())) for v in rng.choice(27, 20, replace=False) for t in range(6) if rng.random() < 0.6]
+    df = spark.createDataFrame(cells, "v long, t int, x double")
+    data = np.zeros((27, 6))
+    for v, t, x in cells:
+        data[v, t] = x
+    return Frame(df, Space((3, 3, 3, 6)), "series", True), data
+
+
+def test_absent_cells_of_sparse_series_are_zeros(spark):
+    frame, data = _sparse_series(spark)
+    stored = {r.v for r in frame.df.select("v").distinct().collect()}
+    mean = {r.v: r.value for r in reduce.mean_over_time(frame).df.collect()}
+    snr = {r.v: r.value for r in reduce.temporal_snr(frame).df.collect()}
+    assert set(mean) == set(snr) == stored
+    for v in stored:
+        assert mean[v] == pytest.approx(data[v].mean()) and snr[v] == pytest.approx(data[v].mean() / data[v].std())
+    mask = Frame(spark.createDataFrame([(v, True) for v in range(20)], "v long, value boolean"), frame.space.spatial, "volume", True)
+    at = np.array([(v % 3, v // 3 % 3, v // 9) for v in range(27)])
+    for how, f in (("mean", np.mean), ("sd", np.std), ("min", np.min)):
+        got = {(r.v, r.t): r.x for r in neighbor.searchlight(frame, mask, 1.0, how).df.collect()}
+        for v in range(20):
+            ball = [u for u in range(20) if ((at[u] - at[v]) ** 2).sum() <= 1]
+            for t in range(6):
+                assert got[v, t] == pytest.approx(f(data[ball, t]))
+    runs = spark.createDataFrame([(t, t // 2) for t in range(6)], "t int, run int")
+    got = {(r.v, r.run): r.value for r in neighbor.leave_one_run_out(frame, runs).collect()}
+    assert got == {(v, k): pytest.approx(np.delete(data[v], [2 * k, 2 * k + 1]).mean()) for v in stored for k in range(3)}
+
+
+def test_large_balls():
+    space = Space((64, 64, 64), (1.0, 1.0, 1.0))
+    assert len(neighbor.ball_offsets(space, 8.0)) == 2109 and len(neighbor.ball_offsets(space, 10.0)) == 4169
+    assert len(neighbor.ellipsoid_offsets((10, 10, 10))) == 4169
+
+
+def test_a_large_ball_is_laid_out(spark):
+    space = Space((64, 64, 64), (1.0, 1.0, 1.0))
+    got = neighbor.spherical_roi(spark, space, (32, 32, 32), 10.0)
+    assert got.count() == 4169 and got.select("v").distinct().count() == 4169
+
+
+def _walked(on, offsets, dim):
+    """(v: least voxel reached) by a plain walk."""
+    nx, ny, nz = dim
+    left, root = set(on), {}
+    for v in sorted(on):
+        if v not in left:
+            continue
+        left.discard(v)
+        todo = [v]
+        while todo:
+            u = todo.pop()
+            root[u] = v
+            i, j, k = u % nx, u // nx % ny, u // (nx * ny)
+            for a, b, c in offsets:
+                if 0 <= i + a < nx and 0 <= j + b < ny and 0 <= k + c < nz:
+                    w = i + a + nx * (j + b + ny * (k + c))
+                    if w in left:
+                        left.discard(w)
+                        todo.append(w)
+    return root
+
+
+@pytest.mark.parametrize("connect,share", [("6-connect", 0.4), ("26-connect", 0.09)])
+def test_components_across_cubes(spark, connect, share):
+    dim = (70, 6, 40)
+    on = np.flatnonzero(np.random.default_rng(2).random(70 * 6 * 40) < share)
+    df = spark.createDataFrame([(int(v),) for v in on], "v long")
+    got = {r.v: r.root for r in cluster.components(df, Space(dim), connect).collect()}
+    assert got == _walked(on.tolist(), neighbor.connectivity(connect), dim)
+
+
+def _plain_level(values, mfrac=0.5):
+    """The level by walking over bins one at a time."""
+    x = sorted(v for v in values if v > 0)
+    if len(x) <= 222:
+        return 0.0
+    whole = all(abs(v - round(v)) < 1e-8 for v in x) and x[-1] <= 32767
+    top = (255 if x[-1] <= 255 else 32767) if whole else 10000
+    scale = 1.0 if whole else top / x[-1]
+    bins = [round(v) if whole else math.floor(scale * v + 0.499) for v in x]
+    count = collections.Counter(bins)
+    floor_ = round(0.5 * math.sqrt(sum(b * b for b in bins) / len(bins)))
+    cut, above = top - 1, 0
+    while cut >= floor_ and above < int(0.65 * len(x)):
+        above += count[cut]
+        cut -= 1
+    cut = max(cut, 0)
+    for _ in range(66):
+        half, seen, at = sum(count[b] for b in range(cut, top)) // 2, 0, cut
+        while at < top and seen < half:
+            seen += count[at]
+            at += 1
+        if int(mfrac * at) == cut:
+            break
+        cut = int(mfrac * at)
+    return cut / scale
+
+
+def test_clip_levels(spark):
+    rng = np.random.default_rng(6)
+    for data in (rng.gamma(2.0, 100.0, 1000), np.round(rng.gamma(2.0, 30.0, 1000)), np.round(rng.gamma(2.0, 3000.0, 1000)), rng.random(200), np.append(rng.random(500) * 3, rng.random(500) * 900 + 600)):
+        n = len(data) // 10
+        frame = Frame(spark.createDataFrame([(k, float(x)) for k, x in enumerate(data)], "v long, value double"), Space((10, 1, n)), "volume", False)
+        boxes = [None, ((0, 4), (0, 0), (0, n - 1)), ((3, 9), (0, 0), (0, n // 2))]
+        cube = data.reshape(n, 10)
+        want = [_plain_level(data), _plain_level(cube[:, :5].ravel()), _plain_level(cube[: n // 2 + 1, 3:].ravel())]
+        assert reduce.clip_levels(frame, boxes) == pytest.approx(want)
+
+
+def test_automask_follows_brightness_over_space(spark):
+    dim = (24, 24, 24)
+    rng = np.random.default_rng(9)
+    k, j, i = np.meshgrid(*(np.arange(24),) * 3, indexing="ij")
+    ball = (i - 12) ** 2 + (j - 12) ** 2 + (k - 12) ** 2 <= 81
+    hole = (i - 12) ** 2 + (j - 12) ** 2 + (k - 12) ** 2 <= 4
+    data = np.where(ball & ~hole, 300.0 + 60.0 * i, 0) + rng.random(24**3).reshape(24, 24, 24) * 20
+    frame = Frame(spark.createDataFrame([(n, float(x)) for n, x in enumerate(data.ravel())], "v long, value double"), Space(dim), "volume", False)
+    got = np.zeros(24**3, bool)
+    got[[r.v for r in cluster.automask(frame).df.collect()]] = True
+    assert (got.reshape(24, 24, 24) != ball).sum() <= 12  # the hole is filled, single voxels of the rim may go
+    assert cluster.automask(frame.like(frame.df.where("v < 100"), sparse=True)).df.count() == 0
+
+
+def test_random_centers_and_places(spark):
+    on = spark.createDataFrame([(v, True) for v in range(0, 90, 3)], "v long, value boolean").repartition(7)
+    mask = Frame(on, Space((10, 10, 1)), "volume", True)
+    got = {r.draw: r.v for r in neighbor.random_centers(mask, 200, 4).collect()}
+    assert sorted(got) == list(range(200)) and set(got.values()) <= set(range(0, 90, 3)) and len(set(got.values())) > 20
+    assert got == {r.draw: r.v for r in neighbor.random_centers(mask, 200, 4).collect()}
+    assert neighbor.random_centers(mask.like(on.where("false")), 5).collect() == []
+    places = frame_module.numbered(on.select("v"), "v", "n", 1).orderBy("v").collect()
+    assert [r.n for r in places] == list(range(1, 31))
+
+
+def test_point_reads_reach_the_source(spark, tmp_path):
+    spark.range(5000).selectExpr("id AS vec_id", "array(cast(id AS float), 1f) AS e").write.parquet(f"{tmp_path}/e")
+    df = spark.read.parquet(f"{tmp_path}/e").select(F.col("vec_id").alias("v"), F.posexplode("e").alias("t", "x"))
+    frame = Frame(df.withColumn("x", F.col("x").cast("double")), Space((50, 50, 2, 2)), "series")
+    for got in (select.series_at(frame, [7, 3, 7]), select.series_roi(frame, spark.createDataFrame([(0, 7), (1, 3), (2, 7)], "ord int, v long"))):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "In(vec_id" in plan
+        assert sorted((r.ord, r.t, r.x) for r in got.collect()) == [(0, 0, 7.0), (0, 1, 1.0), (1, 0, 3.0), (1, 1, 1.0), (2, 0, 7.0), (2, 1, 1.0)]
+    many = select.series_roi(frame, spark.range(4000).selectExpr("cast(id AS int) AS ord", "id + 500 AS v"))
+    assert "GreaterThanOrEqual(vec_id,500)" in many._jdf.queryExecution().executedPlan().toString()
+    assert many.agg(F.sum("x")).first()[0] == sum(range(500, 4500)) + 4000
+
+
+def test_resampled_searchlight_takes_any_function(spark):
+    frame, data = _sparse_series(spark, 3)
+    mask = Frame(spark.createDataFrame([(v, True) for v in range(27)], "v long, value boolean"), frame.space.spatial, "volume", True)
+    closed = {r.v: r.value for r in neighbor.resampled_searchlight(frame, mask, 1.0, n_resamples=6, seed=2).collect()}
+    called = {r.v: r.value for r in neighbor.resampled_searchlight(frame, mask, 1.0, lambda a: a.mean(), 6, 2).collect()}
+    assert closed == pytest.approx(called)
+    clusters = neighbor.clustered_searchlight(mask, csize=4, seed=1)
+    assert clusters.count() == 27 and clusters.select("label").distinct().count() == 4

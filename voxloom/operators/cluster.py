@@ -3,47 +3,93 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..plans.frame import Frame, densified, grid
+from ..plans.frame import Frame, checkpointed, densified, grid, numbered
+from ..plans.contracts import InvalidArgument
 from .neighbor import box_offsets, connectivity, scattered
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxloom-"))  # only where the cluster names none
-    return df.checkpoint()
-
-
 def c_order(space, v="v"):
     """The place of a voxel when the last axis runs fastest; ties and numbering go by it."""
     i, j, k = space.ijk(v)
     return (k + space.dim[2] * (j + space.dim[1] * i)).cast("long")
 
 
+#: Components are first found within cubes of so many voxels a side.
+SIDE = 32
+
+
+def _cube_roots(offsets, dim):
+    """(v, root, face) of the voxels of one cube: root is the least voxel that they reach inside it, face whether they touch its sides."""
+    import numpy as np
+    import pandas as pd
+
+    nx, ny = dim[:2]
+    wide = SIDE + 2
+    steps = np.array([dx + wide * (dy + wide * dz) for dx, dy, dz in offsets])
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        v = np.sort(g.v.to_numpy())
+        at = np.stack([v % nx, v // nx % ny, v // (nx * ny)]) % SIDE
+        cell = at[0] + 1 + wide * (at[1] + 1 + wide * (at[2] + 1))  # cells rise as voxels do
+        place = np.full(wide**3, len(v))  # len(v): nothing there
+        place[cell] = np.arange(len(v))
+        near = place[cell[:, None] + steps]
+        root = np.arange(len(v) + 1)
+        while True:
+            least = np.minimum(root[:-1], root[near].min(1))
+            hooked = root.copy()
+            np.minimum.at(hooked, root[:-1], least)
+            while not np.array_equal(hooked, hooked[hooked]):
+                hooked = hooked[hooked]
+            new = hooked[root]
+            if np.array_equal(new, root):
+                break
+            root = new
+        return pd.DataFrame({"v": v, "root": v[root[:-1]], "face": ((at == 0) | (at == SIDE - 1)).any(0)})
+
+    return run
+
+
 def components(on: DataFrame, space, connect: str = "26-connect", most: int = 100) -> DataFrame:
     """(v, root): the smallest voxel of each component of the voxels (v).
 
-    Labels fall to the least of the neighbourhood and then jump to their label's label, so a component of n voxels in a
-    chain settles in about log n rounds, checkpointed each.
+    Cubes of the grid find theirs alone; then only voxels on the cubes' sides meet, and the cubes' roots that they join
+    settle among themselves, so that rounds and rows follow the faces and not the voxels.
     """
     offsets = connectivity(connect)
-    labels = _checkpointed(on.select("v", F.col("v").alias("root")))
+    i, j, k = space.ijk()
+    wide = [-(-d // SIDE) for d in space.dim[:3]]
+    cube = F.floor(i / SIDE) + wide[0] * (F.floor(j / SIDE) + wide[1] * F.floor(k / SIDE))
+    own = on.select("v").distinct().withColumn("cube", cube).groupBy("cube").applyInPandas(_cube_roots(offsets, space.dim), "v long, root long, face boolean")
+    own = checkpointed(own)
+    side = own.where("face").select("v", "root")
+    met = scattered(side.select(F.col("v").alias("w"), F.col("root").alias("a")), space, offsets, space.ijk("w"), ["a"]).distinct()
+    edges = checkpointed(met.join(side, "v").select("a", F.col("root").alias("b")).where("a <> b").distinct())
+    final = _settled(edges, most)
+    return own.join(final.withColumnRenamed("v", "root"), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
+
+
+def _settled(edges: DataFrame, most: int) -> DataFrame:
+    """(v, to): the least vertex that each end of the edges (a, b), given both ways, reaches.
+
+    Labels fall to the least of the neighbours and then jump to their label's label, so a chain of n settles in about
+    log n rounds, checkpointed each.
+    """
+    labels = edges.select(F.col("a").alias("v")).distinct().withColumn("to", F.col("v"))
+    if edges.isEmpty():
+        return labels
     for _ in range(most):
-        spread = scattered(labels.select("v", "root"), space, offsets, space.ijk(), ["root"]).groupBy("v").agg(F.min("root").alias("near"))
-        low = labels.join(spread, "v", "left").select("v", "root", F.least("root", "near").alias("to"))
-        # a voxel and the root it points to both take the least label seen; then all pointers jump twice
-        hooked = low.select("v", "to").union(low.select(F.col("root").alias("v"), "to")).groupBy("v").agg(F.min("to").alias("p"))
+        near = edges.join(labels.select(F.col("v").alias("a"), "to"), "a").groupBy(F.col("b").alias("v")).agg(F.min("to").alias("near"))
+        low = labels.join(near, "v").select("v", F.col("to").alias("was"), F.least("to", "near").alias("low"))
+        # a vertex and the one it points to both take the least label seen; then all pointers jump twice
+        hooked = low.select("v", "low").union(low.select(F.col("was").alias("v"), "low")).groupBy("v").agg(F.min("low").alias("p"))
         for _ in range(2):
             hooked = hooked.join(hooked.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p"))
-        new = _checkpointed(labels.join(hooked, "v").select("v", F.col("p").alias("root"), F.col("root").alias("was")))
-        changed = new.where("root <> was").limit(1).count()
-        labels = new.select("v", "root")
-        if not changed:
+        new = checkpointed(labels.join(hooked, "v").select("v", F.col("p").alias("to"), F.col("to").alias("was")))
+        labels = new.select("v", "to")
+        if new.where("to <> was").isEmpty():
             return labels
     raise RuntimeError("components did not settle")
 
@@ -56,9 +102,7 @@ def conn_comp(frame: Frame, threshold: float = 0.0, connect: str = "26-connect",
         on = on.join(mask.df.where(F.col(mask.value).cast("double") != 0).select("v"), "v", "left_semi")
     found = components(on, frame.space, connect)
     per = found.groupBy("root").agg(F.count("*").alias("size"), F.min(c_order(frame.space)).alias("first"))
-    # one row a component: their order needs one sort of the components, not of the voxels
-    numbered = per.withColumn("index", F.row_number().over(Window.orderBy("first"))).select("root", "index", "size")
-    return found.join(numbered, "root").select("v", "index", "size")
+    return found.join(numbered(per, "first", "index", 1), "root").select("v", "index", "size")
 
 
 def cluster_table(frame: Frame, comp: DataFrame) -> DataFrame:
@@ -132,26 +176,42 @@ def neighbor_count_18(on: DataFrame, space) -> DataFrame:
 
 
 def peel_restore(on: DataFrame, space, peels: int = 1, threshold: int = 17) -> DataFrame:
-    """Voxels with under ``threshold`` neighbours on are peeled off, ``peels`` times; then those next to what stayed come back."""
-    core = on.select("v")
-    for _ in range(peels):
-        core = core.join(neighbor_count_18(core, space).where(F.col("n") >= threshold), "v", "left_semi")
-    for _ in range(peels):
-        near = neighbor_count_18(core, space).select("v")
-        core = core.union(on.select("v").join(near, "v", "left_semi")).distinct()
+    """Voxels with under ``threshold`` (1 to 18) neighbours on are peeled off, ``peels`` times. Then, the last peel first,
+    peeled voxels come back that touch what stayed: by any neighbour in the first round, by two or more in later ones."""
+    if peels < 1:
+        return on.select("v")
+    core, peeled = on.select("v"), None
+    for p in range(1, peels + 1):
+        stay = core.join(neighbor_count_18(core, space).where(F.col("n") >= min(18, max(1, threshold))), "v", "left_semi")
+        off = core.join(stay, "v", "left_anti").withColumn("peel", F.lit(p))
+        core, peeled = checkpointed(stay), off if peeled is None else peeled.union(off)
+    peeled = checkpointed(peeled)
+    for p in range(peels, 0, -1):
+        near = neighbor_count_18(core, space).where(F.col("n") > (0 if p == peels else 1))
+        back = peeled.where(F.col("peel") >= p).join(near, "v", "left_semi").join(core, "v", "left_anti").select("v")
+        core = checkpointed(core.union(back))
     return core
 
 
-def automask(frame: Frame, mfrac: float = 0.5, peels: int = 1, threshold: int = 17) -> Frame:
-    """Clip at a level, keep the largest component, peel and restore, fill holes, keep the largest again."""
-    from .reduce import clip_level
+def automask(frame: Frame, mfrac: float = 0.5, gradual: bool = True, representative: str = "mean_abs", peels: int = 1, threshold: int = 17, connect: str = "26-connect") -> Frame:
+    """Clip, keep the largest component, peel and restore, keep the largest again, fill holes, keep the largest again.
+
+    gradual: levels vary over space (``reduce.gradual_clip``). A series is represented by the mean or the median of its
+    absolute values over time. No voxel is kept where the level of the whole volume is 0.
+    """
+    from .reduce import clip_level, gradual_clip
 
+    if representative not in ("mean_abs", "median"):
+        raise InvalidArgument("representative must be mean_abs or median")
     if frame.kind == "series":
-        df = frame.df.groupBy("v").agg(F.avg(F.abs("x")).alias("value"))
-        frame = Frame(df, frame.space.spatial, "volume", frame.sparse)
-    level = clip_level(frame, mfrac)
-    on = frame.df.where(F.abs("value") > level).select("v")
-    on = largest_component(on, frame.space)
-    on = peel_restore(on, frame.space, peels, threshold)
-    on = fill_holes(on, frame.space)
-    return Frame(largest_component(on, frame.space).withColumn("value", F.lit(True)), frame.space, "volume", True)
+        how = F.sum(F.abs("x")) / frame.space.dim[3] if representative == "mean_abs" else F.median(F.abs("x"))
+        data = densified(frame) if representative == "median" else frame
+        frame = Frame(data.df.groupBy("v").agg(how.alias("value")), frame.space.spatial, "volume", data.sparse)
+    frame = frame.like(frame.df.select("v", F.abs("value").alias("value")))
+    level, threshold_at = gradual_clip(frame, mfrac) if gradual else ((one := clip_level(frame, mfrac)), F.lit(one))
+    on = frame.df.where(F.col("value") >= threshold_at).select("v") if level > 0 else frame.df.where("false").select("v")
+    on = checkpointed(largest_component(on, frame.space, connect))
+    if peels > 0:
+        on = checkpointed(largest_component(peel_restore(on, frame.space, peels, threshold), frame.space, connect))
+    on = largest_component(checkpointed(fill_holes(on, frame.space)), frame.space, connect)
+    return Frame(on.withColumn("value", F.lit(True)), frame.space, "volume", True)

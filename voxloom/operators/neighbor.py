@@ -2,7 +2,7 @@
 
 A neighbourhood is a fixed table of offsets. Each stored voxel is scattered to the centres it is a neighbour of and the
 contributions are summed there: one shuffle with map-side combination, and no join with neighbours. Rows multiply by
-the number of offsets, which ``offsets_checked`` bounds.
+the number of offsets, which ``offsets_checked`` bounds. Offsets reach the plan as constant arrays, whatever their number.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.contracts import InvalidArgument, OpParams, OutOfBounds, assert_same_space, receipt_for
-from ..plans.frame import Frame, densified
+from ..plans.frame import Frame, checkpointed, densified, numbered
 from ..plans.space import Space
 
-MOST_OFFSETS = 4096
+#: A ball of 39 voxels has as many.
+MOST_OFFSETS = 1 << 18
 
 
 def offsets_checked(offsets: list[tuple]) -> list[tuple]:
@@ -27,9 +28,13 @@ def offsets_checked(offsets: list[tuple]) -> list[tuple]:
     return offsets
 
 
+def _box(reach) -> list[tuple[int, int, int]]:
+    a, b, c = reach
+    return [(i, j, k) for i in range(-a, a + 1) for j in range(-b, b + 1) for k in range(-c, c + 1)]
+
+
 def box_offsets(surround) -> list[tuple[int, int, int]]:
-    a, b, c = (surround,) * 3 if isinstance(surround, int) else surround
-    return offsets_checked([(i, j, k) for i in range(-a, a + 1) for j in range(-b, b + 1) for k in range(-c, c + 1)])
+    return offsets_checked(_box((surround,) * 3 if isinstance(surround, int) else surround))
 
 
 def ball_offsets(space: Space, radius: float) -> list[tuple[int, int, int]]:
@@ -38,12 +43,17 @@ def ball_offsets(space: Space, radius: float) -> list[tuple[int, int, int]]:
     if radius <= 0 or radius < min(s):
         raise InvalidArgument("the radius must be positive and at least the smallest spacing")
     reach = [int(radius / x + 1e-9) for x in s]
-    return offsets_checked([o for o in box_offsets(tuple(reach)) if sum((d * x) ** 2 for d, x in zip(o, s)) <= radius * radius + 1e-9])
+    return offsets_checked([o for o in _box(reach) if sum((d * x) ** 2 for d, x in zip(o, s)) <= radius * radius + 1e-9])
 
 
 def ellipsoid_offsets(radii) -> list[tuple[int, int, int]]:
     """Offsets in voxels with sum((d / r) ** 2) <= 1."""
-    return offsets_checked([o for o in box_offsets(tuple(int(r) for r in radii)) if sum((d / r) ** 2 for d, r in zip(o, radii)) <= 1 + 1e-12])
+    return offsets_checked([o for o in _box([int(r) for r in radii]) if sum((d / r) ** 2 for d, r in zip(o, radii)) <= 1 + 1e-12])
+
+
+def constant(values, kind: str) -> Column:
+    """A constant array; one call to the driver's JVM, and folded to a literal by the optimiser."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
 def connectivity(kind: str) -> list[tuple[int, int, int]]:
@@ -113,14 +123,25 @@ def ellipsoid_roi(spark, space, center, radii):
 def scattered(df: DataFrame, space: Space, offsets, ijk: tuple[Column, Column, Column], keep: list, ordered: bool = False) -> DataFrame:
     """A row for each row and offset whose target lies in the grid: (keep, [ord], [w], v)."""
     weighted = len(offsets[0]) == 4
-    table = F.array(*(F.struct(F.lit(n).alias("ord"), *(F.lit(int(d)).alias(a) for d, a in zip(o, ("dx", "dy", "dz"))), *([F.lit(float(o[3])).alias("w")] if weighted else [])) for n, o in enumerate(offsets)))
-    at = df.select(*keep, *(c.cast("int").alias(n) for c, n in zip(ijk, ("_i", "_j", "_k"))), F.explode(table).alias("o"))
+    arrays = [constant([int(o[a]) for o in offsets], "int") for a in range(3)] + ([constant([float(o[3]) for o in offsets], "double")] if weighted else [])
+    table = F.arrays_zip(*(c.alias(n) for c, n in zip(arrays, ("dx", "dy", "dz", "w"))))
+    at = df.select(*keep, *(c.cast("int").alias(n) for c, n in zip(ijk, ("_i", "_j", "_k"))), F.posexplode(table).alias("ord", "o"))
     i, j, k = F.col("_i") + F.col("o.dx"), F.col("_j") + F.col("o.dy"), F.col("_k") + F.col("o.dz")
-    extra = [F.col("o.ord").alias("ord")] * ordered + [F.col("o.w").alias("w")] * weighted
+    extra = [F.col("ord")] * ordered + [F.col("o.w").alias("w")] * weighted
     names = at.columns[: len(keep)]
     return at.where(space.inside(i, j, k)).select(*names, *extra, space.index(i.cast("long"), j, k).alias("v"))
 
 
+def within(frame: Frame, on: DataFrame) -> DataFrame:
+    """The frame's rows in the voxels ``on`` (v); what a sparse frame lacks there is zero."""
+    if not frame.sparse:
+        return frame.df.join(on, "v", "left_semi")
+    every = on.select("v")
+    if frame.kind == "series":
+        every = every.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(frame.space.dim[3] - 1))))
+    return every.join(frame.df, list(frame.keys), "left").select(*frame.keys, F.coalesce(F.col(frame.value), F.lit(0.0)).alias(frame.value))
+
+
 # --- searchlights ---------------------------------------------------------------------------------
 
 
@@ -133,13 +154,16 @@ def searchlight_coords(mask: Frame, radius: float, nonzero: bool = True) -> Data
 
 
 def searchlight(frame: Frame, mask: Frame, radius: float, how: str = "mean") -> Frame:
-    """A statistic of the in-mask ball of each mask voxel: mean, sd (of all), min, max or range; a series gives one per time."""
+    """A statistic of the in-mask ball of each mask voxel: mean, sd (of all), min, max or range; a series gives one per time.
+
+    What a sparse frame lacks in the mask counts as zero.
+    """
     assert_same_space(frame.space, mask.space)
     functions = {"mean": F.avg, "sd": F.stddev_pop, "min": F.min, "max": F.max, "range": lambda c: F.max(c) - F.min(c)}
     if how not in functions:
         raise InvalidArgument(f"no statistic {how!r}")
     on = mask.df.where(F.col(mask.value).cast("double") != 0).select("v")
-    data = frame.df.join(on, "v", "left_semi")
+    data = within(frame, on)
     other = [k for k in frame.keys if k != "v"]
     spread = scattered(data, frame.space, ball_offsets(frame.space, radius), frame.space.ijk(), [*other, F.col(frame.value).alias("_x")])
     df = spread.groupBy("v", *other).agg(functions[how]("_x").alias(frame.value)).join(on, "v", "left_semi")
@@ -158,43 +182,90 @@ def searchlight_apply(frame: Frame, mask: Frame, radius: float, method) -> DataF
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         voxels, col = np.unique(group.v.to_numpy(), return_inverse=True)
-        data = np.zeros((times, len(voxels)))
-        data[group.t.to_numpy(), col] = group.x.to_numpy()
+        data, there = np.zeros((times, len(voxels))), group.t.notna().to_numpy()
+        data[group.t.to_numpy()[there].astype(int), col[there]] = group.x.to_numpy()[there]
         return pd.DataFrame({"center": [group.center.iloc[0]], "value": [float(method(data))]})
 
-    out = balls.join(frame.df, "v").groupBy("center").applyInPandas(run, "center long, value double")
+    out = balls.join(frame.df, "v", "left" if frame.sparse else "inner").groupBy("center").applyInPandas(run, "center long, value double")
     return out.where(~F.isnan("value") & (F.abs("value") != float("inf")))
 
 
 def searchlight_contrast(frame: Frame, mask: Frame, radius: float, condition: DataFrame) -> DataFrame:
     """(v, value): local mean under a condition (t, condition) less the local mean without it."""
     on = mask.df.where(F.col(mask.value).cast("double") != 0).select("v")
-    times = frame.df.join(on, "v", "left_semi").join(F.broadcast(condition), "t")  # one row per time
+    times = within(frame, on).join(F.broadcast(condition), "t")  # one row per time
     sums = times.groupBy("v").agg(*(f(F.when(F.col("condition") == c, F.col("x"))).alias(n) for c, f, n in ((True, F.sum, "s1"), (True, F.count, "n1"), (False, F.sum, "s0"), (False, F.count, "n0"))))
     spread = scattered(sums, frame.space, ball_offsets(frame.space, radius), frame.space.ijk(), ["s1", "n1", "s0", "n0"])
     df = spread.groupBy("v").agg(*(F.sum(n).alias(n) for n in ("s1", "n1", "s0", "n0"))).join(on, "v", "left_semi")
     return df.select("v", (F.try_divide("s1", "n1") - F.try_divide("s0", "n0")).alias("value"))
 
 
-def resampled_searchlight(frame: Frame, mask: Frame, radius: float, n_resamples: int = 100, seed: int = 0) -> DataFrame:
-    """(v, value): the mean over bootstrap draws of times of each ball's mean; draws come from one seeded table (draw, t, times)."""
+def bootstrap_draws(times: int, n_resamples: int, seed: int) -> list[list[int]]:
+    """For each draw as many times as there are, with replacement; one seeded table for all balls."""
     import numpy as np
 
-    times = frame.space.dim[3]
-    drawn = np.random.default_rng(seed).integers(0, times, (n_resamples, times))
-    weight = np.bincount(drawn.ravel(), minlength=times) / drawn.size
-    w = F.element_at(F.array(*map(F.lit, weight.tolist())), F.col("t") + 1)
+    return np.random.default_rng(seed).integers(0, times, (n_resamples, times)).tolist()
+
+
+def resampled_searchlight(frame: Frame, mask: Frame, radius: float, method=None, n_resamples: int = 100, seed: int = 0) -> DataFrame:
+    """(v, value): the mean over bootstrap draws of times of ``method`` of each ball's drawn (time, voxel) array.
+
+    Without a method: of its mean, which needs the draws' counts of times only.
+    """
+    import numpy as np
+
+    drawn = np.array(bootstrap_draws(frame.space.dim[3], n_resamples, seed))
+    if method is not None:
+        out = searchlight_apply(frame, mask, radius, lambda data: float(np.mean([method(data[at]) for at in drawn])))
+        return out.withColumnRenamed("center", "v")
+    weight = constant((np.bincount(drawn.ravel(), minlength=frame.space.dim[3]) / drawn.size).tolist(), "double")
     on = mask.df.where(F.col(mask.value).cast("double") != 0).select("v")
-    per_voxel = frame.df.join(on, "v", "left_semi").groupBy("v").agg(F.sum(F.col("x") * w).alias("m"))
+    per_voxel = within(frame, on).groupBy("v").agg(F.sum(F.col("x") * F.get(weight, F.col("t"))).alias("m"))
     spread = scattered(per_voxel, frame.space, ball_offsets(frame.space, radius), frame.space.ijk(), ["m"])
     return spread.groupBy("v").agg(F.avg("m").alias("value")).join(on, "v", "left_semi")
 
 
-def random_centers(mask: Frame, n: int, seed: int = 0) -> DataFrame:
-    """(draw, v): n centres with replacement, by a hash of the seed: the mask voxel of the least hash in each draw."""
+def clustered_searchlight(mask: Frame, labels: Frame | None = None, csize: int | None = None, seed: int = 0) -> DataFrame:
+    """(label, v): the mask's voxels by the cluster of ``labels``, or of ``csize`` k-means clusters of their coordinates."""
     on = mask.df.where(F.col(mask.value).cast("double") != 0).select("v")
-    draws = on.select("v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-    return draws.groupBy("draw").agg(F.min_by("v", F.struct(F.xxhash64("draw", "v", F.lit(seed)), "v")).alias("v"))
+    if labels is not None:
+        assert_same_space(mask.space, labels.space)
+        return labels.df.join(on, "v", "left_semi").select("label", "v")
+    if csize is None:
+        raise InvalidArgument("either labels or csize")
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    at = on.select("v", *(c.cast("double").alias(n) for c, n in zip(mask.space.ijk(), "ijk")))
+    data = VectorAssembler(inputCols=["i", "j", "k"], outputCol="features").transform(at)
+    return KMeans(k=csize, seed=seed).fit(data).transform(data).select((F.col("prediction") + 1).alias("label"), "v")
+
+
+def cluster_searchlight_series(frame: Frame, labels: Frame, method) -> DataFrame:
+    """(label, value) of a Python function of each cluster's (time, voxel) array; a cluster must fit one task, as the function asks for it whole."""
+    import numpy as np
+    import pandas as pd
+
+    assert_same_space(frame.space, labels.space)
+    times = frame.space.dim[3]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        voxels, col = np.unique(g.v.to_numpy(), return_inverse=True)
+        data, there = np.zeros((times, len(voxels))), g.t.notna().to_numpy()
+        data[g.t.to_numpy()[there].astype(int), col[there]] = g.x.to_numpy()[there]
+        return pd.DataFrame({"label": [g.label.iloc[0]], "value": [float(method(data))]})
+
+    return labels.df.join(frame.df, "v", "left").groupBy("label").applyInPandas(run, "label long, value double")
+
+
+def random_centers(mask: Frame, n: int, seed: int = 0) -> DataFrame:
+    """(draw, v): n centres with replacement: draw d takes the mask voxel whose place in order is a hash of d and the seed, modulo their number."""
+    on = numbered(mask.df.where(F.col(mask.value).cast("double") != 0).select("v"), "v", "place")
+    size = on.count()
+    if not size:
+        return on.select(F.col("place").cast("int").alias("draw"), "v")
+    draws = on.sparkSession.range(n).select(F.col("id").cast("int").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)).alias("place"))
+    return draws.join(on, "place").select("draw", "v")
 
 
 def covering_centers(mask: Frame, radius: float, seed: int = 0) -> DataFrame:
@@ -203,7 +274,7 @@ def covering_centers(mask: Frame, radius: float, seed: int = 0) -> DataFrame:
     Rounds of local minima: a voxel whose hash is the least of its undecided ball is kept and its ball decided; the
     same set as the sequential greedy walk in order of the hashes.
     """
-    balls = searchlight_coords(mask, radius).withColumn("h", F.xxhash64("v", F.lit(seed))).checkpoint()
+    balls = checkpointed(searchlight_coords(mask, radius).withColumn("h", F.xxhash64("v", F.lit(seed))))
     left, kept = balls.select("center").distinct(), None
     while not left.isEmpty():
         alive = balls.join(left, "center", "left_semi").join(left.withColumnRenamed("center", "v"), "v", "left_semi")
@@ -252,19 +323,21 @@ def gaussian_blur(frame: Frame, sigma: float | None = 2.0, window: float = 1.0,
         sources = df.withColumn("_p", at)
         r = weights[-1][0]
         # every p within r of the cell or of one of its mirror images: p + d reflects onto it
-        mirrored = {}
+        mirrored: list[dict[int, float]] = [{} for _ in range(n)]
         for p in range(n):
             for d, w in weights:
                 m = (p + d) % (2 * n)
                 q = m if m < n else 2 * n - 1 - m
-                mirrored[(q, p)] = mirrored.get((q, p), 0.0) + w
-        if n <= 512:
-            by_source = [[(p, w) for (q, p), w in mirrored.items() if q == source] for source in range(n)]
-            table = F.array(*(F.array(*(F.struct(F.lit(p - q).alias("d"), F.lit(w).alias("w")) for p, w in row)) for q, row in enumerate(by_source)))
-            spread = sources.select(*other, "v", "_x", F.explode(F.element_at(table, F.col("_p") + 1)).alias("o"))
+                mirrored[q][p - q] = mirrored[q].get(p - q, 0.0) + w
+        if n * len(weights) <= 1 << 16:
+            size = [len(row) for row in mirrored]
+            first = constant([1 + sum(size[:q]) for q in range(n)], "int")
+            steps, shares = (constant([x[c] for row in mirrored for x in row.items()], kind) for c, kind in ((0, "int"), (1, "double")))
+            own = [F.slice(a, F.get(first, F.col("_p")), F.get(constant(size, "int"), F.col("_p"))) for a in (steps, shares)]
+            spread = sources.select(*other, "v", "_x", F.explode(F.arrays_zip(own[0].alias("d"), own[1].alias("w"))).alias("o"))
             df = spread.select(*other, (F.col("v") + F.col("o.d") * stride).alias("v"), (F.col("_x") * F.col("o.w")).alias("_y"))
         else:  # long axes: inner cells by shift, the edges' mirror images by reflection, both exact
-            table = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in weights))
+            table = F.arrays_zip(constant([d for d, _ in weights], "int").alias("d"), constant([w for _, w in weights], "double").alias("w"))
             spread = sources.select(*other, "v", "_p", "_x", F.explode(table).alias("o"))
             inner = spread.withColumn("_t", F.col("_p") - F.col("o.d")).where((F.col("_t") >= 0) & (F.col("_t") < n))
             low = spread.withColumn("_t", -F.col("_p") - 1 - F.col("o.d")).where((F.col("_t") >= 0) & (F.col("_t") < r))
@@ -374,10 +447,17 @@ def graph_smooth(frame: Frame, fwhm: float, mask: Frame) -> Frame:
 
 
 def leave_one_run_out(frame: Frame, runs: DataFrame) -> DataFrame:
-    """(v, run, value): each run's mean of all other runs' values; runs: (t, run). The base that a per-run smoothing starts from."""
-    by_run = frame.df.join(F.broadcast(runs), "t").groupBy("v", "run").agg(F.sum("x").alias("s"), F.count("*").alias("n"))  # one row per time
-    total = by_run.groupBy("v").agg(F.sum("s").alias("all"), F.sum("n").alias("cells"))
-    return by_run.join(total, "v").select("v", "run", F.try_divide(F.col("all") - F.col("s"), F.col("cells") - F.col("n")).alias("value"))
+    """(v, run, value): each run's mean of all other runs' values; runs: (t, run). The base that a per-run smoothing starts from.
+
+    What a sparse frame lacks counts as zero: a stored voxel has a row for every run. With a single run the mean is null.
+    """
+    sizes = runs.groupBy("run").count().orderBy("run").collect()  # one row per run
+    cells = sum(r["count"] for r in sizes)
+    table = F.arrays_zip(constant([r.run for r in sizes], dict(runs.dtypes)["run"]).alias("run"), constant([r["count"] for r in sizes], "int").alias("n"))
+    by_run = frame.df.join(F.broadcast(runs), "t").groupBy("v", "run").agg(F.sum("x").alias("s"))  # one row per time
+    total = by_run.groupBy("v").agg(F.sum("s").alias("all")).select("v", "all", F.explode(table).alias("r")).select("v", "all", "r.run", "r.n")
+    value = F.try_divide(F.col("all") - F.coalesce("s", F.lit(0.0)), (F.lit(cells) - F.col("n")).cast("double"))
+    return total.join(by_run, ["v", "run"], "left").select("v", "run", value.alias("value"))
 
 
 def smooth_leave_one_run_out(frame: Frame, fwhm: float, runs: DataFrame, mask: Frame) -> DataFrame:

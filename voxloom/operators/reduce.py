@@ -49,8 +49,20 @@ def which_extreme(frame: Frame) -> DataFrame:
     return f.df.agg(F.min_by("v", F.struct("value", "v")).alias("which_min"), F.max_by("v", F.struct("value", -F.col("v"))).alias("which_max"))
 
 
+def _moments(frame: Frame) -> DataFrame:
+    """(v, m, s): mean and standard deviation over all times; times that a sparse frame lacks at a stored voxel are zero."""
+    some = frame.df.groupBy("v").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("n"))
+    if not frame.sparse:
+        return some.select("v", "m", "s")
+    share = F.col("n") / F.lit(frame.space.dim[3])
+    # the variance of the stored times, and between them and the zeros
+    spread = F.sqrt(share * F.col("s") * F.col("s") + share * (1 - share) * F.col("m") * F.col("m"))
+    whole = F.col("n") == frame.space.dim[3]
+    return some.select("v", F.when(whole, F.col("m")).otherwise(F.col("m") * share).alias("m"), F.when(whole, F.col("s")).otherwise(spread).alias("s"))
+
+
 def mean_over_time(frame: Frame) -> Frame:
-    df = frame.df.groupBy("v").agg(F.avg("x").alias("value"))
+    df = _moments(frame).select("v", F.col("m").alias("value"))
     return Frame(df, frame.space.spatial, "volume", frame.sparse, receipt_for(frame.space, OpParams("mean"), upstream=frame.receipt))
 
 
@@ -58,7 +70,7 @@ def temporal_snr(frame: Frame, mask: Frame | None = None) -> Frame:
     """Mean over standard deviation (of all times); 0 where that is 0 and outside the mask."""
     if mask is not None:
         assert_same_space(frame.space, mask.space)
-    df = frame.df.groupBy("v").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).select("v", F.when(F.col("s") > 0, F.col("m") / F.col("s")).otherwise(0.0).alias("value"))
+    df = _moments(frame).select("v", F.when(F.col("s") > 0, F.col("m") / F.col("s")).otherwise(0.0).alias("value"))
     if mask is not None:
         on = mask.df.where(F.col(mask.value).cast("double") != 0).select("v", F.lit(True).alias("on"))
         df = df.join(on, "v", "left").select("v", F.when(F.col("on"), F.col("value")).otherwise(0.0).alias("value"))
@@ -66,9 +78,15 @@ def temporal_snr(frame: Frame, mask: Frame | None = None) -> Frame:
 
 
 def parcel_means(frame: Frame, labels: Frame) -> Frame:
-    """The mean series of each label's voxels."""
+    """The mean series of each label's voxels; what a sparse frame lacks in them is zero."""
     assert_same_space(frame.space, labels.space)
-    df = frame.df.join(labels.df, "v").groupBy("label", "t").agg(F.avg("x").alias("x"))
+    df = frame.df.join(labels.df, "v").groupBy("label", "t")
+    if not frame.sparse:
+        df = df.agg(F.avg("x").alias("x"))
+    else:
+        sizes = labels.df.groupBy("label").agg(F.count("*").alias("n"))
+        every = sizes.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(frame.space.dim[3] - 1))))
+        df = every.join(df.agg(F.sum("x").alias("s")), ["label", "t"], "left").select("label", "t", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("x"))
     return Frame(df, frame.space, "parcels", False, receipt_for(frame.space, OpParams("parcel_means"), upstream=frame.receipt))
 
 
@@ -257,34 +275,98 @@ def partition(frame: Frame, k: int, seed: int = 0) -> Frame:
     return Frame(model.transform(data).select("v", rank.alias("label")), frame.space, "labels", True)
 
 
-def clip_level(frame: Frame, mfrac: float = 0.5) -> float:
-    """A level under which values are background: mfrac times the median of what lies over it, by iteration on a histogram.
+def clip_levels(frame: Frame, boxes: list[tuple[tuple[int, int], tuple[int, int], tuple[int, int]]], mfrac: float = 0.5) -> list[float]:
+    """A level for each box of the grid ((first, last) by axis) under which values are background.
 
-    Values <= 0 don't count; integer images have a bin per value up to 32767, others 10,000 bins; 222 positive values or
-    fewer give 0.
+    The level is ``mfrac`` times the median of what lies over it, the fixed point of at most 66 steps on a histogram of
+    the positive values: one bin per value for integers up to 32,767, else 10,000 bins. The walk starts where 65 % of
+    the values lie above, or at half the root mean square if that is higher. 222 positive values or fewer give 0.
     """
+    import numpy as np
+
+    mfrac = mfrac if 0 < mfrac < 0.99 else 0.5
     x = F.col("value")
-    pos = frame.df.where(~F.isnan(x) & (x > 0) & (x < float("inf")))
-    got = pos.agg(F.count("*").alias("n"), F.max(x).alias("hi"), F.bool_and(x == F.floor(x)).alias("whole")).first()
-    if got.n <= 222:
-        return 0.0
-    width = 1.0 if got.whole and got.hi <= 32767 else got.hi / 10000
-    bins = {int(r.b): r.n for r in pos.groupBy(F.floor(x / width).alias("b")).agg(F.count("*").alias("n")).collect()}  # 32768 bins at most
-    top = max(bins)
-    count = [bins.get(b, 0) for b in range(top + 1)]
-    # start: mfrac of the root mean square
-    square = sum(n * (b * b) for b, n in enumerate(count))
-    cut = int(mfrac * (square / got.n) ** 0.5)
+    at = frame.space.ijk()
+    inside = [F.when(F.lit(True), F.lit(n)) if box is None else F.when(_all_between(at, box), F.lit(n)) for n, box in enumerate(boxes)]
+    rows = frame.df.where(~F.isnan(x) & (x > 0) & (x < float("inf"))).select("value", F.explode(F.array_compact(F.array(*inside))).alias("box"))
+    stats = {r.box: r for r in rows.groupBy("box").agg(F.count("*").alias("n"), F.max(x).alias("hi"), F.bool_and(F.abs(x - F.rint(x)) < 1e-8).alias("whole")).collect()}  # one row per box
+    scale, tops, place = {}, {}, F.lit(None).cast("long")
+    for n, r in stats.items():
+        if r.n <= 222 or r.hi < 1e-100:
+            continue
+        whole = r.whole and r.hi <= 32767
+        tops[n] = (255 if r.hi <= 255 else 32767) if whole else 10_000
+        scale[n] = 1.0 if whole else tops[n] / r.hi
+        place = F.when(F.col("box") == n, (F.rint(x) if whole else F.floor(x * scale[n] + 0.499)).cast("long")).otherwise(place)
+    if not scale:
+        return [0.0] * len(boxes)
+    counts = {n: np.zeros(top + 1, np.int64) for n, top in tops.items()}
+    for r in rows.select("box", place.alias("bin")).where("bin is not null").groupBy("box", "bin").count().collect():  # at most 32,768 a box
+        if r.bin <= tops[r.box]:
+            counts[r.box][r.bin] = r["count"]
+    return [_fixed_point(counts[n], mfrac) / scale[n] if n in scale else 0.0 for n in range(len(boxes))]
+
+
+def _all_between(at, box):
+    out = F.lit(True)
+    for c, (first, last) in zip(at, box):
+        out = out & c.between(first, last)
+    return out
+
+
+def _fixed_point(count, mfrac: float) -> int:
+    """The bin of the level; the topmost bin is not walked over."""
+    import numpy as np
+
+    total, top = int(count.sum()), len(count) - 1
+    if total <= 222:
+        return 0
+    below = np.append(0, np.cumsum(count[:top]))  # values under each bin
+    square = float((np.arange(top + 1, dtype=float) ** 2 * count).sum())
+    enough = np.flatnonzero(below[top] - below[1:] >= int(0.65 * total))
+    cut = max(0, round(0.5 * (square / total) ** 0.5) - 1, int(enough[-1]) if len(enough) else 0)
     for _ in range(66):
-        above = sum(count[cut:])
-        half, seen, median = above / 2, 0, cut
-        for b in range(cut, top + 1):
-            seen += count[b]
-            median = b
-            if seen >= half:
-                break
-        new = int(mfrac * median)
+        half = (below[top] - below[min(cut, top)]) // 2
+        middle = max(cut, min(top, int(np.searchsorted(below, below[min(cut, top)] + half))))
+        new = int(mfrac * middle)
         if new == cut:
             break
         cut = new
-    return cut * width
+    return cut
+
+
+def clip_level(frame: Frame, mfrac: float = 0.5) -> float:
+    """The level of the whole volume, as ``clip_levels``."""
+    return clip_levels(frame, [None], mfrac)[0]
+
+
+def gradual_clip(frame: Frame, mfrac: float = 0.5):
+    """(level of the whole volume, a column of levels that vary over space).
+
+    Eight boxes meet, with a little overlap, at the centre of mass of the positive values. Each has its own level, at
+    least a third of the whole volume's; between the boxes' middles levels are interpolated along each axis.
+    """
+    from itertools import product
+
+    dim, at = frame.space.dim[:3], frame.space.ijk()
+    weight = F.when(~F.isnan("value") & (F.col("value") > 0) & (F.col("value") < float("inf")), F.col("value"))
+    mass = frame.df.agg(*(F.try_divide(F.sum(c.cast("double") * weight), F.sum(weight)).alias(n) for c, n in zip(at, "ijk"))).first()
+    ends = []
+    for n, m in zip(dim, mass):
+        center = min(max(round((n - 1) / 2 if m is None else m), 0), n - 1)
+        lap = max(1, round(0.01 * n))
+        ends.append((center, (0, min(center + lap, n - 1)), (max(center - lap, 0), n - 1)))
+    corners = list(product((0, 1), repeat=3))
+    whole, *levels = clip_levels(frame, [None, *(tuple(e[1 + c] for e, c in zip(ends, corner)) for corner in corners)], mfrac)
+    levels = [max(level, 0.333 * whole) for level in levels]
+    upper = []
+    for (center, _, _), n, c in zip(ends, dim, at):
+        a, b = 0.5 * center, 0.5 * (center + n - 1)
+        upper.append(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (c - F.lit(a)) / F.lit(b - a))) if b > a else F.lit(0.0))
+    column = F.lit(0.0)
+    for corner, level in zip(corners, levels):
+        share = F.lit(level)
+        for c, u in zip(corner, upper):
+            share = share * (u if c else 1 - u)
+        column = column + share
+    return whole, column

@@ -19,11 +19,31 @@ def _requests(frame: Frame, voxels, out_of_bounds: str = "raise") -> DataFrame:
     return frame.df.sparkSession.createDataFrame(list(enumerate(voxels)), "ord int, v long")
 
 
+#: So many voxels are asked for by their numbers; more by their range and a join.
+LITERALS, BROADCAST_ROWS = 2000, 1_000_000
+
+
+def pruned(df: DataFrame, asked: DataFrame | list[int]) -> DataFrame:
+    """The rows of ``df`` at the voxels asked for (a list, or a column v), by a filter that reaches the source."""
+    if isinstance(asked, list):
+        found = sorted(set(asked))
+    else:
+        found = [r[0] for r in asked.select("v").distinct().limit(BROADCAST_ROWS + 1).collect()] if asked.limit(LITERALS + 1).count() <= LITERALS else None
+    if found is not None and len(found) <= LITERALS:
+        return df.where(F.col("v").isin(found)) if found else df.where("false")
+    if found is not None:
+        asked = df.sparkSession.createDataFrame([(v,) for v in found], "v long")
+    got = asked.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    near = df.where(F.col("v").between(got[0], got[1]))
+    asked = asked.select("v").distinct()
+    return near.join(F.broadcast(asked) if got[2] <= BROADCAST_ROWS else asked, "v", "left_semi")
+
+
 def series_at(frame: Frame, voxels, out_of_bounds: str = "raise") -> DataFrame:
     """(ord, t, x): series of the requested voxels; those outside the mask, or allowed out of bounds, are zero."""
     asked = _requests(frame, voxels, out_of_bounds)
     asked = asked.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(frame.space.dim[3] - 1))))
-    return asked.join(frame.df, ["v", "t"], "left").select("ord", "t", F.coalesce("x", F.lit(0.0)).alias("x"))
+    return asked.join(pruned(frame.df, [int(v) for v in voxels]), ["v", "t"], "left").select("ord", "t", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
 def series_at_coords(frame: Frame, coords, out_of_bounds: str = "raise") -> DataFrame:
@@ -40,7 +60,7 @@ def series_at_world(frame: Frame, world, out_of_bounds: str = "raise") -> DataFr
 
 def volume_values_at(frame: Frame, voxels) -> DataFrame:
     """(ord, value): linear access, in request order; what a sparse frame lacks is zero."""
-    return _requests(frame, voxels).join(frame.df, "v", "left").select("ord", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return _requests(frame, voxels).join(pruned(frame.df, [int(v) for v in voxels]), "v", "left").select("ord", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def matrix_access(frame: Frame, times, voxels) -> DataFrame:
@@ -48,7 +68,7 @@ def matrix_access(frame: Frame, times, voxels) -> DataFrame:
     spark = frame.df.sparkSession
     t = spark.createDataFrame(list(enumerate(map(int, times))), "row int, t int")
     cells = _requests(frame, voxels).withColumnRenamed("ord", "col")
-    found = frame.df.join(F.broadcast(t), "t").join(F.broadcast(cells), "v").select("row", "col", "x")  # requests come from the driver
+    found = pruned(frame.df, [int(v) for v in voxels]).join(F.broadcast(t), "t").join(F.broadcast(cells), "v").select("row", "col", "x")  # requests come from the driver
     return found
 
 
@@ -72,14 +92,14 @@ def series_roi(frame: Frame, roi: DataFrame, space=None) -> DataFrame:
     if space is not None:
         assert_same_space(frame.space, space)
     asked = roi.select("ord", "v").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(frame.space.dim[3] - 1))))
-    return asked.join(frame.df, ["v", "t"], "left").select("ord", "v", "t", F.coalesce("x", F.lit(0.0)).alias("x"))
+    return asked.join(pruned(frame.df, roi), ["v", "t"], "left").select("ord", "v", "t", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
 def values_roi(frame: Frame, roi: DataFrame, space=None) -> DataFrame:
     """(ord, v, value) of a region (ord, v), zero outside."""
     if space is not None:
         assert_same_space(frame.space, space)
-    return roi.select("ord", "v").join(frame.df, "v", "left").select("ord", "v", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return roi.select("ord", "v").join(pruned(frame.df, roi), "v", "left").select("ord", "v", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def volume_at(frame: Frame, t: int) -> Frame:

@@ -80,3 +80,31 @@ def sparsified(frame: Frame) -> Frame:
         some = frame.df.where(F.col("x") != 0).select("v").distinct()
         return frame.like(frame.df.join(some, "v", "left_semi"), sparse=True)
     return frame.like(frame.df.where(F.col(frame.value) != 0), sparse=True)
+
+
+def numbered(df: DataFrame, order: str, name: str, first: int = 0) -> DataFrame:
+    """``df`` with a column of places in the order of a column, counting from ``first``: a range partitioning and one count
+    per partition, so no task sees more than its partition."""
+    rows = checkpointed(df.orderBy(order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy(part).count().collect())  # one row per partition
+    before, offset = {}, first
+    for k, n in sizes:
+        before[k] = offset
+        offset += n
+    if not sizes:
+        return rows.withColumn(name, F.col("_at")).drop("_at")
+    starts = F.split(F.lit(",".join(str(before.get(k, 0)) for k in range(sizes[-1][0] + 1))), ",").cast("array<bigint>")
+    return rows.withColumn(name, F.get(starts, part.cast("int")) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Through a checkpoint in the folder that the cluster names; one of our own only in local mode."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise InvalidArgument("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxloom-"))
+    return df.checkpoint()

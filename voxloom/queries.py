@@ -258,14 +258,53 @@ def mean_over_time(spark, sf_dir):
     return r6(reduce.mean_over_time(fx.bold(spark, sf_dir)).df, "value")
 
 
-@query(w(BOLD) + f"SELECT v, {R('CASE WHEN v % 3 = 0 AND stddev_pop(x) > 0 THEN avg(x) / stddev_pop(x) ELSE 0 END', 'value')} FROM bold GROUP BY v")
+@query(w(BOLD, ATLAS) + f"SELECT v, {R('CASE WHEN any_value(label) > 3 AND stddev_pop(x) > 0 THEN avg(x) / stddev_pop(x) ELSE 0 END', 'value')} FROM bold JOIN atlas USING (v) GROUP BY v")
 def temporal_snr(spark, sf_dir):
     bold = fx.bold(spark, sf_dir)
     atlas = fx.atlas(spark, sf_dir)
-    mask = Frame(atlas.df.where("v % 3 = 0").select("v", F.lit(True).alias("value")), bold.space.spatial, "volume", True)
+    mask = Frame(atlas.df.where("label > 3").select("v", F.lit(True).alias("value")), bold.space.spatial, "volume", True)
     return r6(reduce.temporal_snr(bold, mask).df, "value")
 
 
+#: The sparse series with a zero for every time that a stored voxel lacks.
+FULL = "full7 AS (SELECT g.v, g.t, coalesce(c.x, 0.0) AS x FROM (SELECT v, unnest(range(0, 7)) AS t FROM (SELECT DISTINCT v FROM counts)) g LEFT JOIN counts c USING (v, t))"
+
+
+@query(w(COUNTS, FULL) + f"SELECT v, {R('avg(x)', 'value')} FROM full7 GROUP BY v")
+def mean_over_time_sparse(spark, sf_dir):
+    return r6(reduce.mean_over_time(fx.counts(spark, sf_dir)).df, "value")
+
+
+@query(w(COUNTS, FULL) + f"SELECT v, {R('CASE WHEN stddev_pop(x) > 0 THEN avg(x) / stddev_pop(x) ELSE 0 END', 'value')} FROM full7 GROUP BY v")
+def temporal_snr_sparse(spark, sf_dir):
+    return r6(reduce.temporal_snr(fx.counts(spark, sf_dir)).df, "value")
+
+
+def sizes_as_labels(spark, sf_dir, space: Space) -> Frame:
+    sizes = fx.volume(spark, sf_dir, "p_size")
+    return Frame(sizes.df.select("v", F.col("value").cast("int").alias("label")), space, "labels", True)
+
+
+@query(w(COUNTS) + f", g AS (SELECT p_partkey AS v, p_size AS label, unnest(range(0, 7)) AS t FROM part) SELECT label, t, {R('avg(coalesce(x, 0.0))', 'x')} FROM g LEFT JOIN counts USING (v, t) GROUP BY label, t")
+def parcel_means_sparse(spark, sf_dir):
+    counts = fx.counts(spark, sf_dir)
+    rows = reduce.parcel_means(counts, sizes_as_labels(spark, sf_dir, counts.space.spatial)).df
+    return lattice(r6(rows, "x"), "t")
+
+
+@query(w(COUNTS) + f", g AS (SELECT p_partkey AS v, p_size AS label, unnest(range(0, 7)) AS t FROM part) SELECT CAST(label AS BIGINT) AS label, {R('max(coalesce(x, 0.0)) - min(coalesce(x, 0.0))', 'value')} FROM g LEFT JOIN counts USING (v, t) GROUP BY label")
+def cluster_series_range(spark, sf_dir):
+    counts = fx.counts(spark, sf_dir)
+    return r6(neighbor.cluster_searchlight_series(counts, sizes_as_labels(spark, sf_dir, counts.space.spatial), lambda a: a.max() - a.min()), "value")
+
+
+@query("SELECT p_size AS label, count(*) AS n, sum(p_partkey)::BIGINT AS s FROM part WHERE p_size > 20 GROUP BY 1")
+def clustered_regions(spark, sf_dir):
+    mask = mask_of(spark, sf_dir)
+    rows = neighbor.clustered_searchlight(mask, sizes_as_labels(spark, sf_dir, mask.space))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+
+
 PARCELS = "parcels AS (SELECT label, t, avg(x) AS x FROM bold JOIN atlas USING (v) GROUP BY label, t)"
 
 
@@ -450,13 +489,13 @@ def searchlight_coords(spark, sf_dir):
     return rows.groupBy("center").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
 
 
-BMASK = "bm AS (SELECT vec_id AS v, CAST(vec_id % 8 AS BIGINT) AS i, CAST((vec_id // 8) % 8 AS BIGINT) AS j, CAST(vec_id // 64 AS BIGINT) AS k FROM embeddings WHERE vec_id % 2 = 0)"
+BMASK = "bm AS (SELECT vec_id AS v, CAST(vec_id % 8 AS BIGINT) AS i, CAST((vec_id // 8) % 8 AS BIGINT) AS j, CAST(vec_id // 64 AS BIGINT) AS k FROM embeddings WHERE label < 5)"
 BBALL = near(2, "4 * (dx * dx + dy * dy) + 9 * dz * dz <= 16")
 
 
 def _bold_mask(spark, sf_dir) -> tuple[Frame, Frame]:
     bold = fx.bold(spark, sf_dir)
-    ids = fx.table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0")
+    ids = fx.table(spark, sf_dir, "embeddings").where("label < 5")
     return bold, Frame(ids.select(F.col("vec_id").alias("v"), F.lit(True).alias("value")), bold.space.spatial, "volume", True)
 
 
@@ -472,10 +511,30 @@ def searchlight_function(spark, sf_dir):
     return r6(neighbor.searchlight_apply(bold, mask, 4.0, lambda a: a.max()), "value")
 
 
-@query()
+BPAIRS = "pairs AS (SELECT a.v, b.v AS u FROM bm a, o, bm b WHERE b.i = a.i + dx AND b.j = a.j + dy AND b.k = a.k + dz)"
+
+
+def _draws_sql(n: int, seed: int) -> str:
+    drawn = neighbor.bootstrap_draws(64, n, seed)
+    return "drawn AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {t})" for k, d in enumerate(drawn) for t in d) + ") d(k, t))"
+
+
+@query(w(BOLD, BMASK, BBALL, BPAIRS, _draws_sql(50, 3)) + f", m AS (SELECT v AS u, avg(x) AS m FROM bold JOIN drawn USING (t) GROUP BY v) SELECT p.v, {R('avg(m)', 'value')} FROM pairs p JOIN m USING (u) GROUP BY p.v")
 def searchlight_bootstrap(spark, sf_dir):
     bold, mask = _bold_mask(spark, sf_dir)
-    return r6(neighbor.resampled_searchlight(bold, mask, 4.0, 50, 3), "value")
+    return r6(neighbor.resampled_searchlight(bold, mask, 4.0, n_resamples=50, seed=3), "value")
+
+
+@query(w(BOLD, BMASK, BBALL, BPAIRS, _draws_sql(8, 5)) + f", best AS (SELECT p.v, b.t, max(x) AS x FROM pairs p JOIN bold b ON b.v = p.u GROUP BY 1, 2), tops AS (SELECT v, k, max(x) AS x FROM best JOIN drawn USING (t) GROUP BY 1, 2) SELECT v, {R('avg(x)', 'value')} FROM tops GROUP BY v")
+def searchlight_bootstrap_max(spark, sf_dir):
+    bold, mask = _bold_mask(spark, sf_dir)
+    return r6(neighbor.resampled_searchlight(bold, mask, 4.0, lambda a: a.max(), 8, 5), "value")
+
+
+@query(w(COUNTS, BALL2, MASK, VDIM, PAIRS) + f", g AS (SELECT p.v, p.u, unnest(range(0, 7)) AS t FROM pairs p JOIN mask m ON m.v = p.u) SELECT g.v, g.t, {R('avg(coalesce(c.x, 0.0))', 'x')} FROM g LEFT JOIN counts c ON c.v = g.u AND c.t = g.t GROUP BY g.v, g.t")
+def searchlight_mean_sparse(spark, sf_dir):
+    counts, mask = fx.counts(spark, sf_dir), mask_of(spark, sf_dir)
+    return lattice(r6(neighbor.searchlight(counts.like(counts.df, space=Space((*mask.space.dim, 7), (2.0, 2.0, 2.0, 1.0))), mask, 4.0).df, "x"), "t")
 
 
 @query()
@@ -485,10 +544,6 @@ def searchlight_random_centers(spark, sf_dir):
 
 @query()
 def searchlight_cover(spark, sf_dir):
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxloom-"))
     return neighbor.covering_centers(mask_of(spark, sf_dir), 4.0, 1)
 
 
@@ -561,6 +616,12 @@ def nuisance_residual(spark, sf_dir):
     return neighbor.nuisance_residual(fx.volume(spark, sf_dir), confounds, mask_of(spark, sf_dir)).withColumn("value", F.round("value", 4) + 0.0)
 
 
+@query(w(COUNTS, FULL) + f", r AS (SELECT v, t // 3 AS run, sum(x) AS s, count(*) AS n FROM full7 GROUP BY 1, 2), a AS (SELECT v, sum(s) AS s, sum(n) AS n FROM r GROUP BY v) SELECT v, run, {R('(a.s - r.s) / (a.n - r.n)', 'value')} FROM r JOIN a USING (v)")
+def leave_one_run_out_sparse(spark, sf_dir):
+    runs = spark.createDataFrame([(t, t // 3) for t in range(7)], "t int, run int")
+    return lattice(r6(neighbor.leave_one_run_out(fx.counts(spark, sf_dir), runs), "value"), "run")
+
+
 @query(w(BOLD) + f", r AS (SELECT v, t // 16 AS run, sum(x) AS s, count(*) AS n FROM bold GROUP BY 1, 2), a AS (SELECT v, sum(s) AS s, sum(n) AS n FROM r GROUP BY v) SELECT v, run, {R('(a.s - r.s) / (a.n - r.n)', 'value')} FROM r JOIN a USING (v)")
 def leave_one_run_out(spark, sf_dir):
     return lattice(r6(neighbor.leave_one_run_out(fx.bold(spark, sf_dir), conditions(spark).select("t", "run")), "value"), "run")
