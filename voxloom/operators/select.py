@@ -27,12 +27,12 @@ def pruned(df: DataFrame, asked: DataFrame | list[int]) -> DataFrame:
     """The rows of ``df`` at the voxels asked for (a list, or a column v), by a filter that reaches the source."""
     if isinstance(asked, list):
         found = sorted(set(asked))
+        asked = df.sparkSession.createDataFrame([(v,) for v in found], "v long") if len(found) > LITERALS else asked
     else:
-        found = [r[0] for r in asked.select("v").distinct().limit(BROADCAST_ROWS + 1).collect()] if asked.limit(LITERALS + 1).count() <= LITERALS else None
+        rows = asked.select("v").limit(LITERALS + 1).collect()
+        found = sorted({r[0] for r in rows}) if len(rows) <= LITERALS else None
     if found is not None and len(found) <= LITERALS:
         return df.where(F.col("v").isin(found)) if found else df.where("false")
-    if found is not None:
-        asked = df.sparkSession.createDataFrame([(v,) for v in found], "v long")
     got = asked.agg(F.min("v"), F.max("v"), F.count("v")).first()
     near = df.where(F.col("v").between(got[0], got[1]))
     asked = asked.select("v").distinct()
