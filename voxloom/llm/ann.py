@@ -3,10 +3,10 @@
 Each vector is represented by its ``ORDER`` nearest of ``PIVOTS`` pivots, in order. The rows are spread over blocks by a
 hash of their id; each block posts its vectors in one inverted file per pivot, with the pivot's place in the vector's
 order. A query walks the files of its own pivots and sums each posted vector's footrule distance (a pivot that one of
-both lacks counts as place ORDER), takes the ``share`` of the block that is nearest by it, at least ``least`` rows, and
+both lacks counts as place ORDER), takes the ``share`` of the block that is nearest by it (``k`` rows at least), and
 ranks these by exact cosine in double precision; the blocks' results are merged. Pivots are a bounded sample; every
 row is indexed. Queries are a stated set, cut into groups of QUERIES, and meet every block, so no task holds more than
-one block and one group.
+one block and one group. The cut is the same share of every table and every block, whatever their size.
 
 Ties go to the smaller id everywhere. With any number of copies of one vector, a block's cut by (footrule, id) keeps the
 smallest ids of them, so the result is what an exhaustive search gives for them.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, written
 
 PIVOTS, ORDER = 256, 64
-BLOCK_ROWS, QUERIES, LEAST_BLOCKS = 16_000, 2_000, 32
+BLOCK_ROWS, QUERIES = 4_000, 20_000
 
 
 def _prepare(pivots):
@@ -54,7 +54,7 @@ def _clean(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "vector"])
 
 
-def _search(k: int, share: float, least: int):
+def _search(k: int, share: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("is_query", "ascending"), ("vec_id", "ascending")])
         is_query = table["is_query"].to_numpy()
@@ -71,7 +71,7 @@ def _search(k: int, share: float, least: int):
             by_pivot = np.argsort(flat, kind="stable")
             rows, place = by_pivot // width, by_pivot % width
             ends = np.searchsorted(flat[by_pivot], np.arange(PIVOTS + 1))
-            cut = min(n, max(least, int(np.ceil(share * n))) + 1)  # one more: the query itself may be among them
+            cut = min(n, max(k, int(np.ceil(share * n))) + 1)  # one more: the query itself may be among them
             for q in range(n, len(ids)):
                 score = np.zeros(n, np.int64)
                 for i, pivot in enumerate(places[q]):
@@ -90,7 +90,7 @@ def _search(k: int, share: float, least: int):
     return run
 
 
-def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, share: float = 0.1, least: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, share: float = 0.15, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row that the condition ``queries`` selects.
 
     Rows with a null id, or a vector that is null, empty, zero or holds null or non-finite components, take no part,
@@ -114,11 +114,11 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: str = "
     pivots = spark.sparkContext.broadcast(p / np.linalg.norm(p, axis=1, keepdims=True))
     index = written(spark, rows.mapInArrow(_prepare(pivots), "vec_id long, vector binary, places binary"), "permutations")
     asked = index.where(queries).dropDuplicates(["vec_id"])
-    blocks = max(LEAST_BLOCKS, -(-total // BLOCK_ROWS))
+    blocks = -(-total // BLOCK_ROWS)
     groups = max(1, -(-asked.count() // QUERIES))
     as_rows = index.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(0).alias("is_query"), "vec_id", "vector", "places")
     as_queries = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("part"), F.lit(1).alias("is_query"), "vec_id", "vector", "places")
-    met = as_rows.union(as_queries).groupBy("block", "part").applyInArrow(_search(k, share, least), "query_id long, vec_id long, score double")
+    met = as_rows.union(as_queries).groupBy("block", "part").applyInArrow(_search(k, share), "query_id long, vec_id long, score double")
     # equal (vec_id, score) of repeated ids count once
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.distinct().withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
