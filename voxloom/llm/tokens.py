@@ -14,6 +14,7 @@ whose rows name the files of successful attempts only; a file that a lost attemp
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -54,7 +55,7 @@ class Encoder:
             self.bytes[k] = len(token)
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.cut, self.known, self.before = cut, {}, {}
-        self.marks = {c: x.tobytes() for c, x in zip(".,!?", self._encode(list(".,!?")))}
+        self.marks = {c: x.tobytes() for c, x in zip(".,!?", self._encode(list(".,!?")))} if cut else {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -117,12 +118,19 @@ class Encoder:
 _ENCODERS: dict[int, Encoder] = {}
 
 
+def breaks_before_spaces(tokenizer_json: str) -> bool:
+    """Whether pieces between single spaces may be encoded alone: a byte-level pre-tokenizer with its own pattern, and no normalizer."""
+    spec = json.loads(tokenizer_json)
+    before = spec.get("pre_tokenizer") or {}
+    return spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+
+
 def encoder_of(tokenizer_json: str) -> Encoder:
-    """This process's encoder: the words that one task met are known to the worker's next."""
+    """This process's encoder: the words that one task met are known to the worker's next. Where pieces may not be cut, whole texts are encoded."""
     key = hash(tokenizer_json)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(tokenizer_json)
+        _ENCODERS[key] = Encoder(tokenizer_json, breaks_before_spaces(tokenizer_json))
     return _ENCODERS[key]
 
 
@@ -232,7 +240,7 @@ def encode_corpus(spark: SparkSession, docs: DataFrame, tokenizer_path: str, out
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(shared, end_id), "doc_id long, ids binary, id int, times long")
     both = written(spark, rows, "ids", compression="zstd")
     counts = both.where("id is not null").groupBy("id").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "id").collect()  # at most the vocabulary
-    encoder = Encoder(shared.value)
+    encoder = encoder_of(shared.value)
     size = max([encoder.size, (end_id or 0) + 1])
     rank_of = np.zeros(size, np.uint32)
     rank_of[[r.id for r in counts]] = np.arange(len(counts), dtype=np.uint32)
