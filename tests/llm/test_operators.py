@@ -1,8 +1,9 @@
 """Each operator against a plain version, and on nulls, ties, repeated rows, empty tables and clashing columns."""
 
-import hashlib
 import collections
+import hashlib
 import itertools
+import json
 import random
 import re
 import zlib
@@ -441,27 +442,84 @@ def test_language_held_out(spark):
     assert accuracy([(r.lang_pred, truth[r.doc_id]) for r in got if r.held_out]) > 0.97
 
 
+def plain_profile(text):
+    chars = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+    if not chars.strip():
+        return []
+    counts = collections.Counter(chars[i : i + n] for n in (1, 2, 3) for i in range(len(chars) - n + 1))
+    counts.pop(" ", None)
+
+    def code(gram):
+        out = 0
+        for c in gram:
+            out = out << 21 | (langid.BLANK if c == " " else ord(c))
+        return out
+
+    return [code(g) for g in sorted(counts, key=lambda g: (-counts[g], code(g)))[: langid.MOST]]
+
+
 def test_profiles_against_counting():
     rng = random.Random(3)
-    letters = [ord(c) for c in "abcdefgé"]
-    alphabet = langid.alphabet_of(letters)
     for _ in range(20):
-        text = "".join(rng.choice("abcé XY,z ") for _ in range(rng.randint(0, 60)))
-        code = lambda c: letters.index(ord(c)) + 1 if ord(c) in letters else 63 if c.isalpha() else 0
-        chars = [0, *(code(c) for c in " ".join(re.findall(r"[^\W\d_]+", text.lower()))), 0]
-        counts = {}
-        if len(chars) > 2 or chars != [0, 0]:
-            for n in (1, 2, 3):
-                for i in range(len(chars) - n + 1):
-                    g = chars[i : i + n]
-                    if n == 1 and g[0] == 0:
-                        continue
-                    c = sum(x << (6 * (n - 1 - k)) for k, x in enumerate(g)) + (n - 1) * langid.CODES
-                    counts[c] = counts.get(c, 0) + 1
-        if not re.search(r"[^\W\d_]", text):
-            counts = {}
-        want = sorted(counts, key=lambda c: (-counts[c], c))[: langid.MOST]
-        assert langid.profile(text, alphabet).tolist() == want
+        text = "".join(rng.choice("abc\u00e9 XY,z \u4e00\u0434") for _ in range(rng.randint(0, 60)))
+        assert langid.profile(text).tolist() == plain_profile(text)
+
+
+def test_languages_against_plain_distances(spark):
+    rng = random.Random(4)
+    vocabularies = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(40)] for lang, letters in (("x", "abcde"), ("y", "cdefg"), ("z", "\u0430\u0431\u0432\u0433"))}
+    docs = [(i, lang, " ".join(rng.choice(vocabularies[lang]) for _ in range(rng.randint(1, 60)))) for i, lang in enumerate(rng.choices(list(vocabularies), k=60))]
+    taught = collections.defaultdict(collections.Counter)
+    for i, lang, text in docs:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            chars = " " + text + " "
+            taught[lang].update(g for n in (1, 2, 3) for g in (chars[j : j + n] for j in range(len(chars) - n + 1)) if g != " ")
+
+    def code(gram):
+        out = 0
+        for c in gram:
+            out = out << 21 | (langid.BLANK if c == " " else ord(c))
+        return out
+
+    ranks = {lang: {code(g): r for r, g in enumerate(sorted(c, key=lambda g: (-c[g], code(g)))[: langid.MOST])} for lang, c in taught.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_language(spark, spark.createDataFrame(docs, "doc_id long, lang string, text string")).collect()}
+    for i, _, text in docs:
+        own = plain_profile(text)
+        away = {lang: sum(abs(known[g] - r) if g in known else langid.MOST for r, g in enumerate(own)) for lang, known in ranks.items()}
+        best = min(sorted(away), key=away.get)
+        assert got[i] == (best, pytest.approx(1 - away[best] / (langid.MOST * len(own))))
+
+
+def test_recall_where_the_cut_decides(spark):
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(60, 32))
+    x = np.concatenate([centers[rng.integers(0, 60, 9000)] + rng.normal(size=(9000, 32)) * 0.7, np.repeat(rng.normal(size=(1, 32)), 1000, 0)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in ann.nearest_neighbours(spark, df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = total = 0
+    for q in range(0, 10000, 50):
+        near = np.round(u @ u[q], 12)
+        near[q] = -9
+        want = np.lexsort((np.arange(10000), -near))[:5]
+        hits += sum((q, int(v)) in got for v in want)
+        total += 5
+    assert len(got) == total and hits >= 0.9 * total
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    text = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    spec = json.loads(text)
+    assert tokens.breaks_before_spaces(text)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "use_regex": False}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}):
+        other = json.dumps({**spec, **change})
+        assert not tokens.breaks_before_spaces(other)
+        encoder = tokens.encoder_of(other)
+        texts = ["A word, another. And so", "  two  spaces \n and lines\n", "", "x"]
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(b, encoder.type).tolist() for b in encoder.batch(texts)] == want
 
 
 def test_scripts_beyond_the_frequent_letters_are_told_apart(spark):

@@ -19,9 +19,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 from .toxicity import held_out
 
-LETTERS = 62
 MOST = 300
-CODES = 1 << 18
 BLANK = 0x110000  # above all code points, so that an n-gram's length shows in its code
 _TABLE: list[np.ndarray] = []
 
@@ -48,7 +46,7 @@ def _letters(text: str) -> np.ndarray:
     return np.concatenate(([BLANK], c, [BLANK])) if len(c) else c
 
 
-def _whole_grams(c: np.ndarray) -> np.ndarray:
+def _grams(c: np.ndarray) -> np.ndarray:
     """Codes of all 1-, 2- and 3-grams of code points but blanks."""
     if not len(c):
         return c
@@ -56,30 +54,9 @@ def _whole_grams(c: np.ndarray) -> np.ndarray:
     return np.concatenate((c[c != BLANK], two, (two[:-1] << 21) | c[2:]))
 
 
-def _coded(text: str, alphabet: np.ndarray) -> np.ndarray:
-    """Codes of the letters, 0 for one blank between runs of them and at both ends."""
-    c = alphabet[_points(text)]
-    keep = np.ones(len(c), bool)
-    if len(c):
-        keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
-        keep[0] = c[0] != 0
-    c = c[keep]
-    if len(c) and c[-1] == 0:
-        c = c[:-1]
-    return np.concatenate(([0], c, [0])).astype(np.int32) if len(c) else c.astype(np.int32)
-
-
-def _grams(c: np.ndarray) -> np.ndarray:
-    """Codes of all 1-, 2- and 3-grams but blanks: the length is told by the leading marks."""
-    one = c[c > 0]
-    two = (c[:-1] << 6) | c[1:]
-    three = (c[:-2] << 12) | (c[1:-1] << 6) | c[2:]
-    return np.concatenate((one, two + CODES, three + 2 * CODES)) if len(c) else c
-
-
-def profile(text: str, alphabet: np.ndarray | None = None, most: int = MOST) -> np.ndarray:
-    """The most frequent n-grams of a text, of code points or, given an ``alphabet``, of its six-bit codes."""
-    grams = np.sort(_whole_grams(_letters(text)) if alphabet is None else _grams(_coded(text, alphabet)))
+def profile(text: str, most: int = MOST) -> np.ndarray:
+    """The most frequent n-grams of a text."""
+    grams = np.sort(_grams(_letters(text)))
     if not len(grams):
         return grams
     start = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
@@ -97,12 +74,6 @@ def out_of_place(grams: np.ndarray, known: np.ndarray, ranks: np.ndarray, most:
     return np.where(at < most, np.abs(at - own), most).sum(1)
 
 
-def alphabet_of(letters: list[int]) -> np.ndarray:
-    table = np.where(_is_letter(), LETTERS + 1, 0).astype(np.int32)
-    table[letters] = np.arange(1, len(letters) + 1)
-    return table
-
-
 def _count_grams(batches):
     held: dict[str, list] = {}
     size = 0
@@ -115,7 +86,7 @@ def _count_grams(batches):
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            grams = _whole_grams(_letters(text))
+            grams = _grams(_letters(text))
             held.setdefault(lang, []).append(grams)
             size += len(grams)
             if size >= 1 << 22:
