@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fits, shared_dir
+from .common import fits, shared_dir, written
 from .tokens import _filesystem
 
 CHUNK = 1 << 15
@@ -35,6 +35,7 @@ def record_table(pages: DataFrame, least: int = 100) -> DataFrame:
     keys = rows.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
     first = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     revisits = keys.join(first, "payload_digest").where("page_id is null or page_id <> first").where("first is not null").select("page_id", "payload_digest", F.col("first").alias("refers_to")).distinct()
+    revisits = written(pages.sparkSession, revisits, "revisits")  # so that payloads are hashed twice and not once more for the size
     same = F.col("r.page_id").eqNullSafe(F.col("v.page_id")) & (F.col("r.payload_digest") == F.col("v.payload_digest"))
     rows = rows.alias("r").join(fits(revisits).alias("v"), same, "left").select("r.*", "v.refers_to")
     chunks = F.when(F.col("refers_to").isNotNull() | (F.col("payload_bytes") == 0), F.lit(0)).otherwise(F.floor((F.col("payload_bytes") - 1) / CHUNK).cast("int"))
