@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -109,8 +110,10 @@ def plan(histogram: dict[int, int], capacities: tuple[int, ...], cost=bin_cost)
     return placements, sorted(bins)
 
 
-def _ranges(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    return spark.createDataFrame(rows, names)
+def _ranges(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """The plan's rows as a table, through Arrow: no Python worker of an executor has to start for it."""
+    columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), types.values())]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=list(types)))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, length: Column | None = None, id_col: str = "doc_id", cost=bin_cost) -> DataFrame:
@@ -138,7 +141,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, capacities: tuple[int
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("length", "bucket", "before")
     ranked = pieces.withColumn("r", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("r") + F.col("before")).drop("r", "before")
-    placed = _ranges(spark, placements, "length int, a long, b long, first long, bin_offset int, per int")
+    placed = _ranges(spark, placements, length=pa.int32(), a=pa.int64(), b=pa.int64(), first=pa.int64(), bin_offset=pa.int32(), per=pa.int32())
     # a length's placements as one sorted array, searched by the piece's rank
     by_length = placed.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("a", "b", "first", "bin_offset", "per"))).alias("places"))
     # at most the largest capacity's rows, and the plan's size is known here
@@ -150,7 +153,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, capacities: tuple[int
     out = ranked.select("doc_id", "piece", (F.col("piece").cast("long") * most).alias("piece_start"), "length", bin_id.alias("bin_id"), offset.alias("bin_offset"))
     # bins by blocks of ids, so that a range join becomes an equal one
     block = 1 << 10
-    sizes = _ranges(spark, bins, "a long, b long, bin_capacity int").withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.col("b") / block))))
+    sizes = _ranges(spark, bins, a=pa.int64(), b=pa.int64(), bin_capacity=pa.int32()).withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.col("b") / block))))
     sizes = sizes.groupBy("block").agg(F.collect_list(F.struct("a", "b", "bin_capacity")).alias("sizes"))
     out = out.withColumn("block", F.floor(F.col("bin_id") / block)).join(sizes, "block")
     size_of = F.element_at(F.filter("sizes", lambda p: (p.a <= F.col("bin_id")) & (F.col("bin_id") <= p.b)), 1)
