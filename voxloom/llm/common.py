@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: An Arrow batch to a Python worker has at most so many rows, and ends at the row that reaches so many bytes.
-ROWS_PER_BATCH, BYTES_PER_BATCH = "2000", "4m"
+ROWS_PER_BATCH, BYTES_PER_BATCH = "2000", "1m"
+#: Parquet is read in vectors of so many rows: those of a text column are single arrays of the heap.
+ROWS_PER_VECTOR = "256"
 
 # Python workers are reused: what they free of 1 MB or more goes back to the machine (glibc's M_MMAP_THRESHOLD)
 if hasattr(ctypes.CDLL(None), "mallopt"):
@@ -26,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, with its scheme: ``spark.checkpoint.dir``; in local mode else one of our own.
 
-    Also bounds Arrow batches by rows and bytes, so that a batch of long texts fits a Python worker.
+    Also bounds Arrow batches by rows and bytes, so that a batch of long texts fits a Python worker, and the rows of a
+    vector that Parquet is read into.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", ROWS_PER_VECTOR)
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found and (current := context._jsc.sc().getCheckpointDir()).isDefined():
