@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, langid, packing, quality, secret_scan, tokens, toxicity, warc
+from . import ann, decontam, jaccard, langid, packing, quality, secret_scan, tokens, toxicity, url_filter, warc
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,30 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(spark, table(spark, sf_dir, "documents"), folds=4, fold=2)
 
 
+#: host, path and verdict of the rules of op11_url_filter.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(spark, table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+ORACLE_SQL["op11_url_filter"] = f"""
+WITH rules(r_host, r_path, verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+r AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, row_number() OVER () AS n FROM pages
+), u AS (
+  SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM r
+), f AS (
+  SELECT n, r_host || r_path AS rule, verdict, row_number() OVER (PARTITION BY n ORDER BY length(r_host) + length(r_path) DESC, length(r_host) DESC, verdict DESC) AS k
+  FROM u JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (n)
+"""
+
 ORACLE_SQL["op4_warc"] = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages
