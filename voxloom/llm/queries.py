@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, langid, packing, quality, secret_scan, tokens, toxicity, url_filter, warc
+from . import ann, decontam, jaccard, langid, packing, quality, secret_scan, spelling, tokens, toxicity, url_filter, warc
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,11 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark, table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spark, table(spark, sf_dir, "documents"), least=3, shortest=5, slip=97)
+
+
 ORACLE_SQL["op11_url_filter"] = f"""
 WITH rules(r_host, r_path, verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
 r AS (
