@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, langid, packing, quality, secret_scan, spelling, tokens, toxicity, url_filter, warc
+from . import alignment, ann, decontam, jaccard, langid, packing, quality, secret_scan, spelling, tokens, toxicity, url_filter, warc
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,13 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spark, table(spark, sf_dir, "documents"), least=3, shortest=5, slip=97)
 
 
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_tokenizers(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 ORACLE_SQL["op11_url_filter"] = f"""
 WITH rules(r_host, r_path, verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
 r AS (
