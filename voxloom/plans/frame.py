@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .contracts import InvalidArgument, Receipt
@@ -98,13 +98,38 @@ def numbered(df: DataFrame, order: str, name: str, first: int = 0) -> DataFrame:
     return rows.withColumn(name, F.get(starts, part.cast("int")) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
 
 
+def numbered_sums(df: DataFrame, order: str, size: str, name: str) -> tuple[DataFrame, int]:
+    """(``df`` with the sum of ``size`` over all rows before, in the order of a column; the sum over all rows): a range
+    partitioning, one sum per partition, and a window within each."""
+    rows = checkpointed(df.orderBy(order).withColumn("_part", F.spark_partition_id()))
+    sums = dict(rows.groupBy("_part").agg(F.sum(size)).collect())  # one row per partition
+    before, total = [], 0
+    for k in range(max(sums, default=-1) + 1):
+        before.append(total)
+        total += sums.get(k) or 0
+    within = F.sum(size).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.split(F.lit(",".join(map(str, before or [0]))), ",").cast("array<bigint>")
+    return rows.withColumn(name, F.get(starts, F.col("_part")) + F.coalesce(within, F.lit(0))).drop("_part"), total
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode else one of our own."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise InvalidArgument("spark.checkpoint.dir must name a folder that driver and executors share")
+            import tempfile
+
+            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxloom-"))
+        found = str(sc._jsc.sc().getCheckpointDir().get())
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Through a checkpoint in the folder that the cluster names; one of our own only in local mode."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise InvalidArgument("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxloom-"))
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

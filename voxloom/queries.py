@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import cluster, elementwise, neighbor, reduce, resample, select
 from .plans import fixtures as fx
-from .plans.frame import Frame, densified
+from .plans.frame import Frame, densified, shared_folder
 from .plans.space import Space
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,18 @@ def near(reach: int, where: str) -> str:
     return f"o AS (SELECT a.d AS dx, b.d AS dy, c.d AS dz FROM (SELECT unnest(range({-reach}, {reach + 1})) AS d) a, (SELECT unnest(range({-reach}, {reach + 1})) AS d) b, (SELECT unnest(range({-reach}, {reach + 1})) AS d) c WHERE {where})"
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    import uuid
+
+    from .sources.images import filesystem
+
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
+    store, inner = filesystem(path)
+    store.create_dir(inner.rpartition("/")[0])
+    return path
+
+
 def mask_of(spark: SparkSession, sf_dir: str) -> Frame:
     sizes = fx.volume(spark, sf_dir, "p_size")
     return sizes.like(sizes.df.where("value > 20").select("v", F.lit(True).alias("value")), sparse=True)
@@ -735,17 +747,47 @@ def group_mean_tsnr(spark, sf_dir):
 @query(w(VOL, VDIM, DENSE) + "SELECT v, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM dense")
 def nifti_round_trip(spark, sf_dir):
     """Written as a NIfTI file and read back by the source; values as 32-bit floats."""
-    import tempfile
-
     from .sources import nifti
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="voxloom-")
-    path = f"{base.rstrip('/')}/volume-{abs(hash(sf_dir)) % 10**8}-{spark.sparkContext.startTime}.nii.gz"
-    vol = densified(fx.volume(spark, sf_dir))
-    nifti.write(vol, path)
+    path = fresh(spark, "volume.nii.gz")
+    nifti.write(fx.volume(spark, sf_dir), path)
     return nifti.read(spark, path).where("t = 0").select("v", F.col("x").alias("value"))
 
 
+DBOLD = "dbold AS (SELECT g.v, t.t, CAST(CAST(coalesce(x, 0) AS FLOAT) AS DOUBLE) AS x FROM (SELECT unnest(range(0, nz * 64)) AS v FROM bdim) g CROSS JOIN (SELECT unnest(range(0, 64)) AS t) t LEFT JOIN bold ON bold.v = g.v AND bold.t = t.t)"
+
+
+@query(w(BOLD, BDIM, DBOLD) + "SELECT q.k AS t, v, x FROM dbold JOIN (VALUES (0, 60), (1, 3), (2, 60)) q(k, t) ON dbold.t = q.t")
+def series_image_round_trip(spark, sf_dir):
+    """A sparse series in one indexed gzip image; three of its volumes read back, in the order asked for."""
+    from .sources import images, nifti
+
+    path = fresh(spark, "series.nii.gz")
+    nifti.write(fx.bold(spark, sf_dir), path)
+    return lattice(images.read_image(spark, path, indices=[60, 3, 60]).df, "t")
+
+
+@query(w(COUNTS, VDIM) + ", g AS (SELECT v, t FROM (SELECT unnest(range(0, nz * 100)) AS v FROM vdim), (SELECT unnest(range(0, 7)) AS t)) SELECT g.v, g.t, coalesce(x, 0.0) AS x FROM g LEFT JOIN counts ON g.v = counts.v AND g.t = counts.t JOIN part ON g.v = p_partkey WHERE p_size > 20")
+def pair_image_round_trip(spark, sf_dir):
+    """A sparse series as a compressed AFNI pair, read back where a mask is true."""
+    from .sources import afni, images
+
+    counts, mask = fx.counts(spark, sf_dir), mask_of(spark, sf_dir)
+    head, _ = afni.write(counts, fresh(spark, "counts.HEAD"), "f4", compress=True)
+    return lattice(images.read_image(spark, head, mask=mask.like(mask.df, space=counts.space.spatial)).df, "t")
+
+
+@query(w(BOLD, BDIM, DBOLD) + f"SELECT v, {R('CASE WHEN stddev_pop(x) > 0 THEN avg(x) / stddev_pop(x) ELSE 0 END', 'value')} FROM dbold GROUP BY v")
+def file_per_volume_tsnr(spark, sf_dir):
+    """A file for each time, their headers read by a job and compared, then temporal signal-to-noise over all."""
+    from .sources import images
+
+    folder = fresh(spark, "volumes")
+    images.write_volumes(densified(fx.bold(spark, sf_dir)), folder)
+    df, first, total = images.open_images(spark, folder)
+    return r6(densified(reduce.temporal_snr(Frame(df, first.space.add_dim(total), "series"))).df, "value")
+
+
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY 1, 2")
 def daily_windows(spark, sf_dir):
     from .streaming.windows import tumbling

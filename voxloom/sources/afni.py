@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import gzip
 import re
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.contracts import InvalidArgument
-from ..plans.frame import Frame, densified
+from ..plans.frame import Frame
 from ..plans.space import Space
+from . import images
 from .formats import AFNI, AFNI_GZ, exists
-from .nifti import filesystem, open_bytes
+from .images import filesystem, read_bytes
+from .nifti import is_compressed
 
 #: Fixed values of the format: brick types.
 BRICK_TYPES = {0: "u1", 1: "i2", 3: "f4"}
@@ -38,7 +37,7 @@ def parse_head(text: str) -> dict[str, list | str]:
 
 def read_head(path: str) -> tuple[Space, int, list[str], list[float], str]:
     """(space, volumes, brick types, factors, byte order) of a HEAD file."""
-    head = parse_head(open_bytes(path).decode("latin1"))
+    head = parse_head(read_bytes(path).decode("latin1"))
     for name in ("IJK_TO_DICOM", "DATASET_DIMENSIONS", "BRICK_TYPES"):
         if name not in head:
             raise InvalidArgument(f"{path} lacks {name}")
@@ -63,50 +62,25 @@ def _brick(path: str) -> str:
     raise FileNotFoundError(AFNI.data_file(path))
 
 
-class _Part(InputPartition):
-    def __init__(self, t: int, offset: int):
-        self.t, self.offset = t, offset
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self):
-        space, n, types, _, _ = read_head(self.path)
-        at, out = 0, []
-        for t in range(n):
-            out.append(_Part(t, at))
-            at += space.nvox * np.dtype(types[t]).itemsize
-        return out
-
-    def read(self, partition):
-        space, _, types, factors, _ = read_head(self.path)
-        kind = np.dtype(types[partition.t])
-        x = np.frombuffer(open_bytes(_brick(self.path), partition.offset, space.nvox * kind.itemsize), kind).astype(float) * factors[partition.t]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(np.full(len(x), partition.t, np.int32)), pa.array(x)], names=["v", "t", "x"])
-
-
-class AfniSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "afni"
-
-    def schema(self):
-        return "v long, t int, x double"
-
-    def reader(self, schema):
-        return _Reader(self.options["path"])
+def stored(path: str) -> images.Stored | None:
+    """Where an AFNI pair, by either of its names, keeps its volumes; None if its content is another format's."""
+    base = re.sub(r"[.](HEAD|BRIK|BRIK[.]gz)$", "", path)
+    if base == path or not exists(head := f"{base}.HEAD"):
+        return None
+    space, n, types, factors, _ = read_head(head)
+    sizes = parse_head(read_bytes(head).decode("latin1")).get("VOXLOOM_MEMBERS", [])
+    brick = _brick(head)
+    compressed = is_compressed(brick)
+    same = len(set(types)) == 1 and len(set(factors)) == 1
+    return images.Stored(path, "afni", brick, (*space.dim[:3], n), 1.0, tuple(float(x) for r in space.trans for x in r), tuple(types[:1] if same else types), tuple(factors[:1] if same else factors), 0.0, 0, compressed, sizes[0] if sizes else 0, 0, tuple(sizes[1:]))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(AfniSource)
-    return spark.read.format("afni").option("path", path).load()
+    return images._load(spark, path=path)
 
 
 def read_series(spark: SparkSession, path: str) -> Frame:
-    space, n, *_ = read_head(path)
-    return Frame(read(spark, path), space.add_dim(n), "series")
+    return images.read_series(spark, path)
 
 
 def _attribute(kind: str, name: str, values) -> str:
@@ -117,13 +91,20 @@ def _attribute(kind: str, name: str, values) -> str:
 
 def write(frame: Frame, path: str, dtype: str = "f4", compress: bool = False) -> tuple[str, str]:
     """A HEAD/BRIK pair of a volume or series; returns the two paths."""
-    frame = densified(frame)
     kind = np.dtype(dtype)
     codes = {np.dtype(v): k for k, v in BRICK_TYPES.items()}
     if kind not in codes:
         raise InvalidArgument(f"data type {kind} cannot be written")
     times = frame.space.dim[3] if frame.kind == "series" else 1
     base = path.removesuffix(".HEAD")
+    brick = f"{base}.BRIK" + ".gz" * compress
+    used = []
+
+    def header(block: int, sizes: list[int]) -> bytes:
+        used.append(block)
+        return b""
+
+    sizes = images.write_image(frame, brick, kind.newbyteorder("<").str, header, compress)
     dicom = (np.diag([-1, -1, 1]) @ frame.space.matrix[:3]).ravel()
     text = "".join((
         _attribute("integer", "DATASET_DIMENSIONS", [*frame.space.dim[:3], 0, 0]),
@@ -133,21 +114,11 @@ def write(frame: Frame, path: str, dtype: str = "f4", compress: bool = False) ->
         _attribute("float", "IJK_TO_DICOM", dicom.tolist()),
         _attribute("float", "DELTA", (np.array(frame.space.spacing[:3]) * [-1, -1, 1]).tolist()),
         _attribute("string", "BYTEORDER_STRING", "LSB_FIRST"),
+        _attribute("integer", "VOXLOOM_MEMBERS", [used[-1], *sizes]) if compress else "",
     ))
-    brick = f"{base}.BRIK" + ".gz" * compress
     store, name = filesystem(f"{base}.HEAD")
-    with store.open_output_stream(name) as f:
+    with store.open_output_stream(name) as f:  # last: with it the image is there
         f.write(text.encode())
-    store, name = filesystem(brick)
-    value = frame.value
-    keys = ["t", "v"] if frame.kind == "series" else ["v"]
-    with store.open_output_stream(name, compression=None) as f:
-        out = gzip.GzipFile(fileobj=f, mode="wb", mtime=0) if compress else f
-        # rows come in order, a partition at a time: the driver never has more than one
-        for row in frame.df.select(*keys, value).orderBy(*keys).toLocalIterator(prefetchPartitions=False):
-            out.write(np.array(row[value], kind).tobytes())
-        if out is not f:
-            out.close()
     return f"{base}.HEAD", brick
 
 

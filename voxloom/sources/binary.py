@@ -5,10 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.contracts import InvalidArgument
-from .nifti import filesystem
+from ..plans.frame import Frame
+from ..plans.space import Space
+from .images import filesystem
 
 
 def read_elements(path: str, dtype: str, n: int | None = None, offset: int = 0) -> np.ndarray:
@@ -29,6 +32,16 @@ def write_elements(path: str, values, dtype: str) -> None:
         f.write(np.asarray(values).astype(dtype).tobytes())
 
 
+def write_rows(df: DataFrame, place: str, value: str, path: str, cells: int, dtype: str = "<f8") -> None:
+    """The elements of a distributed vector in one file: ``cells`` of them, those without a row zero; by tasks at their offsets."""
+    from . import images
+
+    if cells < 1:
+        raise InvalidArgument("no elements")
+    frame = Frame(df.select(F.col(place).cast("long").alias("v"), F.col(value).cast("double").alias("value")), Space((cells, 1, 1)), "volume", True)
+    images.write_image(frame, path, np.dtype(dtype).str, lambda block, sizes: b"", False)
+
+
 class _Column(InputPartition):
     def __init__(self, column: int):
         self.column = column

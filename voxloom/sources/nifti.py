@@ -1,23 +1,23 @@
-"""NIfTI-1 files: header parsing, a Python data source with one partition per volume, and a writer.
+"""NIfTI-1 files: header parsing and building; reading and writing by ``images``.
 
-Files are read through Arrow's filesystems, so paths may lie on any store that it knows.
+Files are read through Arrow's filesystems, so paths may lie on any store that it knows. Compressed files are written
+as one gzip member for the header and one for each block of voxels; an extension of the header holds their sizes.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
+import json
 import struct
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThan
 
-from ..plans.contracts import BackendDrift, InvalidArgument, Receipt, SpaceMismatch
+from ..plans.contracts import InvalidArgument, Receipt
 from ..plans.frame import Frame
 from ..plans.space import Space, matrix_to_quaternion, quaternion_to_matrix
+from . import images
+from .images import filesystem, first_member, read_bytes
 
 #: Fixed values of the format: data type codes.
 DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
@@ -26,22 +26,19 @@ HEADER = 348
 ECODES = {0: "ignore", 2: "dicom", 4: "afni", 6: "comment"}
 
 
-def filesystem(path: str):
-    from pyarrow import fs
+#: Tag of the extension with the places a gzip member and the members' sizes.
+MEMBERS_TAG = b"voxloom/members/v1:"
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
-
-def open_bytes(path: str, start: int = 0, size: int | None = None) -> bytes:
-    """Bytes of a file, inflated if it is gzip; only what is asked for is kept."""
+def is_compressed(path: str) -> bool:
     store, name = filesystem(path)
     with store.open_input_file(name) as f:
-        if f.size() >= 2 and f.read_at(2, 0) == b"\x1f\x8b":
-            f.seek(0)
-            with gzip.GzipFile(fileobj=io.BufferedReader(f)) as g:
-                g.seek(start)
-                return g.read(-1 if size is None else size)
-        return f.read_at(f.size() - start if size is None else size, start)
+        return f.size() >= 2 and f.read_at(2, 0) == b"\x1f\x8b"
+
+
+def head_bytes(path: str, size: int) -> bytes:
+    """The first bytes of a file, inflated if it is gzip."""
+    return first_member(path, size)[0] if is_compressed(path) else read_bytes(path, 0, size)
 
 
 @dataclass(frozen=True)
@@ -69,6 +66,15 @@ class Header:
     def receipt(self) -> Receipt | None:
         return next((r for code, raw in self.extensions if code == 6 and (r := Receipt.from_extension(raw))), None)
 
+    @property
+    def members(self) -> tuple[int, tuple[int, ...]] | None:
+        """(places a member, sizes) of a file written with an index."""
+        raw = next((raw for code, raw in self.extensions if code == 6 and raw.startswith(MEMBERS_TAG)), None)
+        if raw is None:
+            return None
+        found = json.loads(raw.rstrip(b"\0")[len(MEMBERS_TAG) :])
+        return found["block"], tuple(found["sizes"])
+
 
 def parse_header(raw: bytes) -> Header:
     order = "<" if struct.unpack("<i", raw[:4])[0] == HEADER else ">"
@@ -119,118 +125,52 @@ def _header_and_data(path: str) -> tuple[str, str]:
 
 def read_header(path: str) -> Header:
     head, data = _header_and_data(path)
-    raw = open_bytes(head, 0, 352)
-    header = parse_header(raw)
+    header = parse_header(head_bytes(head, 352))
     more = header.vox_offset if head == data else 0
-    return parse_header(open_bytes(head, 0, more)) if more > 352 else header
-
-
-@dataclass
-class VolumePartition(InputPartition):
-    path: str
-    image: int
-    t: int
-    offset: int
-
-
-class _Reader(DataSourceReader):
-    """One partition per file and time; filters on t prune partitions, those on v cut what is read of a volume."""
-
-    def __init__(self, options):
-        self.paths = [p for p in options.get("path", "").split(",") if p]
-        self.first = self.last = None
-        self.times = None
-
-    def pushFilters(self, filters):  # noqa: N802
-        for f in filters:
-            column = f.attribute[0] if len(f.attribute) == 1 else None
-            if column == "t" and isinstance(f, EqualTo):
-                self.times = {int(f.value)}
-            elif column == "v" and isinstance(f, GreaterThanOrEqual):
-                self.first = int(f.value)
-            elif column == "v" and isinstance(f, LessThan):
-                self.last = int(f.value)
-            yield f  # Spark checks all of them again
-
-    def partitions(self):
-        out, at, first = [], 0, None
-        for n, path in enumerate(self.paths):
-            header = read_header(path)
-            if first is not None:
-                try:
-                    first.compatible_with(header.space)
-                except SpaceMismatch as e:
-                    raise BackendDrift(f"{path}: {e}") from None
-            first = first or header.space
-            count = int(np.prod(header.dim[3:], dtype=np.int64)) if len(header.dim) > 3 else 1
-            for t in range(count):
-                if self.times is None or at + t in self.times:
-                    out.append(VolumePartition(path, n, at + t, t))
-            at += count
-        return out
-
-    def read(self, partition):
-        import pyarrow as pa
-
-        header = read_header(partition.path)
-        head, data = _header_and_data(partition.path)
-        n = int(np.prod(header.dim[:3]))
-        a, b = max(0, self.first or 0), min(n, n if self.last is None else self.last)
-        if a >= b:
-            return
-        width = np.dtype(header.dtype).itemsize
-        start = (header.vox_offset if head == data else 0) + (partition.offset * n + a) * width
-        values = np.frombuffer(open_bytes(data, start, (b - a) * width), header.dtype).astype(np.float64)
-        if header.slope != 1.0 or header.intercept != 0.0:
-            values = values * header.slope + header.intercept
-        for u in range(0, len(values), 1 << 16):
-            part = values[u : u + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(a + u, a + u + len(part))), pa.array(np.full(len(part), partition.t, np.int32)), pa.array(part)], names=["v", "t", "x"])
-
-
-class NiftiSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "nifti"
-
-    def schema(self):
-        return "v long, t int, x double"
-
-    def reader(self, schema):
-        return _Reader(self.options)
+    return parse_header(head_bytes(head, more)) if more > 352 else header
+
+
+def stored(path: str) -> images.Stored | None:
+    """Where a NIfTI file keeps its volumes; None if its content is another format's."""
+    head, data = _header_and_data(path)
+    raw = head_bytes(head, 352)
+    if len(raw) < HEADER or raw[344:347] not in (b"n+1", b"ni1"):
+        return None
+    header = read_header(path)
+    compressed = is_compressed(data)
+    offset = header.vox_offset if head == data else 0
+    start = first_member(data, offset)[1] if compressed and head == data and header.members else None
+    block, sizes = header.members if start is not None else (0, ())
+    dim = tuple(header.dim) + (1,) * (4 - len(header.dim))
+    step = (header.pixdim[3] or 1.0) if len(header.dim) > 3 else 1.0
+    receipt = header.receipt
+    return images.Stored(path, "nifti", data, dim, float(step), tuple(float(x) for r in header.affine for x in r), (header.dtype,), (float(header.slope),), float(header.intercept), offset, compressed, block, start or 0, sizes, receipt.to_json() if receipt else None)
 
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
     """(v, t, x) of one file, or of many one behind the other in time; differing spaces raise BackendDrift."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(NiftiSource)
-    return spark.read.format("nifti").option("path", ",".join(paths)).load()
+    return images._load(spark, path=paths[0]) if len(paths) == 1 else images.open_images(spark, list(paths))[0]
 
 
 def read_series(spark: SparkSession, *paths: str) -> Frame:
-    headers = [read_header(p) for p in paths]
-    times = sum(int(np.prod(h.dim[3:], dtype=np.int64)) if len(h.dim) > 3 else 1 for h in headers)
-    space = headers[0].space.spatial.add_dim(times, headers[0].pixdim[3] if len(headers[0].dim) > 3 else 1.0)
-    return Frame(read(spark, *paths), space, "series", False, headers[0].receipt)
+    return images.read_image(spark, list(paths), "vec")
 
 
 def read_volume(spark: SparkSession, path: str, index: int = 0) -> Frame:
-    header = read_header(path)
-    count = header.dim[3] if len(header.dim) > 3 else 1
-    if not 0 <= index < count:
-        raise InvalidArgument(f"no volume {index} of {count}")
-    return Frame(read(spark, path).where(F.col("t") == index).select("v", F.col("x").alias("value")), header.space.spatial, "volume", False, header.receipt)
+    return images.read_volume(spark, path, index)
 
 
-def build_header(space: Space, dtype="f4", receipt: Receipt | None = None, description: str = "") -> bytes:
+def extension(body: bytes, code: int = 6) -> bytes:
+    size = -(-(len(body) + 8) // 16) * 16
+    return struct.pack("<2i", size, code) + body.ljust(size - 8, b"\0")
+
+
+def build_header(space: Space, dtype="f4", receipt: Receipt | None = None, description: str = "", more: bytes = b"") -> bytes:
+    """The bytes before the data. more: further extensions."""
     kind = np.dtype(dtype)
     if kind not in CODES:
         raise InvalidArgument(f"data type {kind} cannot be written")
-    extension = b""
-    if receipt is not None:
-        body = receipt.to_extension()
-        size = -(-(len(body) + 8) // 16) * 16
-        extension = struct.pack("<2i", size, 6) + body.ljust(size - 8, b"\0")
+    extensions = (extension(receipt.to_extension()) if receipt is not None else b"") + more
     b, c, d, qfac, sizes = matrix_to_quaternion(space.matrix)
     raw = bytearray(HEADER)
     struct.pack_into("<i", raw, 0, HEADER)
@@ -238,57 +178,22 @@ def build_header(space: Space, dtype="f4", receipt: Receipt | None = None, descr
     struct.pack_into("<8h", raw, 40, space.ndim, *dims)
     struct.pack_into("<2h", raw, 70, CODES[kind], kind.itemsize * 8)
     struct.pack_into("<8f", raw, 76, qfac, *sizes, *(space.spacing[3:]), *[1.0] * (7 - 3 - len(space.spacing[3:])))
-    struct.pack_into("<3f", raw, 108, 352 + len(extension), 1.0, 0.0)
+    struct.pack_into("<3f", raw, 108, 352 + len(extensions), 1.0, 0.0)
     struct.pack_into("<B", raw, 123, 10)
     raw[148:228] = description.encode("latin1")[:79].ljust(80, b"\0")
     struct.pack_into("<2h", raw, 252, 1, 1)
     struct.pack_into("<6f", raw, 256, b, c, d, *space.matrix[:3, 3])
     struct.pack_into("<12f", raw, 280, *space.matrix[:3].ravel())
     raw[344:348] = b"n+1\0"
-    return bytes(raw) + (b"\1\0\0\0" if extension else b"\0\0\0\0") + extension
+    return bytes(raw) + (b"\1\0\0\0" if extensions else b"\0\0\0\0") + extensions
 
 
-def write(frame: Frame, path: str, dtype: str = "f4") -> None:
-    """One image file of a dense or sparse volume or series, values in order of voxel then time.
+def write(frame: Frame, path: str, dtype: str = "f4", block: int | None = None) -> None:
+    """One image file of a dense or sparse volume or series, by ``images.write_image``; compressed if its name ends in .gz."""
+    build_header(frame.space, dtype)  # a type that cannot be written raises before any job
 
-    The file is one stream, so one task writes it: rows are range-partitioned and sorted before, and packed to bytes in
-    parallel; the writer only concatenates blocks.
-    """
-    from ..plans.frame import densified
+    def header(block: int, sizes: list[int]) -> bytes:
+        index = extension(MEMBERS_TAG + json.dumps({"block": block, "sizes": sizes}).encode()) if sizes else b""
+        return build_header(frame.space, dtype, frame.receipt, more=index)
 
-    frame = densified(frame)
-    header = build_header(frame.space, dtype, frame.receipt)
-    kind = np.dtype(dtype)
-    n = frame.space.nvox
-    block = 1 << 16
-    place = F.col("v") if frame.kind == "volume" else F.col("v") + F.col("t").cast("long") * n
-    rows = frame.df.select(place.alias("p"), F.col(frame.value).cast("double").alias("x")).withColumn("b", F.floor(F.col("p") / block))
-
-    def pack(group):
-        import pandas as pd
-
-        group = group.sort_values("p")
-        return pd.DataFrame({"b": [group.b.iloc[0]], "raw": [group.x.to_numpy().astype(kind).tobytes()]})
-
-    blocks = rows.groupBy("b").applyInPandas(pack, "b long, raw binary")
-
-    def save(batches):
-        import pandas as pd
-
-        store, name = filesystem(path)
-        total = 0
-        with store.open_output_stream(name, compression=None) as f:
-            out = gzip.GzipFile(fileobj=f, mode="wb", compresslevel=4, mtime=0) if path.endswith(".gz") else f
-            out.write(header)
-            for pdf in batches:
-                for raw in pdf.raw:
-                    out.write(raw)
-                    total += len(raw)
-            if out is not f:
-                out.close()
-        yield pd.DataFrame({"bytes": [total]})
-
-    got = blocks.repartitionByRange(1, "b").sortWithinPartitions("b").mapInPandas(save, "bytes long").agg(F.sum("bytes")).first()[0]
-    cells = int(np.prod(frame.space.dim, dtype=np.int64))
-    if got != cells * kind.itemsize:
-        raise InvalidArgument(f"{got // kind.itemsize} values for {cells} cells")
+    images.write_image(frame, path, np.dtype(dtype).newbyteorder("<").str, header, path.endswith(".gz"), block)
