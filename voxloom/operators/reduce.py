@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans.contracts import InvalidArgument, OpParams, assert_same_space, receipt_for
+from ..plans.digests import mask_hash_of
 from ..plans.frame import Frame, densified
 
 NAN = float("nan")
@@ -74,7 +75,7 @@ def temporal_snr(frame: Frame, mask: Frame | None = None) -> Frame:
     if mask is not None:
         on = mask.df.where(F.col(mask.value).cast("double") != 0).select("v", F.lit(True).alias("on"))
         df = df.join(on, "v", "left").select("v", F.when(F.col("on"), F.col("value")).otherwise(0.0).alias("value"))
-    return Frame(df, frame.space.spatial, "volume", frame.sparse, receipt_for(frame.space, OpParams("temporal_snr"), upstream=frame.receipt))
+    return Frame(df, frame.space.spatial, "volume", frame.sparse, receipt_for(frame.space, OpParams("temporal_snr"), mask_hash_of(mask), upstream=frame.receipt))
 
 
 def parcel_means(frame: Frame, labels: Frame) -> Frame:

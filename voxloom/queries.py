@@ -788,6 +788,58 @@ def file_per_volume_tsnr(spark, sf_dir):
     return r6(densified(reduce.temporal_snr(Frame(df, first.space.add_dim(total), "series"))).df, "value")
 
 
+def stored(spark, frame: Frame) -> Frame:
+    """Through a table of its own in the shared folder, in four buckets."""
+    import uuid
+
+    from .plans import catalogue
+
+    return catalogue.save(frame, f"frame_{uuid.uuid4().hex}", fresh(spark, "frame"), 4)
+
+
+@query(w(HYPER) + f"SELECT v, t, f, {R('x', 'x')}, 31 AS days FROM hyper")
+def stored_hyper(spark, sf_dir):
+    """A feature stack stored as a bucketed table and opened again, with its space."""
+    back = stored(spark, fx.hyper(spark, sf_dir))
+    return lattice(r6(back.df.withColumn("days", F.lit(back.space.dim[3])), "x"), "t", "f")
+
+
+@query(w(BOLD, ATLAS) + f"SELECT b.v, {R('CASE WHEN any_value(a.label) % 2 = 1 AND stddev_pop(x) > 0 THEN avg(x) / stddev_pop(x) ELSE 0 END', 'value')} FROM bold b JOIN atlas a USING (v) GROUP BY b.v")
+def stored_tsnr(spark, sf_dir):
+    """Masked temporal signal-to-noise of stored frames: no shuffle (the mask: odd labels)."""
+    labels = fx.atlas(spark, sf_dir)
+    mask = Frame(labels.df.where("label % 2 = 1").select("v", F.lit(True).alias("value")), labels.space, "volume", True)
+    return r6(reduce.temporal_snr(stored(spark, fx.bold(spark, sf_dir)), stored(spark, mask)).df, "value")
+
+
+@query(w(BOLD, ATLAS) + f"SELECT CAST(label AS BIGINT) AS label, t, {R('avg(x)', 'x')} FROM bold JOIN atlas USING (v) GROUP BY 1, 2")
+def stored_parcel_means(spark, sf_dir):
+    """Parcel series of stored frames: only partial sums are shuffled."""
+    got = reduce.parcel_means(stored(spark, fx.bold(spark, sf_dir)), stored(spark, fx.atlas(spark, sf_dir)))
+    return lattice(r6(got.df, "x"), "label", "t")
+
+
+LEVELS = "l0 AS (SELECT p // 64 AS block, sha256(string_agg(cell, ',' ORDER BY p)) AS hash FROM cells GROUP BY 1), l1 AS (SELECT block // 8 AS block, sha256(string_agg(block || ':' || hash, ',' ORDER BY block)) AS hash FROM l0 GROUP BY 1), l2 AS (SELECT block // 8 AS block, sha256(string_agg(block || ':' || hash, ',' ORDER BY block)) AS hash FROM l1 GROUP BY 1) SELECT 0 AS level, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2"
+
+
+@query(w(MASK, "cells AS (SELECT v AS p, CAST(v AS VARCHAR) AS cell FROM mask)").rstrip() + ", " + LEVELS)
+def mask_digest_levels(spark, sf_dir):
+    """Block hashes of a mask, and of 8 blocks each, twice."""
+    from .plans import digests
+
+    return lattice(digests.block_hashes(mask_of(spark, sf_dir), 64, 8, 3), "level")
+
+
+@query(w(COUNTS, VDIM, "cells AS (SELECT CAST(v + t * nz * 100 AS BIGINT) AS p, CAST(v + t * nz * 100 AS BIGINT) || ':' || CAST(CAST(x AS DOUBLE) AS VARCHAR) AS cell FROM counts, vdim WHERE x <> 0)").rstrip() + ", " + LEVELS)
+def series_digest_levels(spark, sf_dir):
+    """Block hashes of a sparse series' cells that are not zero, whose rows were dealt anew and zeros put in."""
+    from .plans import digests
+
+    counts = fx.counts(spark, sf_dir)
+    dealt = counts.like(densified(counts).df.repartition(5, "t"), sparse=False)
+    return lattice(digests.block_hashes(dealt, 64, 8, 3), "level")
+
+
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY 1, 2")
 def daily_windows(spark, sf_dir):
     from .streaming.windows import tumbling
