@@ -80,7 +80,7 @@ def test_alignment_against_plain(spark, monkeypatch, chunk, once, known, piece,
     """As it is, and with small chunks, merges, pieces and caches (tasks run in this process's children: by closure)."""
     docs = corpus(random.Random(chunk))
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"chunk": F.lit("clash"), "pair": F.lit(1)})
-    small = {"CHUNK": chunk, "AT_ONCE": once, "KNOWN": known, "PIECE": piece, "PLACES": places}
+    small = {"CHUNK": chunk, "AT_ONCE": once, "KNOWN": known, "PIECE": piece, "PLACES": places, "LOOKED_UP": 50 if chunk < 1000 else alignment.LOOKED_UP}
     build = alignment._build
 
     def build_small(shared):

@@ -34,8 +34,10 @@ CHUNK = 3_000_000
 PLACES = 1 << 16
 #: Links that are sorted at once, and characters of a text that are cut into units at once.
 AT_ONCE, PIECE = 1_500_000, 1 << 20
-#: A Python worker forgets the units that it knows when they are more than these.
-KNOWN = 300_000
+#: When a Python worker knows more units than these, it forgets those that it met least, more than half of them.
+KNOWN = 600_000
+#: Units of documents that are looked up together.
+LOOKED_UP = 1 << 16
 
 # What both tokenizers' patterns hold for white space (Unicode's White_Space).
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -76,13 +78,42 @@ class Aligner:
         self.cuts = breaks_before_spaces(json_text) and not any(re.search(f"[^{_SPACE}{BLANK}][ \n{BLANK}]", p) for p in pieces)
         if len(self.a_bytes) > 1 << 23 or len(self.b_bytes) > 1 << 24:
             raise ValueError("a pair of ids takes more than 47 bits")
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.numbers = np.empty((1024, 5), np.int64)  # tokens of A and B, groups, links; 1 if the bytes of both are the unit's
         self.groups: list[bytes] = []
-        self.links: list[np.ndarray] = []  # pairs of all links
+        self.numbers = np.zeros((1024, 5), np.int64)  # tokens of A and B, groups, links; 1 if the bytes of both are the unit's
+        self.first = np.zeros(1024, np.int64)  # where a unit's links begin in pairs
+        self.met = np.zeros(1024, np.int64)
+        self.pairs, self.n_pairs = np.empty(1 << 14, np.int64), 0
+
+    def forget(self) -> None:
+        """All but the units met most, at most half of KNOWN."""
+        n = len(self.groups)
+        met = self.met[:n]
+        keep = np.flatnonzero(met > (np.partition(met, n - KNOWN // 2 - 1)[n - KNOWN // 2 - 1] if n > KNOWN // 2 else -1))
+        number = np.full(n, -1)
+        number[keep] = np.arange(len(keep))
+        place = number.tolist()
+        self.known = {u: place[k] for u, k in self.known.items() if place[k] >= 0}
+        self.groups = [self.groups[k] for k in keep.tolist()]
+        pairs = self.links(keep)
+        self.pairs, self.n_pairs = pairs.copy(), len(pairs)
+        self.numbers, self.met = self.numbers[keep], self.met[keep]
+        count = self.numbers[:, 3]
+        self.first = np.cumsum(count) - count
+
+    def links(self, units: np.ndarray) -> np.ndarray:
+        """The pairs of all links of units, one behind the other."""
+        count = self.numbers[units, 3]
+        ends = np.cumsum(count)
+        return self.pairs[np.repeat(self.first[units] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+    def _room(self, units: int, pairs: int) -> None:
+        while len(self.numbers) < len(self.groups) + units:
+            more = max(1024, len(self.numbers))
+            self.numbers = np.concatenate((self.numbers, np.zeros((more, 5), np.int64)))
+            self.first, self.met = (np.concatenate((x, np.zeros(more, np.int64))) for x in (self.first, self.met))
+        while len(self.pairs) < self.n_pairs + pairs:
+            self.pairs = np.concatenate((self.pairs, np.empty(max(1 << 14, len(self.pairs)), np.int64)))
 
     def units(self, text: str) -> list[str]:
         """``text`` cut into units."""
@@ -115,14 +146,13 @@ class Aligner:
                 self._learn([u])
             return
         first = len(self.groups)
-        while len(self.numbers) < first + len(new):
-            self.numbers = np.concatenate((self.numbers, np.empty_like(self.numbers)))
+        self._room(len(new), 0)
         if ok:
             self._align(ids_a, ids_b, np.cumsum([len(u.encode()) for u in new]), first)
         else:
-            self.numbers[first] = 0
+            self.numbers[first], self.first[first] = 0, self.n_pairs
             self.groups.append(b"")
-            self.links.append(np.empty(0, np.int64))
+        self.met[first : first + len(new)] = 0
         self.known.update((u, first + i) for i, u in enumerate(new))
 
     def _align(self, ids_a: np.ndarray, ids_b: np.ndarray, ends: np.ndarray, first: int) -> None:
@@ -143,17 +173,20 @@ class Aligner:
         for k, upto in enumerate((upto_a, upto_b, upto_group, upto_link)):
             own[:, k] = np.diff(upto, prepend=0)
         own[:, 4] = 1
+        self._room(0, len(pairs))
+        self.pairs[self.n_pairs : self.n_pairs + len(pairs)] = pairs
+        self.first[first : first + len(ends)] = self.n_pairs + upto_link - own[:, 3]
+        self.n_pairs += len(pairs)
         text_a, text_b = [str(k) for k in ids_a.tolist()], [str(k) for k in ids_b.tolist()]
         u = v = 0
         parts = []
         for x, y in zip(group_a.tolist(), group_b.tolist()):
             parts.append(f"{text_a[u] if x == u + 1 else ','.join(text_a[u:x])}|{text_b[v] if y == v + 1 else ','.join(text_b[v:y])}")
             u, v = x, y
-        u = v = 0
-        for g, q in zip(upto_group.tolist(), upto_link.tolist()):
+        u = 0
+        for g in upto_group.tolist():
             self.groups.append(";".join(parts[u:g]).encode())
-            self.links.append(pairs[v:q])
-            u, v = g, q
+            u = g
 
 
 _ALIGNERS: dict[int, Aligner] = {}
@@ -263,36 +296,67 @@ def _build(shared):
         aligner = aligner_of(shared)
         number = TaskContext.get().partitionId() << 32
         chunk = Chunk()
-        for batch in batches:
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = value.as_py() or ""
-                n_a = n_b = n_groups = n_links = 0
-                digest, mark, whole, arrays = hashlib.sha256(), b"", bool(text) and BLANK not in text, []
-                for k, piece in enumerate((_pieces(text) if aligner.cuts else [text]) if whole else ()):
-                    units = aligner.units(piece if k else " " + piece)
-                    if len(aligner.known) > KNOWN:
-                        aligner.forget()
-                    aligner.learn(units)
-                    ids = [aligner.known[u] for u in units]
-                    numbers = aligner.numbers[ids]
-                    if not numbers[:, 4].all():
-                        whole = False
-                        break
-                    n = numbers.sum(0).tolist()
-                    n_a, n_b, n_groups, n_links = n_a + n[0], n_b + n[1], n_groups + n[2], n_links + n[3]
-                    digest.update(mark + b";".join([aligner.groups[i] for i in ids]))
-                    mark = b";"
-                    arrays += [aligner.links[i] for i in ids]
-                    if len(arrays) > 1 << 16:
-                        arrays = [np.concatenate(arrays)]
-                if whole:
-                    chunk.add(np.concatenate(arrays))
-                    chunk.rows.append((doc_id, n_a, n_b, n_groups, n_links, digest.hexdigest()))
+        waiting: list[tuple] = []  # (doc_id, units; None for a text that is read in pieces; the text)
+        size = 0
+
+        def look_up(units: list[str]) -> np.ndarray:
+            found = np.array([aligner.known[u] for u in units], np.int64)
+            np.add.at(aligner.met, found, 1)
+            return found
+
+        def documents():
+            """(doc_id, ids of the units of each piece of its text): no piece for a text without tokens."""
+            if len(aligner.known) > KNOWN:
+                aligner.forget()
+            aligner.learn([u for _, units, _ in waiting for u in units or ()])
+            for doc_id, units, text in waiting:
+                if units is not None:
+                    found = look_up(units)
+                    yield doc_id, [found] if len(found) and aligner.numbers[found, 4].all() else []
                 else:
-                    chunk.rows.append((doc_id, 0, 0, 0, 0, ""))
+                    # twice: whether the bytes of all pieces are the text's, then their tokens
+                    whole = True
+                    for piece in _pieces(text):
+                        whole = whole and bool(aligner.numbers[units_of(piece), 4].all())
+                    yield doc_id, map(units_of, _pieces(text)) if whole else []
+
+        def units_of(piece: str) -> np.ndarray:
+            """Such a text is the last that waits, so that units may be forgotten between its pieces."""
+            if len(aligner.known) > KNOWN:
+                aligner.forget()
+            aligner.learn(units := aligner.units(piece))
+            return look_up(units)
+
+        def flush():
+            nonlocal chunk, number
+            for doc_id, pieces in documents():
+                total, digest, mark = np.zeros(5, np.int64), hashlib.sha256(), b""
+                for found in pieces:
+                    total += aligner.numbers[found].sum(0)
+                    digest.update(mark + b";".join([aligner.groups[i] for i in found.tolist()]))
+                    mark = b";"
+                    chunk.add(aligner.links(found))
+                chunk.rows.append((doc_id, *total[:4].tolist(), digest.hexdigest() if mark else ""))
                 if chunk.links >= CHUNK or len(chunk.rows) >= PLACES - 1:
                     yield from out(chunk, number)
                     chunk, number = Chunk(), number + 1
+            waiting.clear()
+
+        for batch in batches:
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = value.as_py() or ""
+                if not text or BLANK in text:
+                    waiting.append((doc_id, [], ""))
+                elif aligner.cuts and len(text) > 2 * PIECE:
+                    waiting.append((doc_id, None, " " + text))
+                    size += LOOKED_UP
+                else:
+                    waiting.append((doc_id, aligner.units(" " + text), ""))
+                    size += len(waiting[-1][1])
+                if size >= LOOKED_UP:
+                    yield from flush()
+                    size = 0
+        yield from flush()
         if chunk.rows:
             yield from out(chunk, number)
 
