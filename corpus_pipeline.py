@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxloom.llm import decontam, jaccard, packing, secret_scan, toxicity
 from voxloom.llm.common import table, written
@@ -15,18 +16,18 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates (five words, similarity 0.8): the one with the smallest doc_id.
+    """One row of each component of near duplicates (five words, similarity 0.8): the first in the order of the stage's input.
 
-    Of rows that repeat a doc_id and its text one stays. Rows without a doc_id cannot be told apart and stay.
+    Rows are compared by a number of their own, so a row stays unless another of its component does, whatever doc_ids
+    repeat or are null; of rows that repeat in all columns one stays. Texts without words (null, empty) are like no other.
     """
-    found = written(spark, jaccard.ngram_jaccard_join(spark, docs, width=5, percent=80, links=False).select("doc_id", "component_id"), "found")
-    others = written(spark, found.where("component_id <> doc_id").select("doc_id").distinct(), "others")
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    again = written(spark, found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").union(once)
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(spark, docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = jaccard.ngram_jaccard_join(spark, numbered.select(F.col(row).alias("doc_id"), "text"), width=5, percent=80, links=False)
+    others = written(spark, found.where("component_id <> doc_id").select(F.col("doc_id").alias(row)), "others")
+    return numbered.join(others, row, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
