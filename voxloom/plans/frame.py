@@ -128,6 +128,15 @@ def shared_folder(spark: SparkSession) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
+#: The most rows of a few numbers that are broadcast.
+SMALL = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` for a broadcast if it has at most SMALL rows, else as it is: the join then shuffles."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Through a checkpoint in the folder that the cluster names; one of our own only in local mode."""
     if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import cluster, elementwise, neighbor, reduce, resample, select
+from .operators import cluster, elementwise, neighbor, quantile, reduce, resample, select
 from .plans import fixtures as fx
 from .plans.frame import Frame, densified, shared_folder
 from .plans.space import Space
@@ -840,6 +840,43 @@ def series_digest_levels(spark, sf_dir):
     return lattice(digests.block_hashes(dealt, 64, 8, 3), "level")
 
 
+@query(w(BOLD) + f"SELECT t, {R('quantile_cont(x, 0.02)', 'lo')}, {R('quantile_cont(x, 0.98)', 'hi')} FROM bold GROUP BY t")
+def display_limits_by_time(spark, sf_dir):
+    """Robust limits of each time of a series, of stored voxels (exact quantiles by rounds of histograms)."""
+    bold = fx.bold(spark, sf_dir)
+    return lattice(r6(quantile.display_limits(bold.like(bold.df, sparse=False), by="t"), "lo", "hi"), "t")
+
+
+@query(w(COUNTS, VDIM) + ", dense AS (SELECT coalesce(x, 0.0) AS x FROM (SELECT v, t FROM (SELECT unnest(range(0, nz * 100)) AS v FROM vdim), (SELECT unnest(range(0, 7)) AS t)) g LEFT JOIN counts USING (v, t)) SELECT q.q, round(CASE q.q WHEN 0.1 THEN a WHEN 0.5 THEN b ELSE c END, 6) + 0.0 AS value FROM (SELECT quantile_cont(x, 0.1) AS a, quantile_cont(x, 0.5) AS b, quantile_cont(x, 0.999) AS c FROM dense), (VALUES (CAST(0.1 AS DOUBLE)), (0.5), (0.999)) q(q)")
+def sparse_quantiles(spark, sf_dir):
+    """Of all cells of a sparse series, absent ones as zeros."""
+    return r6(quantile.frame_quantiles(fx.counts(spark, sf_dir), (0.1, 0.5, 0.999)), "value")
+
+
+def named_atlas(spark, sf_dir):
+    from .plans import atlas
+
+    labels = fx.atlas(spark, sf_dir)
+    found = atlas.default_table(labels)
+    return atlas.atlas("fixture", labels, found.select("label", "name", F.when(F.col("label") % 2 == 0, "L").otherwise("R").alias("hemi"), F.concat(F.lit("net"), F.col("label") % 3).alias("network")))
+
+
+@query(w(BOLD, ATLAS) + f", s AS (SELECT v, avg(x) AS x FROM bold GROUP BY v), r AS (SELECT 'net' || (label % 3) AS network, CASE WHEN label % 2 = 0 THEN 'L' ELSE 'R' END AS hemi, CAST(label AS BIGINT) AS label, x FROM s JOIN atlas USING (v)) SELECT CAST(grouping(network) + grouping(hemi) + grouping(label) AS BIGINT) AS level, network, hemi, label, count(*) AS n, {R('avg(x)', 'mean')} FROM r GROUP BY ROLLUP (network, hemi, label)")
+def atlas_rollup(spark, sf_dir):
+    """Mean signal by label, network and hemisphere, network, and in all, of an atlas checked against its table."""
+    from .plans import atlas
+
+    got = atlas.rollup(named_atlas(spark, sf_dir), reduce.mean_over_time(fx.bold(spark, sf_dir)))
+    return lattice(r6(got, "mean"), "level")
+
+
+@query(w(BOLD, ATLAS) + f"SELECT CAST(label AS BIGINT) AS label, 'parcel_' || label AS name, t, {R('avg(x)', 'x')} FROM bold JOIN atlas USING (v) GROUP BY 1, 2, 3")
+def atlas_parcel_series(spark, sf_dir):
+    from .plans import atlas
+
+    return lattice(r6(atlas.parcel_series(named_atlas(spark, sf_dir), fx.bold(spark, sf_dir)), "x"), "t")
+
+
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY 1, 2")
 def daily_windows(spark, sf_dir):
     from .streaming.windows import tumbling
