@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.contracts import InvalidArgument, OpParams, assert_same_space, receipt_for
 from ..plans.digests import mask_hash_of
-from ..plans.frame import Frame, densified
+from ..plans.frame import Frame, densified, with_all_times
 
 NAN = float("nan")
 
@@ -123,8 +123,14 @@ def connectome(parcels: Frame, metric: str = "correlation") -> DataFrame:
 
 
 def seed_correlation(frame: Frame, seed: DataFrame) -> Frame:
-    """Pearson correlation of every voxel's series with a seed series (t, s); NaN where either is constant."""
-    df = frame.df.join(F.broadcast(seed), "t")  # one row per time
+    """Pearson correlation of every stored voxel's series with a seed series (t, s); NaN where either is constant.
+
+    What a sparse frame lacks is zero, and so is a seed at a time that it lacks.
+    """
+    if frame.has_all_times:
+        df = frame.df.join(F.broadcast(seed), "t")  # one row per time
+    else:
+        df = with_all_times(frame).join(F.broadcast(seed), "t", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     sums = df.groupBy("v").agg(F.covar_pop("x", "s").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("s").alias("ss"))
     return Frame(sums.select("v", _or_nan(F.try_divide("c", F.col("sx") * F.col("ss"))).alias("value")), frame.space.spatial, "volume", frame.sparse)
 
@@ -174,8 +180,8 @@ def split_fill(frame: Frame, factor: DataFrame) -> DataFrame:
 
 
 def split_reduce(frame: Frame, factor: DataFrame, f=F.avg) -> Frame:
-    """An aggregate per voxel and level, then its mean over levels."""
-    by_level = frame.df.join(F.broadcast(factor), "t").groupBy("v", "level").agg(f("x").alias("r"))
+    """An aggregate per voxel and level, then its mean over levels; times that a sparse frame lacks at a stored voxel are zero."""
+    by_level = with_all_times(frame).join(F.broadcast(factor), "t").groupBy("v", "level").agg(f("x").alias("r"))
     return Frame(by_level.groupBy("v").agg(F.avg("r").alias("value")), frame.space.spatial, "volume", frame.sparse)
 
 
@@ -186,20 +192,22 @@ def _standardised(df: DataFrame, window, center: bool, scale: bool) -> DataFrame
 
 
 def split_scale(frame: Frame, factor: DataFrame, center: bool = True, scale: bool = True) -> Frame:
-    """Centred and scaled within voxel and level; a standard deviation of 0 counts as 1."""
-    df = frame.df.join(F.broadcast(factor), "t")
-    return frame.like(_standardised(df, Window.partitionBy("v", "level"), center, scale).select("v", "t", "x"))
+    """Centred and scaled within voxel and level; a standard deviation of 0 counts as 1.
+
+    Times that a sparse frame lacks at a stored voxel are zero, and have a row in the result.
+    """
+    df = with_all_times(frame).join(F.broadcast(factor), "t")
+    return frame.like(_standardised(df, Window.partitionBy("v", "level"), center, scale).select("v", "t", "x"), every_time=frame.sparse)
 
 
 def scale_series(frame: Frame, method: str = "zscore") -> Frame:
-    w = Window.partitionBy("v")
-    if method == "zscore":
-        return frame.like(_standardised(frame.df, w, True, True))
-    if method == "mean_center":
-        return frame.like(_standardised(frame.df, w, True, False))
+    """Each stored voxel's series scaled; times that a sparse frame lacks at it are zero, and have a row in the result."""
+    w, df = Window.partitionBy("v"), with_all_times(frame)
+    if method in ("zscore", "mean_center"):
+        return frame.like(_standardised(df, w, True, method == "zscore"), every_time=frame.sparse)
     if method == "unit_scale":
         lo, span = F.min("x").over(w), F.max("x").over(w) - F.min("x").over(w)
-        return frame.like(frame.df.withColumn("x", (F.col("x") - lo) / F.when(span > 0, span).otherwise(1.0)))
+        return frame.like(df.withColumn("x", (F.col("x") - lo) / F.when(span > 0, span).otherwise(1.0)), every_time=frame.sparse)
     raise InvalidArgument(f"no method {method!r}")
 
 

@@ -78,7 +78,7 @@ def in_mask(frame: Frame, mask: Frame) -> Frame:
     assert_same_space(frame.space, mask.space)
     on = mask.df.where("value") if mask.kind == "volume" and dict(mask.df.dtypes)["value"] == "boolean" else mask.df.where(F.col(mask.value) != 0)
     out = frame.df.join(on.select("v"), "v", "left_semi")
-    return frame.like(out, sparse=True, receipt=receipt_for(frame.space, OpParams("in_mask"), mask_hash_of(mask), upstream=frame.receipt))
+    return frame.like(out, sparse=True, every_time=frame.has_all_times, receipt=receipt_for(frame.space, OpParams("in_mask"), mask_hash_of(mask), upstream=frame.receipt))
 
 
 def apply_mask(frame: Frame, mask: Frame) -> Frame:

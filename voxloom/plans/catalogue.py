@@ -22,7 +22,7 @@ BESIDE = "_voxloom_frame.json"
 def to_json(frame: Frame, buckets: int) -> str:
     s = frame.space
     space = {"dim": s.dim, "spacing": s.spacing, "origin": s.origin, "trans": s.trans, "axes": s.axes}
-    return json.dumps({"kind": frame.kind, "sparse": frame.sparse, "space": space, "receipt": frame.receipt.to_json() if frame.receipt else None, "buckets": buckets, "columns": frame.df.select(*frame.keys, frame.value).dtypes}, sort_keys=True)
+    return json.dumps({"kind": frame.kind, "sparse": frame.sparse, "every_time": frame.every_time, "space": space, "receipt": frame.receipt.to_json() if frame.receipt else None, "buckets": buckets, "columns": frame.df.select(*frame.keys, frame.value).dtypes}, sort_keys=True)
 
 
 def _described(text: str) -> dict:
@@ -71,7 +71,7 @@ def open_frame(spark: SparkSession, name: str) -> Frame:
     if PROPERTY not in found:
         raise InvalidArgument(f"{name} is no stored frame")
     about = _described(found[PROPERTY])
-    return Frame(spark.table(name), about["space"], about["kind"], about["sparse"], about["receipt"])
+    return Frame(spark.table(name), about["space"], about["kind"], about["sparse"], about["receipt"], about["every_time"])
 
 
 def attach(spark: SparkSession, name: str, path: str) -> Frame:

@@ -20,7 +20,7 @@ def bold(spark: SparkSession, sf_dir: str) -> Frame:
     e = table(spark, sf_dir, "embeddings")
     n = e.agg(F.max("vec_id")).first()[0] + 1
     df = e.select(F.col("vec_id").alias("v"), F.posexplode("embedding").alias("t", "x0")).select("v", "t", F.col("x0").cast("double").alias("x"))
-    return Frame(df, Space((8, 8, -(-n // 64), 64), (2.0, 2.0, 3.0, 1.5)), "series", sparse=True)
+    return Frame(df, Space((8, 8, -(-n // 64), 64), (2.0, 2.0, 3.0, 1.5)), "series", sparse=True, every_time=True)
 
 
 def atlas(spark: SparkSession, sf_dir: str) -> Frame:

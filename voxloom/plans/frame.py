@@ -7,7 +7,8 @@ hyper       v, t, f, x          a value per voxel, time and feature
 labels      v, label            a partition; background rows are absent
 parcels     label, t, x         a series per label
 
-A sparse frame has no rows for zeros; a dense one has a row for every voxel of the grid.
+A sparse frame has no rows for zeros; a dense one has a row for every voxel of the grid. ``every_time`` says of a sparse
+series that its voxels have a row for every time, so that only voxels are absent.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ class Frame:
     kind: str = "volume"
     sparse: bool = False
     receipt: Receipt | None = None
+    every_time: bool = False
 
     def __post_init__(self):
         if self.kind not in KEYS:
@@ -47,6 +49,10 @@ class Frame:
     def value(self) -> str:
         return VALUE[self.kind]
 
+    @property
+    def has_all_times(self) -> bool:
+        return not self.sparse or self.every_time
+
     def like(self, df: DataFrame, **changes) -> Frame:
         return replace(self, df=df, **changes)
 
@@ -74,11 +80,20 @@ def densified(frame: Frame, fill: float = 0.0) -> Frame:
     return frame.like(df.select(*frame.keys, F.coalesce(F.col(frame.value), F.lit(fill)).alias(frame.value)), sparse=False)
 
 
+def with_all_times(frame: Frame) -> DataFrame:
+    """(v, t, x): the stored voxels of a series at all times, zero where a row is absent; a shuffle by voxel, if one is needed."""
+    if frame.has_all_times:
+        return frame.df.select("v", "t", "x")
+    held = frame.df.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct(F.col("t").cast("int"), F.col("x")))).alias("at"))  # at most one entry a time
+    every = held.select("v", "at", F.explode(F.sequence(F.lit(0), F.lit(frame.space.dim[3] - 1))).alias("t"))
+    return every.select("v", "t", F.coalesce(F.try_element_at("at", F.col("t")), F.lit(0.0)).alias("x"))
+
+
 def sparsified(frame: Frame) -> Frame:
     """Without zeros; of a series, without voxels that are zero at all times."""
     if frame.kind == "series":
         some = frame.df.where(F.col("x") != 0).select("v").distinct()
-        return frame.like(frame.df.join(some, "v", "left_semi"), sparse=True)
+        return frame.like(frame.df.join(some, "v", "left_semi"), sparse=True, every_time=frame.has_all_times)
     return frame.like(frame.df.where(F.col(frame.value) != 0), sparse=True)
 
 

@@ -420,6 +420,35 @@ def dot_reduce(spark, sf_dir):
     return r6(reduce.dot_reduce(fx.bold(spark, sf_dir), time_weights(64, "exponential", 0.1)).df, "value")
 
 
+#: A sparse series at all times of its stored voxels.
+FULL = COUNTS + ", filled AS (SELECT v, CAST(t AS BIGINT) AS t, coalesce(x, 0.0) AS x FROM (SELECT DISTINCT v FROM counts) g CROSS JOIN (SELECT unnest(range(0, 7)) AS t) t LEFT JOIN counts USING (v, t))"
+
+
+def halves(spark):
+    return spark.createDataFrame([(t, t % 2) for t in range(7)], "t int, level int")
+
+
+@query(w(FULL) + f"SELECT v, {R('avg(r)', 'value')} FROM (SELECT v, t % 2 AS level, avg(x) AS r FROM filled GROUP BY 1, 2) GROUP BY v")
+def split_reduce_sparse(spark, sf_dir):
+    return r6(reduce.split_reduce(fx.counts(spark, sf_dir), halves(spark)).df, "value")
+
+
+@query(w(FULL) + f"SELECT v, t, {R('(x - avg(x) OVER g) / CASE WHEN stddev_pop(x) OVER g > 0 THEN stddev_pop(x) OVER g ELSE 1 END', 'x')} FROM filled WINDOW g AS (PARTITION BY v, t % 2)")
+def split_scale_sparse(spark, sf_dir):
+    return lattice(r6(reduce.split_scale(fx.counts(spark, sf_dir), halves(spark)).df, "x"), "t")
+
+
+@query(w(FULL) + f"SELECT v, t, {R('(x - avg(x) OVER g) / CASE WHEN stddev_pop(x) OVER g > 0 THEN stddev_pop(x) OVER g ELSE 1 END', 'x')} FROM filled WINDOW g AS (PARTITION BY v)")
+def scale_series_sparse(spark, sf_dir):
+    return lattice(r6(reduce.scale_series(fx.counts(spark, sf_dir)).df, "x"), "t")
+
+
+@query(w(FULL) + f"SELECT f.v, {R('coalesce(covar_pop(f.x, s.x) / nullif(stddev_pop(f.x) * stddev_pop(s.x), 0), CAST(' + chr(39) + 'nan' + chr(39) + ' AS DOUBLE))', 'value')} FROM filled f JOIN filled s ON s.t = f.t AND s.v = 11 GROUP BY f.v")
+def seed_correlation_sparse(spark, sf_dir):
+    counts = fx.counts(spark, sf_dir)
+    return r6(reduce.seed_correlation(counts, counts.df.where("v = 11").select("t", F.col("x").alias("s"))).df, "value")
+
+
 @query(w(BOLD) + f"SELECT v, {R('avg(x)', 'value')}, count(*) AS n FROM (SELECT * FROM bold UNION ALL SELECT v, t + 64, x * 3 FROM bold) GROUP BY v")
 def concat_series(spark, sf_dir):
     bold = fx.bold(spark, sf_dir)

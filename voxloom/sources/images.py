@@ -731,4 +731,4 @@ def _masked(frame: Frame, mask: Frame | None) -> Frame:
     if mask is None:
         return frame
     frame.space.compatible_with(mask.space)
-    return frame.like(frame.df.join(mask.df.where(F.col(mask.value).cast("boolean")).select("v"), "v", "left_semi"), sparse=True)
+    return frame.like(frame.df.join(mask.df.where(F.col(mask.value).cast("boolean")).select("v"), "v", "left_semi"), sparse=True, every_time=frame.has_all_times)
