@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import cluster, elementwise, neighbor, quantile, reduce, resample, select
+from .operators import chunks, cluster, contour, elementwise, neighbor, quantile, reduce, resample, select, shapes
 from .plans import fixtures as fx
 from .plans.frame import Frame, densified, shared_folder
 from .plans.space import Space
@@ -906,6 +906,53 @@ def atlas_parcel_series(spark, sf_dir):
     return lattice(r6(atlas.parcel_series(named_atlas(spark, sf_dir), fx.bold(spark, sf_dir)), "x"), "t")
 
 
+@query(w(BOLD) + f"SELECT CAST(t // 10 AS BIGINT) AS chunk, count(*) AS n, {R('sum(x)', 'total')}, min(t) AS first, max(t) AS last FROM bold GROUP BY 1")
+def chunk_sums(spark, sf_dir):
+    """A function with state over chunks of ten times, by a table function partitioned by chunk."""
+    class Sums:
+        def __init__(self, chunk):
+            self.n, self.total, self.first, self.last = 0, 0.0, None, None
+
+        def add(self, t, v, x):
+            self.n, self.total = self.n + len(x), self.total + float(x.sum())
+            self.first, self.last = int(t[0]) if self.first is None else self.first, int(t[-1])
+
+        def rows(self):
+            return [(self.n, self.total, self.first, self.last)]
+
+    got = chunks.process_chunks(fx.bold(spark, sf_dir), Sums, "n long, total double, first long, last long", 10)
+    return r6(got, "total")
+
+
+BALLS = f"spots AS (SELECT v, {VIJK} FROM mask), laid AS (SELECT v AS center, sqrt(dx * dx + dy * dy + dz * dz) AS far, dx, dy, dz FROM spots, o, vdim WHERE i + dx BETWEEN 0 AND 9 AND j + dy BETWEEN 0 AND 9 AND k + dz BETWEEN 0 AND nz - 1)"
+
+
+@query(w(MASK, VDIM, near(2, "dx * dx + dy * dy + dz * dz <= 4"), BALLS) + "SELECT center, count(*) AS n, CAST(sum(dx * dx + 3 * dy * dy + 5 * dz * dz) AS BIGINT) AS moment FROM laid WHERE power(dx * 2.5, 2) + power(dy * 1.0, 2) + power(dz * 3.0, 2) <= 16 GROUP BY 1")
+def ellipsoid_regions(spark, sf_dir):
+    """Ellipsoidal neighbourhoods of all mask voxels."""
+    mask = mask_of(spark, sf_dir)
+    return moments(mask, shapes.ellipsoid_regions(mask.df.select("v"), mask.space, 4.0, (2.5, 1.0, 3.0)))
+
+
+@query(w(MASK, VDIM, near(2, "dx * dx + dy * dy + dz * dz <= 4"), BALLS) + ", e AS (SELECT center, quantile_cont(far, 0.7) AS edge FROM laid GROUP BY 1) SELECT center, count(*) AS n, CAST(sum(dx * dx + 3 * dy * dy + 5 * dz * dz) AS BIGINT) AS moment FROM laid JOIN e USING (center) WHERE far < edge GROUP BY 1")
+def blobby_regions(spark, sf_dir):
+    """Balls of all mask voxels without their whole edge (all of it is dropped, so that nothing is left to chance)."""
+    mask = mask_of(spark, sf_dir)
+    return moments(mask, shapes.blobby_regions(mask.df.select("v"), mask.space, 4.0, drop=1.0, edge_fraction=0.7))
+
+
+def moments(mask: Frame, regions: DataFrame) -> DataFrame:
+    d = [a - b for a, b in zip(mask.space.ijk(), mask.space.ijk("center"))]
+    return regions.groupBy("center").agg(F.count("*").alias("n"), F.sum(d[0] * d[0] + 3 * d[1] * d[1] + 5 * d[2] * d[2]).cast("long").alias("moment"))
+
+
+@query(w(SIZES, VDIM, DENSE) + f", p AS (SELECT {VIJK}, value AS z FROM dense), e AS (SELECT a.k, a.i + (20.5 - a.z) / (b.z - a.z) AS x, a.j + 0.0 AS y FROM p a JOIN p b ON a.k = b.k AND a.j = b.j AND b.i = a.i + 1 WHERE (a.z > 20.5) <> (b.z > 20.5) UNION ALL SELECT a.k, a.i + 0.0, a.j + (20.5 - a.z) / (b.z - a.z) FROM p a JOIN p b ON a.k = b.k AND a.i = b.i AND b.j = a.j + 1 WHERE (a.z > 20.5) <> (b.z > 20.5)) SELECT CAST(k AS BIGINT) AS plane, {R('x', 'x')}, {R('y', 'y')} FROM e")
+def contour_points(spark, sf_dir):
+    """Where the contour lines of all planes run: their points, once each (closed lines end where they began)."""
+    lines = contour.contours(fx.volume(spark, sf_dir, "p_size"), 2, 20.5)
+    return lattice(r6(lines.groupBy("plane", "line", "x", "y").agg(F.min("ord").alias("ord")).select("plane", "x", "y"), "x", "y"), "plane")
+
+
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY 1, 2")
 def daily_windows(spark, sf_dir):
     from .streaming.windows import tumbling

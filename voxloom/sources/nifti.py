@@ -23,7 +23,6 @@ from .images import filesystem, first_member, read_bytes
 DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 CODES = {np.dtype(v): k for k, v in DTYPES.items()}
 HEADER = 348
-ECODES = {0: "ignore", 2: "dicom", 4: "afni", 6: "comment"}
 
 
 #: Tag of the extension with the places a gzip member and the members' sizes.
