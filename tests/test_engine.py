@@ -453,31 +453,18 @@ def test_components_across_cubes(spark, connect, share):
     assert got == _walked(on.tolist(), neighbor.connectivity(connect), dim)
 
 
-def _plain_level(values, mfrac=0.5):
-    """The level by walking over bins one at a time."""
-    x = sorted(v for v in values if v > 0)
+def _is_level(values, level, mfrac=0.5):
+    """Whether the level is what defines it: ``mfrac`` times the median of what lies over it, in whole bins."""
+    x = np.sort(np.asarray(values)[np.asarray(values) > 0])
     if len(x) <= 222:
-        return 0.0
-    whole = all(abs(v - round(v)) < 1e-8 for v in x) and x[-1] <= 32767
-    top = (255 if x[-1] <= 255 else 32767) if whole else 10000
-    scale = 1.0 if whole else top / x[-1]
-    bins = [round(v) if whole else math.floor(scale * v + 0.499) for v in x]
-    count = collections.Counter(bins)
-    floor_ = round(0.5 * math.sqrt(sum(b * b for b in bins) / len(bins)))
-    cut, above = top - 1, 0
-    while cut >= floor_ and above < int(0.65 * len(x)):
-        above += count[cut]
-        cut -= 1
-    cut = max(cut, 0)
-    for _ in range(66):
-        half, seen, at = sum(count[b] for b in range(cut, top)) // 2, 0, cut
-        while at < top and seen < half:
-            seen += count[at]
-            at += 1
-        if int(mfrac * at) == cut:
-            break
-        cut = int(mfrac * at)
-    return cut / scale
+        return level == 0
+    whole = np.allclose(x, np.rint(x), atol=1e-8) and x[-1] <= 32767
+    bins = {True: 255 if x[-1] <= 255 else 32767, False: 10000}[bool(whole)]
+    scale = 1.0 if whole else bins / x[-1]
+    place = np.rint(x) if whole else np.floor(scale * x + 0.499)
+    cut = round(level * scale)
+    over = place[(place >= cut) & (place < bins)]
+    return level == pytest.approx(cut / scale) and int(mfrac * (over[len(over) // 2 - 1] + 1)) == cut
 
 
 def test_clip_levels(spark):
@@ -487,8 +474,32 @@ def test_clip_levels(spark):
         frame = Frame(spark.createDataFrame([(k, float(x)) for k, x in enumerate(data)], "v long, value double"), Space((10, 1, n)), "volume", False)
         boxes = [None, ((0, 4), (0, 0), (0, n - 1)), ((3, 9), (0, 0), (0, n // 2))]
         cube = data.reshape(n, 10)
-        want = [_plain_level(data), _plain_level(cube[:, :5].ravel()), _plain_level(cube[: n // 2 + 1, 3:].ravel())]
-        assert reduce.clip_levels(frame, boxes) == pytest.approx(want)
+        parts = (data, cube[:, :5].ravel(), cube[: n // 2 + 1, 3:].ravel())
+        assert all(_is_level(part, level) for part, level in zip(parts, reduce.clip_levels(frame, boxes)))
+
+
+def test_gradual_clip_by_value(spark):
+    rng = np.random.default_rng(8)
+    dim = (24, 20, 18)
+    data = rng.gamma(3.0, 40.0, dim[::-1]) * np.linspace(1, 4, 24)  # brighter along x
+    frame = volume(spark, Space(dim), data.ravel())
+    whole, column = reduce.gradual_clip(frame)
+    got = np.array([r.c for r in frame.df.select("v", column.alias("c")).orderBy("v").collect()]).reshape(dim[::-1])
+    grid = np.meshgrid(*(np.arange(d) for d in dim[::-1]), indexing="ij")[::-1]
+    middle = [int(np.rint((g * data).sum() / data.sum())) for g in grid]
+    ends = [((0, min(m + 1, d - 1)), (max(m - 1, 0), d - 1)) for m, d in zip(middle, dim)]
+    shares = [np.interp(np.arange(d), [m / 2, (m + d - 1) / 2], [0, 1]) for m, d in zip(middle, dim)]
+    want = np.zeros(dim[::-1])
+    for a in (0, 1):
+        for b in (0, 1):
+            for c in (0, 1):
+                (x0, x1), (y0, y1), (z0, z1) = ends[0][a], ends[1][b], ends[2][c]
+                box = data[z0 : z1 + 1, y0 : y1 + 1, x0 : x1 + 1].ravel()
+                level = reduce.clip_level(volume(spark, Space((len(box), 1, 1)), box))
+                assert _is_level(box, level)
+                weight = [s if on else 1 - s for s, on in zip(shares, (a, b, c))]
+                want += max(level, 0.333 * whole) * np.einsum("k,j,i->kji", weight[2], weight[1], weight[0])
+    assert whole == pytest.approx(reduce.clip_level(frame)) and got == pytest.approx(want) and got[:, :, -1].mean() > 1.5 * got[:, :, 0].mean()
 
 
 def test_automask_follows_brightness_over_space(spark):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.frame import Frame, checkpointed, densified, grid, numbered
+from ..plans.frame import SMALL, Frame, checkpointed, densified, grid, numbered
 from ..plans.contracts import InvalidArgument
 from .neighbor import box_offsets, connectivity, scattered
 
@@ -71,6 +73,30 @@ def components(on: DataFrame, space, connect: str = "26-connect", most: int = 10
     return own.join(final.withColumnRenamed("v", "root"), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
 
 
+def _settle_together(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    a, b = (np.concatenate(x) for x in zip(*held))
+    names, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, root[a], root[b])
+        np.minimum.at(low, root[b], root[a])
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+        new = low[root]
+        if np.array_equal(new, root):
+            break
+        root = new
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["v", "to"])
+
+
 def _settled(edges: DataFrame, most: int) -> DataFrame:
     """(v, to): the least vertex that each end of the edges (a, b), given both ways, reaches.
 
@@ -78,8 +104,11 @@ def _settled(edges: DataFrame, most: int) -> DataFrame:
     log n rounds, checkpointed each.
     """
     labels = edges.select(F.col("a").alias("v")).distinct().withColumn("to", F.col("v"))
-    if edges.isEmpty():
+    size = edges.count()
+    if size == 0:
         return labels
+    if size <= SMALL:
+        return edges.coalesce(1).mapInArrow(_settle_together, "v long, to long")  # few enough for one task
     for _ in range(most):
         near = edges.join(labels.select(F.col("v").alias("a"), "to"), "a").groupBy(F.col("b").alias("v")).agg(F.min("to").alias("near"))
         low = labels.join(near, "v").select("v", F.col("to").alias("was"), F.least("to", "near").alias("low"))
@@ -120,26 +149,34 @@ def cluster_table(frame: Frame, comp: DataFrame) -> DataFrame:
 
 
 def local_maxima(frame: Frame, comp: DataFrame, min_distance: float = 15.0) -> DataFrame:
-    """(index, v, value): voxels that no neighbour of 26 exceeds, by falling value, each at least the distance from those kept before."""
-    import numpy as np
-    import pandas as pd
+    """(index, v, value): voxels that no neighbour of 26 exceeds, by falling value, each at least the distance from those kept before.
 
+    The distance is in mm, by the mean spacing; ties go to the smaller voxel; NaN is no peak. Rounds keep, in all
+    components at once, the peaks that come before all undecided ones of their component nearer than the distance, and
+    drop what is nearer to them: the same peaks as one walk by falling value.
+    """
     space = frame.space
     top = scattered(densified(frame).df.select("v", F.col("value").alias("y")), space, box_offsets(1), space.ijk(), ["y"]).groupBy("v").agg(F.max("y").alias("top"))
-    peaks = comp.join(frame.df, "v").join(top, "v").where("value = top").select("index", "v", "value")
-    nx, ny = space.dim[:2]
-    limit = min_distance / float(np.mean(space.spacing[:3]))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["value", "v"], ascending=[False, True])
-        at = np.stack([g.v % nx, g.v // nx % ny, g.v // (nx * ny)], 1).astype(float)
-        kept: list[int] = []
-        for n in range(len(g)):
-            if all(np.sqrt(((at[n] - at[m]) ** 2).sum()) >= limit for m in kept):
-                kept.append(n)
-        return g.iloc[kept]
-
-    return peaks.groupBy("index").applyInPandas(run, "index int, v long, value double")
+    peaks = checkpointed(comp.join(frame.df, "v").join(top, "v").where("value = top and not isnan(value)").select("index", "v", "value"))
+    limit = min_distance / (sum(space.spacing[:3]) / 3)
+    # peaks nearer than the distance lie in the same cube of that side or in one next to it
+    side = max(1, math.ceil(limit))
+    at = peaks.select("index", "v", "value", *(c.cast("int").alias(n) for c, n in zip(space.ijk(), "ijk"))).withColumns({f"c{n}": F.floor(F.col(n) / side).cast("int") for n in "ijk"})
+    nearby = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(o, "ijk"))) for o in box_offsets(1)))
+    laid = at.select("index", F.col("v").alias("own"), F.col("value").alias("own_value"), *(F.col(n).alias(f"own_{n}") for n in "ijk"), "ci", "cj", "ck", F.explode(nearby).alias("o"))
+    laid = laid.withColumns({f"c{n}": F.col(f"c{n}") + F.col(f"o.{n}") for n in "ijk"})
+    far = sum((F.pow(F.col(n) - F.col(f"own_{n}"), 2) for n in "ijk"), F.lit(0.0))
+    # (own, v): a peak and one of its component too near to it that comes before it
+    before = laid.join(at, ["index", "ci", "cj", "ck"]).where(F.sqrt(far) < limit).where((F.col("value") > F.col("own_value")) | ((F.col("value") == F.col("own_value")) & (F.col("v") < F.col("own"))))
+    before = checkpointed(before.select("own", "v"))
+    left, kept = peaks.select("v"), None
+    while not left.isEmpty():
+        alive = before.join(left, "v", "left_semi").select("own").distinct()  # those that an undecided peak comes before
+        new = checkpointed(left.join(alive, left.v == alive.own, "left_anti"))
+        kept = new if kept is None else kept.union(new)
+        gone = before.join(new, "v", "left_semi").select(F.col("own").alias("v")).union(new)
+        left = checkpointed(left.join(gone, "v", "left_anti"))
+    return peaks.join(kept, "v", "left_semi").select("index", "v", "value") if kept is not None else peaks
 
 
 def largest_component(on: DataFrame, space, connect: str = "26-connect") -> DataFrame:

@@ -18,6 +18,10 @@ from ..plans.space import Space
 
 #: A ball of 39 voxels has as many.
 MOST_OFFSETS = 1 << 18
+#: Regions of a driver list of centres are listed on the driver up to so many voxels.
+ON_DRIVER = 10_000
+#: A task of a Python function of balls gets those of so many centres together.
+CENTERS = 64
 
 
 def offsets_checked(offsets: list[tuple]) -> list[tuple]:
@@ -95,17 +99,29 @@ def roi(spark: SparkSession, space: Space, centers, offsets: list[tuple[int, int
     for c in centers:
         if not all(0 <= x < d for x, d in zip(c, (nx, ny, nz))):
             raise OutOfBounds(f"centre {c} is outside the space")
+    if len(centers) * len(offsets) <= ON_DRIVER:  # a list like that of the centres: no job is needed
+        rows = [(n, k, int((i + dx) + nx * ((j + dy) + ny * (l + dz)))) for n, (i, j, l) in enumerate(tuple(map(int, c)) for c in centers) for k, (dx, dy, dz) in enumerate(offsets) if 0 <= i + dx < nx and 0 <= j + dy < ny and 0 <= l + dz < nz]
+        out = spark.createDataFrame(rows, "roi_id int, ord int, v long")
+        out._voxels = [v for _, _, v in rows]
+        return out
     c = spark.createDataFrame([(n, *map(int, c)) for n, c in enumerate(centers)], "roi_id int, ci int, cj int, ck int")
     out = scattered(c, space, offsets, (F.col("ci"), F.col("cj"), F.col("ck")), ["roi_id"], ordered=True)
     return out.select("roi_id", "ord", "v")
 
 
+def _one(spark, space, center, offsets) -> DataFrame:
+    found = roi(spark, space, [center], offsets)
+    out = found.drop("roi_id")
+    out._voxels = getattr(found, "_voxels", None)
+    return out
+
+
 def spherical_roi(spark, space, center, radius):
-    return roi(spark, space, [center], ball_offsets(space, radius)).drop("roi_id")
+    return _one(spark, space, center, ball_offsets(space, radius))
 
 
 def cuboid_roi(spark, space, center, surround):
-    return roi(spark, space, [center], box_offsets(surround)).drop("roi_id")
+    return _one(spark, space, center, box_offsets(surround))
 
 
 def square_roi(spark, space, center, surround: int, fixdim: int = 2):
@@ -117,7 +133,7 @@ def square_roi(spark, space, center, surround: int, fixdim: int = 2):
 
 
 def ellipsoid_roi(spark, space, center, radii):
-    return roi(spark, space, [center], ellipsoid_offsets(radii)).drop("roi_id")
+    return _one(spark, space, center, ellipsoid_offsets(radii))
 
 
 def scattered(df: DataFrame, space: Space, offsets, ijk: tuple[Column, Column, Column], keep: list, ordered: bool = False) -> DataFrame:
@@ -181,12 +197,20 @@ def searchlight_apply(frame: Frame, mask: Frame, radius: float, method) -> DataF
     times = frame.space.dim[3]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        voxels, col = np.unique(group.v.to_numpy(), return_inverse=True)
-        data, there = np.zeros((times, len(voxels))), group.t.notna().to_numpy()
-        data[group.t.to_numpy()[there].astype(int), col[there]] = group.x.to_numpy()[there]
-        return pd.DataFrame({"center": [group.center.iloc[0]], "value": [float(method(data))]})
-
-    out = balls.join(frame.df, "v", "left" if frame.sparse else "inner").groupBy("center").applyInPandas(run, "center long, value double")
+        group = group.sort_values(["center", "v"], kind="stable")
+        center, v, x = group.center.to_numpy(), group.v.to_numpy(), group.x.to_numpy()
+        t = group.t.to_numpy(dtype=np.float64, na_value=np.nan)
+        first = np.flatnonzero(np.append(True, center[1:] != center[:-1]))
+        out = []
+        for a, b in zip(first, np.append(first[1:], len(center))):
+            column = np.cumsum(np.append(0, v[a + 1 : b] != v[a : b - 1]))
+            data, there = np.zeros((times, column[-1] + 1)), ~np.isnan(t[a:b])
+            data[t[a:b][there].astype(int), column[there]] = x[a:b][there]
+            out.append(float(method(data)))
+        return pd.DataFrame({"center": center[first], "value": out})
+
+    rows = balls.join(frame.df, "v", "left" if frame.sparse else "inner").withColumn("block", F.floor(F.col("center") / CENTERS))
+    out = rows.groupBy("block").applyInPandas(run, "center long, value double")
     return out.where(~F.isnan("value") & (F.abs("value") != float("inf")))
 
 
@@ -483,19 +507,27 @@ def laplace_enhance(frame: Frame, mask: Frame, alpha: float = 0.5) -> Frame:
 
 
 def nuisance_residual(values: Frame, confounds: DataFrame, mask: Frame) -> DataFrame:
-    """(v, value): each voxel's residual of least squares over itself and its neighbours on confounds (v, c0, c1, ...)."""
+    """(v, value): each voxel's residual of least squares over itself and its neighbours on confounds (v, c0, c1, ...).
+
+    Means and covariances of all pairs are aggregations; tasks solve the systems of many voxels at once. Confounds that
+    depend on each other share their weights (the solution of least norm).
+    """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     edges = make_graph(mask).union(mask.df.where(F.col(mask.value).cast("double") != 0).select(F.col("v").alias("src"), F.col("v").alias("dst")))
     names = [c for c in confounds.columns if c != "v"]
     rows = edges.join(values.df.withColumnRenamed("v", "dst"), "dst").join(confounds.withColumnRenamed("v", "dst"), "dst")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.c_[np.ones(len(g)), g[names].to_numpy()]
-        beta = np.linalg.lstsq(x, g.value.to_numpy(), rcond=None)[0]
-        own = (g.src == g.dst).to_numpy().argmax()
-        return pd.DataFrame({"v": [g.src.iloc[0]], "value": [float(g.value.iloc[own] - x[own] @ beta)]})
-
-    return rows.groupBy("src").applyInPandas(run, "v long, value double")
-
+    c = [F.col(n).cast("double") for n in names]
+    y, own, p = F.col("value"), F.col("src") == F.col("dst"), len(names)
+    sums = rows.groupBy("src").agg(F.array(*(F.covar_pop(a, b) for a in c for b in c)).alias("cc"), F.array(*(F.covar_pop(a, y) for a in c)).alias("cy"), F.array(*(F.max(F.when(own, a)) - F.avg(a) for a in c)).alias("c"), (F.max(F.when(own, y)) - F.avg(y)).alias("y"))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cc, cy, at = (np.array(batch.column(k).to_pylist(), float).reshape(-1, *shape) for k, shape in ((1, (p, p)), (2, (p, 1)), (3, (p,))))
+            beta = (np.linalg.pinv(cc, rcond=1e-12, hermitian=True) @ cy)[:, :, 0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(4).to_numpy() - (at * beta).sum(1))], names=["v", "value"])
+
+    return sums.where("y is not null").mapInArrow(run, "v long, value double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce as fold
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -264,12 +265,18 @@ def reduce_features(frame: Frame, how: str = "mean", weights=None) -> DataFrame:
 
 def apply_feature_function(frame: Frame, f) -> DataFrame:
     """(v, t, x) of a Python function of a cell's feature values in order; for what aggregates cannot say."""
-    import pandas as pd
+    import pyarrow as pa
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"v": [group.v.iloc[0]], "t": [group.t.iloc[0]], "x": [float(f(group.sort_values("f").x.to_numpy()))]})
+    cells = frame.df.groupBy("v", "t").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("fx"))  # as many as features
+    cells = cells.select(F.col("v").cast("long").alias("v"), F.col("t").cast("int").alias("t"), F.col("fx.x").cast("array<double>").alias("x"))
 
-    return frame.df.groupBy("v", "t").applyInPandas(run, "v long, t int, x double")
+    def run(batches):
+        for batch in batches:
+            flat, ends = batch.column(2).flatten().to_numpy(zero_copy_only=False), np.cumsum(batch.column(2).value_lengths().to_numpy())
+            found = [float(f(flat[a:b])) for a, b in zip(np.append(0, ends[:-1]), ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["v", "t", "x"])
+
+    return cells.mapInArrow(run, "v long, t int, x double")
 
 
 def partition(frame: Frame, k: int, seed: int = 0) -> Frame:

@@ -26,9 +26,10 @@ LITERALS, BROADCAST_ROWS = 2000, 1_000_000
 
 def pruned(df: DataFrame, asked: DataFrame | list[int]) -> DataFrame:
     """The rows of ``df`` at the voxels asked for (a list, or a column v), by a filter that reaches the source."""
-    if isinstance(asked, list):
-        found = sorted(set(asked))
-        asked = df.sparkSession.createDataFrame([(v,) for v in found], "v long") if len(found) > LITERALS else asked
+    known = getattr(asked, "_voxels", None)  # a region that the driver listed
+    if isinstance(asked, list) or (known is not None and len(known) <= LITERALS):
+        found = sorted(set(asked if known is None else known))
+        asked = df.sparkSession.createDataFrame([(v,) for v in found], "v long") if known is None and len(found) > LITERALS else asked
     else:
         rows = asked.select("v").limit(LITERALS + 1).collect()
         found = sorted({r[0] for r in rows}) if len(rows) <= LITERALS else None

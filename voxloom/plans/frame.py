@@ -100,7 +100,10 @@ def sparsified(frame: Frame) -> Frame:
 def numbered(df: DataFrame, order: str, name: str, first: int = 0) -> DataFrame:
     """``df`` with a column of places in the order of a column, counting from ``first``: a range partitioning and one count
     per partition, so no task sees more than its partition."""
-    rows = checkpointed(df.orderBy(order).withColumn("_at", F.monotonically_increasing_id()))
+    rows = checkpointed(df)
+    if rows.count() <= SMALL:  # few enough for one task
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(order)).cast("long") + F.lit(first - 1))
+    rows = checkpointed(rows.orderBy(order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     sizes = sorted((r[0], r[1]) for r in rows.groupBy(part).count().collect())  # one row per partition
     before, offset = {}, first

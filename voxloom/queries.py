@@ -421,29 +421,29 @@ def dot_reduce(spark, sf_dir):
 
 
 #: A sparse series at all times of its stored voxels.
-FULL = COUNTS + ", filled AS (SELECT v, CAST(t AS BIGINT) AS t, coalesce(x, 0.0) AS x FROM (SELECT DISTINCT v FROM counts) g CROSS JOIN (SELECT unnest(range(0, 7)) AS t) t LEFT JOIN counts USING (v, t))"
+FILLED = COUNTS + ", filled AS (SELECT v, CAST(t AS BIGINT) AS t, coalesce(x, 0.0) AS x FROM (SELECT DISTINCT v FROM counts) g CROSS JOIN (SELECT unnest(range(0, 7)) AS t) t LEFT JOIN counts USING (v, t))"
 
 
 def halves(spark):
     return spark.createDataFrame([(t, t % 2) for t in range(7)], "t int, level int")
 
 
-@query(w(FULL) + f"SELECT v, {R('avg(r)', 'value')} FROM (SELECT v, t % 2 AS level, avg(x) AS r FROM filled GROUP BY 1, 2) GROUP BY v")
+@query(w(FILLED) + f"SELECT v, {R('avg(r)', 'value')} FROM (SELECT v, t % 2 AS level, avg(x) AS r FROM filled GROUP BY 1, 2) GROUP BY v")
 def split_reduce_sparse(spark, sf_dir):
     return r6(reduce.split_reduce(fx.counts(spark, sf_dir), halves(spark)).df, "value")
 
 
-@query(w(FULL) + f"SELECT v, t, {R('(x - avg(x) OVER g) / CASE WHEN stddev_pop(x) OVER g > 0 THEN stddev_pop(x) OVER g ELSE 1 END', 'x')} FROM filled WINDOW g AS (PARTITION BY v, t % 2)")
+@query(w(FILLED) + f"SELECT v, t, {R('(x - avg(x) OVER g) / CASE WHEN stddev_pop(x) OVER g > 0 THEN stddev_pop(x) OVER g ELSE 1 END', 'x')} FROM filled WINDOW g AS (PARTITION BY v, t % 2)")
 def split_scale_sparse(spark, sf_dir):
     return lattice(r6(reduce.split_scale(fx.counts(spark, sf_dir), halves(spark)).df, "x"), "t")
 
 
-@query(w(FULL) + f"SELECT v, t, {R('(x - avg(x) OVER g) / CASE WHEN stddev_pop(x) OVER g > 0 THEN stddev_pop(x) OVER g ELSE 1 END', 'x')} FROM filled WINDOW g AS (PARTITION BY v)")
+@query(w(FILLED) + f"SELECT v, t, {R('(x - avg(x) OVER g) / CASE WHEN stddev_pop(x) OVER g > 0 THEN stddev_pop(x) OVER g ELSE 1 END', 'x')} FROM filled WINDOW g AS (PARTITION BY v)")
 def scale_series_sparse(spark, sf_dir):
     return lattice(r6(reduce.scale_series(fx.counts(spark, sf_dir)).df, "x"), "t")
 
 
-@query(w(FULL) + f"SELECT f.v, {R('coalesce(covar_pop(f.x, s.x) / nullif(stddev_pop(f.x) * stddev_pop(s.x), 0), CAST(' + chr(39) + 'nan' + chr(39) + ' AS DOUBLE))', 'value')} FROM filled f JOIN filled s ON s.t = f.t AND s.v = 11 GROUP BY f.v")
+@query(w(FILLED) + f"SELECT f.v, {R('coalesce(covar_pop(f.x, s.x) / nullif(stddev_pop(f.x) * stddev_pop(s.x), 0), CAST(' + chr(39) + 'nan' + chr(39) + ' AS DOUBLE))', 'value')} FROM filled f JOIN filled s ON s.t = f.t AND s.v = 11 GROUP BY f.v")
 def seed_correlation_sparse(spark, sf_dir):
     counts = fx.counts(spark, sf_dir)
     return r6(reduce.seed_correlation(counts, counts.df.where("v = 11").select("t", F.col("x").alias("s"))).df, "value")
@@ -668,10 +668,10 @@ def leave_one_run_out(spark, sf_dir):
     return lattice(r6(neighbor.leave_one_run_out(fx.bold(spark, sf_dir), conditions(spark).select("t", "run")), "value"), "run")
 
 
-@query()
+@query(w(BOLD, BMASK, FACE) + ", e AS (SELECT a.v, b.v AS u, exp(-1 / (2 * pow(3.0 / (2 * sqrt(2 * ln(2.0))), 2))) AS w FROM bm a, o, bm b WHERE b.i = a.i + dx AND b.j = a.j + dy AND b.k = a.k + dz UNION ALL SELECT v, v, 1.0 FROM bm), r AS (SELECT v, t // 16 AS run, sum(x) AS s, count(*) AS n FROM bold JOIN bm USING (v) GROUP BY 1, 2), a AS (SELECT v, sum(s) AS s, sum(n) AS n FROM r GROUP BY v), r0 AS (SELECT v, run, (a.s - r.s) / (a.n - r.n) AS value FROM r JOIN a USING (v)), r1 AS (SELECT e.v, run, sum(w * value) / sum(w) AS value FROM e JOIN r0 ON r0.v = e.u GROUP BY 1, 2)" + f" SELECT e.v, CAST(run AS BIGINT) AS run, {R('sum(w * value) / sum(w)', 'value')} FROM e JOIN r1 ON r1.v = e.u GROUP BY 1, 2")
 def smooth_leave_one_run_out(spark, sf_dir):
     bold, mask = _bold_mask(spark, sf_dir)
-    return r6(neighbor.smooth_leave_one_run_out(bold, 3.0, conditions(spark).select("t", "run"), mask), "value")
+    return lattice(r6(neighbor.smooth_leave_one_run_out(bold, 3.0, conditions(spark).select("t", "run"), mask), "value"), "run")
 
 
 # --- components -----------------------------------------------------------------------------------
@@ -742,7 +742,11 @@ def downsample(spark, sf_dir):
     return r6(resample.downsample(densified(fx.volume(spark, sf_dir)), 2).df, "value")
 
 
-@query()
+#: Turned by 0.2 about z, the grid's axis-aligned box has 12 x 12 columns and begins at x = -18 sin 0.2.
+BOX = "g AS (SELECT unnest(range(0, 144 * nz)) AS v FROM vdim), s AS (SELECT v, v // 144 AS k, round(((2 * (v % 12) - 18 * sin(0.2)) * cos(0.2) + 2 * ((v // 12) % 12) * sin(0.2)) / 2, 9) AS s0, round((2 * ((v // 12) % 12) * cos(0.2) - (2 * (v % 12) - 18 * sin(0.2)) * sin(0.2)) / 2, 9) AS s1 FROM g), q AS (SELECT v, k, floor(s0) + di AS i, floor(s1) + dj AS j, (1 - abs(s0 - floor(s0) - di)) * (1 - abs(s1 - floor(s1) - dj)) AS w FROM s, (VALUES (0), (1)) a(di), (VALUES (0), (1)) b(dj) WHERE s0 BETWEEN 0 AND 9 AND s1 BETWEEN 0 AND 9), m AS (SELECT q.v, sum(w * value) AS value FROM q JOIN dense d ON d.v = CAST(i AS BIGINT) + 10 * (CAST(j AS BIGINT) + 10 * k) AND i <= 9 AND j <= 9 GROUP BY 1)"
+
+
+@query(w(VOL, VDIM, DENSE, BOX) + f"SELECT g.v, {R('coalesce(value, 0)', 'value')} FROM g LEFT JOIN m USING (v)")
 def deoblique(spark, sf_dir):
     import math
 
