@@ -39,3 +39,21 @@ def test_one_of_each_component_stays(spark):
 
 def test_empty(spark):
     assert C.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), "").collect() == []
+
+
+def test_a_group_that_mostly_does_not_link(spark):
+    """Copies of one text, a fifth of their words changed by and by: many share signatures, few link."""
+    from voxloom.llm import jaccard
+
+    rng = random.Random(4)
+    base = words(9, 240).split()
+    docs = []
+    for k in range(150):
+        own = list(base)
+        for i in rng.sample(range(240), rng.choice([2, 6, 9, 12, 14])):
+            own[i] = f"y{rng.randint(0, 10**6)}"
+        docs.append((k, " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {i: c for i, (_, c) in plain_join(docs, 5, 80).items()}
+    assert {r.doc_id: r.component_id for r in jaccard.ngram_jaccard_join(spark, df, 5, 80, links=False).collect()} == want
+    assert 5 < len(set(want.values())) < 150

@@ -16,7 +16,8 @@ Every text is the set of its distinct ``width``-word shingles, hashed to 64 bits
 4. *Rest.* More stars join what is left in different components. What still shares a signature across components is
    compared exhaustively, in blocks, by size and parity bitmap (a lower bound on the symmetric difference): first for
    as many pairs as would join the components, then for all that are left. Only pairs that may link leave the block,
-   and whole sets decide on them: no component is torn.
+   and whole sets decide on them: no component is torn. A pair that shares many signatures is left out where both
+   members' LEAST smallest ones have a common one that is smaller: it is made there.
 5. *Links.* Only where links are asked for: every two different sets of a component meet once, in blocks that bring
    their whole sets along. What they share is counted exactly there, by matrix products over the items that many of a
    block have, so that no link is lost and pairs are listed only if they are the result.
@@ -41,6 +42,8 @@ SALTS = 16
 PART = 1 << 16
 SEEN = 200_000
 BLOCK = 2048
+#: Of each member so many of its least signatures are known where pairs are made.
+LEAST = 8
 #: Links are counted in blocks of so many sets of a component, TILE rows at a time; items that at most FEW have, one by one.
 WITHIN, TILE, FEW = 4096, 512, 8
 #: Bytes of sets that a block of a component has on the average at most.
@@ -299,13 +302,14 @@ def _fold(maps: np.ndarray) -> np.ndarray:
 
 
 def _rest(percent: int, forest: bool):
-    """From rows (sig, i, j, block, c, n, rep, key, bitmap) sorted by sig, i, j, n: pairs of different components, one
-    from block i and one from block j, whose sizes and bitmaps allow a link. No other pair is ever made.
+    """From rows (sig, i, j, block, c, n, rep, key, bitmap, least) sorted by sig, i, j, n: pairs of different components,
+    one from block i and one from block j, whose sizes and bitmaps allow a link. No other pair is ever made.
 
-    forest: of these only so many as join, within the meeting, all components that they could join."""
+    least: the smallest signatures of a member, in order; pairs are left out that meet at a smaller one of both.
+    forest: of these only so many as join, within the meeting, all components that they could join; least is not asked."""
     schema = pa.schema([(x, pa.int64()) for x in ("ra", "na", "ka", "rb", "nb", "kb")])
 
-    def pairs(block, c, n, bits):
+    def pairs(sig, block, c, n, bits, least):
         one_block = block[0] == block[-1] and (block == block[0]).all()
         edges = np.append(np.flatnonzero(np.append(True, np.diff([len(b) for b in bits]) != 0)), len(bits))
         classes = [(a, b, np.frombuffer(b"".join(bits[a:b]), np.uint64).reshape(b - a, -1)) for a, b in zip(edges, edges[1:])]
@@ -324,20 +328,25 @@ def _rest(percent: int, forest: bool):
                     if not one_block:
                         ok &= block[u:v] != block[x]
                     while len(near := np.flatnonzero(ok)):
-                        for y in near[:1] if forest else near:
-                            yield x, int(y) + u
                         if not forest:
+                            theirs = least[near + u]
+                            elsewhere = ((theirs[:, :, None] == least[x]).any(2) & (theirs < sig)).any(1)
+                            yield from ((x, int(y) + u) for y in near[~elsewhere])
                             break
+                        yield x, int(near[0]) + u
                         c[c == c[near[0] + u]] = c[x]
                         ok &= c[u:v] != c[x]
 
     def flush(t):
         sig, i, j, block, c, n, rep, key = (t.column(x).to_numpy() for x in range(8))
         bits = t.column(8).to_pylist()
+        least = np.full((len(bits), LEAST), np.iinfo(np.int64).max)
+        for k, own in enumerate(t.column(9).to_pylist() if not forest else ()):
+            least[k, : len(own)] = own
         start = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         out = []
         for a, b in zip(start, np.append(start[1:], len(sig))):
-            out += [(a + x, a + y) for x, y in pairs(block[a:b], c[a:b], n[a:b], bits[a:b])]
+            out += [(a + x, a + y) for x, y in pairs(sig[a], block[a:b], c[a:b], n[a:b], bits[a:b], least[a:b])]
         x, y = np.array(out, np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(v) for v in (rep[x], n[x], key[x], rep[y], n[y], key[y])], schema=schema)
 
@@ -602,10 +611,15 @@ def _joined(spark: SparkSession, docs: DataFrame, width: int, percent: int, id_c
         return now.join(apart.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sig")
 
     def compared(now: DataFrame, forest: bool) -> DataFrame:
+        if forest:
+            now = now.withColumn("least", F.array().cast("array<long>"))
+        else:
+            now = written(spark, now, "mixed")
+            now = now.join(now.groupBy(F.col("rep").alias("r"), F.col("key").alias("k")).agg(F.slice(F.sort_array(F.collect_set("sig")), 1, LEAST).alias("least")), [F.col("rep") == F.col("r"), F.col("key") == F.col("k")]).drop("r", "k")
         # a meeting of many members is cut into blocks that meet two by two, so that no task has more than two blocks of it
         now = now.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         now = now.join(maps.select("rep", F.col("m").alias("n"), F.col("k").alias("key"), F.col("thin").alias("bitmap")), ["rep", "n", "key"])
-        now = now.select("sig", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "c", "n", "rep", "key", "bitmap")
+        now = now.select("sig", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "c", "n", "rep", "key", "bitmap", "least")
         return now.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n").mapInArrow(_rest(percent, forest), "ra long, na long, ka long, rb long, nb long, kb long").distinct()
 
     def settled(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
