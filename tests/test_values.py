@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from test_engine import mask, series, values, volume
 from voxloom.functions import design
-from voxloom.operators import cluster, neighbor, reduce, select
+from voxloom.operators import cluster, neighbor, reduce, resample, select
 from voxloom.plans.contracts import InvalidArgument, OutOfBounds
 from voxloom.plans.frame import Frame
 from voxloom.plans.space import Space
@@ -116,6 +116,36 @@ def test_components_settled_together_and_in_rounds(spark, monkeypatch):
     assert together == {tuple(r) for r in cluster.components(on, Space((70, 70, 3)), "6-connect").collect()}
 
 
+def zoomed(data, shape):
+    """Linear interpolation axis by axis, ends on ends."""
+    for axis, m in enumerate(shape):
+        n = data.shape[axis]
+        at = np.arange(m) * ((n - 1) / (m - 1) if m > 1 else 0)
+        data = np.apply_along_axis(lambda line: np.interp(at, np.arange(n), line), axis, data)
+    return data
+
+
+def test_downsample_to(spark):
+    space = Space((6, 5, 4), (2, 2, 3)).add_dim(2, 1.5)
+    data = np.random.default_rng(6).random((6, 5, 4, 2))
+    s = arrays.from_array(spark, data, space)
+    got = resample.downsample_to(s, outdim=(3, 5, 2))
+    assert got.space.dim == (3, 5, 2, 2) and got.space.spacing == (4, 2, 6, 1.5)
+    assert got.space.grid_to_world([(1, 2, 0.5)]) == pytest.approx(space.grid_to_world([(2.5, 2, 1.5)]))  # the middle stays
+    assert arrays.to_array(got) == pytest.approx(data.reshape(3, 2, 5, 1, 2, 2, 2).mean((1, 3, 5)))
+    for kw, dim in (({"outdim": (4, 3, 1)}, (4, 3, 1)), ({"factor": 0.7}, (4, 3, 2)), ({"factor": 2}, (3, 2, 2)), ({"spacing": 3.0}, (4, 3, 4)), ({"spacing": (4, 2, 12)}, (3, 5, 1))):
+        got = resample.downsample_to(s, **kw)
+        assert got.space.dim == (*dim, 2)
+        blocks = all(a % b == 0 for a, b in zip(space.dim, dim))
+        if not blocks:
+            assert arrays.to_array(got) == pytest.approx(np.stack([zoomed(data[..., t], dim) for t in (0, 1)], -1))
+    v = arrays.from_array(spark, data[..., 0] * (data[..., 0] > 0.5), Space((6, 5, 4), (2, 2, 3)), sparse=True)
+    assert arrays.to_array(resample.downsample_to(v, outdim=(4, 3, 2))) == pytest.approx(zoomed(data[..., 0] * (data[..., 0] > 0.5), (4, 3, 2)))
+    for bad in ({}, {"factor": 2, "spacing": 1}, {"factor": 1.5}, {"factor": -1}, {"outdim": (7, 5, 4)}, {"outdim": 3}, {"spacing": (1, 2)}, {"factor": 0.1}):
+        with pytest.raises(InvalidArgument):
+            resample.downsample_to(s, **bad)
+
+
 # --- design
 
 

@@ -25,11 +25,14 @@ def resample(frame: Frame, target: Space, order: int = 1) -> Frame:
 
     Cubic: the interpolating spline's coefficients are found along each axis (one group per line), then 64 taps.
     """
-    target = target.spatial
+    return _interpolated(frame, _source_coords(frame, target.spatial), target.spatial, order)
+
+
+def _interpolated(frame: Frame, at, target: Space, order: int) -> Frame:
+    """Values at places (v, s0, s1, s2) of the source grid, for the voxels of the target."""
     keys = [k for k in frame.keys if k != "v"]
     value = frame.value
     src = frame.space
-    at = _source_coords(frame, target)
     if order == 0:
         g = [F.bround(f"s{n}").cast("long") for n in range(3)]
         taps = at.where(src.inside(*g)).select("v", src.index(*g).alias("sv"), F.lit(1.0).alias("w"))
@@ -144,5 +147,53 @@ def downsample(frame: Frame, factor: int) -> Frame:
     return frame.like(df, space=space)
 
 
+def downsampled_dim(space: Space, factor=None, spacing=None, outdim=None) -> tuple[int, int, int]:
+    """The grid that one of these asks for: a ratio up to 1 or whole block sizes, voxel sizes in mm, or the dimensions."""
+    dim = np.array(space.dim[:3])
+    if sum(x is not None for x in (factor, spacing, outdim)) != 1:
+        raise InvalidArgument("exactly one of factor, spacing and outdim")
+    asked = np.array(next(x for x in (factor, spacing, outdim) if x is not None), float)
+    if asked.ndim and asked.shape != (3,) or (outdim is not None and not asked.ndim):
+        raise InvalidArgument("a number, or one for each axis; three dimensions")
+    asked = np.broadcast_to(asked, 3)
+    if not (np.isfinite(asked) & (asked > 0)).all():
+        raise InvalidArgument("positive numbers")
+    if spacing is not None:
+        out = dim * voxel_sizes(space.matrix) / asked
+    elif outdim is not None:
+        out = asked
+    elif (asked <= 1).all():
+        out = dim * asked
+    elif np.allclose(asked, np.rint(asked)):
+        out = dim / np.rint(asked)
+    else:
+        raise InvalidArgument("factors over 1 are whole block sizes")
+    out = np.floor(out + 1e-9).astype(int)
+    if (out < 1).any() or (out > dim).any():
+        raise InvalidArgument(f"a grid of {tuple(out)} of one of {tuple(dim)}")
+    return tuple(int(n) for n in out)
+
+
+def downsample_to(frame: Frame, factor=None, spacing=None, outdim=None) -> Frame:
+    """The frame on a coarser grid with the same field of view: means of blocks where all sides are whole multiples, else
+    linear between the voxels, first on first and last on last (``downsample`` leaves incomplete blocks out instead).
+
+    One of ``factor``, ``spacing`` and ``outdim``, see ``downsampled_dim``. Of a series, each time. What a sparse frame lacks is zero.
+    """
+    src = frame.space
+    dim = downsampled_dim(src, factor, spacing, outdim)
+    ratio = np.array(src.dim[:3]) / np.array(dim)
+    matrix = rescale_affine(src.matrix, src.dim[:3], voxel_sizes(src.matrix) * ratio, dim)
+    space = src.spatial.with_trans(matrix, dim)
+    if np.allclose(ratio, np.rint(ratio)):
+        sides = [int(round(x)) for x in ratio]
+        to = space.index(*(F.floor(c / s).cast("long") for c, s in zip(src.ijk(), sides)))
+        df = frame.df.withColumn("v", to).groupBy(*frame.keys).agg((F.sum(frame.value) / int(np.prod(sides))).alias(frame.value))
+        return frame.like(df, space=space if frame.kind != "series" else space.add_dim(src.dim[3], src.spacing[3]))
+    step = [(n - 1) / (m - 1) if m > 1 else 0.0 for n, m in zip(src.dim[:3], dim)]
+    at = grid(frame.df.sparkSession, space).select("v", *(F.round(c * s, 9).alias(f"s{n}") for n, (c, s) in enumerate(zip(space.ijk(), step))))
+    return _interpolated(frame, at, space, 1)
+
+
 def deoblique(frame: Frame) -> Frame:
     return resample(frame, output_aligned_space(frame.space), 1)

@@ -742,6 +742,12 @@ def downsample(spark, sf_dir):
     return r6(resample.downsample(densified(fx.volume(spark, sf_dir)), 2).df, "value")
 
 
+@query(w(VOL, VDIM, DENSE) + f", g AS (SELECT unnest(range(0, 35)) AS v), s AS (SELECT v, 2.25 * (v % 5) AS s0, 1.5 * (v // 5) AS s1 FROM g), q AS (SELECT v, floor(s0) + di AS i, floor(s1) + dj AS j, (1 - abs(s0 - floor(s0) - di)) * (1 - abs(s1 - floor(s1) - dj)) AS w FROM s, (VALUES (0), (1)) a(di), (VALUES (0), (1)) b(dj)) SELECT q.v, {R('sum(w * value)', 'value')} FROM q JOIN dense d ON d.v = CAST(i AS BIGINT) + 10 * CAST(j AS BIGINT) AND i <= 9 AND j <= 9 GROUP BY q.v")
+def downsample_zoom(spark, sf_dir):
+    """To 5 x 7 x 1 voxels, which no blocks give: linear between the voxels."""
+    return r6(resample.downsample_to(fx.volume(spark, sf_dir), outdim=(5, 7, 1)).df, "value")
+
+
 #: Turned by 0.2 about z, the grid's axis-aligned box has 12 x 12 columns and begins at x = -18 sin 0.2.
 BOX = "g AS (SELECT unnest(range(0, 144 * nz)) AS v FROM vdim), s AS (SELECT v, v // 144 AS k, round(((2 * (v % 12) - 18 * sin(0.2)) * cos(0.2) + 2 * ((v // 12) % 12) * sin(0.2)) / 2, 9) AS s0, round((2 * ((v // 12) % 12) * cos(0.2) - (2 * (v % 12) - 18 * sin(0.2)) * sin(0.2)) / 2, 9) AS s1 FROM g), q AS (SELECT v, k, floor(s0) + di AS i, floor(s1) + dj AS j, (1 - abs(s0 - floor(s0) - di)) * (1 - abs(s1 - floor(s1) - dj)) AS w FROM s, (VALUES (0), (1)) a(di), (VALUES (0), (1)) b(dj) WHERE s0 BETWEEN 0 AND 9 AND s1 BETWEEN 0 AND 9), m AS (SELECT q.v, sum(w * value) AS value FROM q JOIN dense d ON d.v = CAST(i AS BIGINT) + 10 * (CAST(j AS BIGINT) + 10 * k) AND i <= 9 AND j <= 9 GROUP BY 1)"
 
