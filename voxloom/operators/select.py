@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.contracts import InvalidArgument, OpParams, OutOfBounds, WorldOutOfBounds, assert_same_space, receipt_for
 from ..plans.digests import mask_hash_of
 from ..plans.frame import Frame
+from ..plans.space import Space
 
 
 def _requests(frame: Frame, voxels, out_of_bounds: str = "raise") -> DataFrame:
@@ -166,6 +167,14 @@ def plane(frame: Frame, level: int, axis: int) -> DataFrame:
     return frame.df.where(ijk[axis] == level).select(a.cast("int").alias("a"), b.cast("int").alias("b"), frame.value)
 
 
+def slice_frame(frame: Frame, level: int, axis: int) -> Frame:
+    """A plane of a volume as a frame of its own, on the grid of the two other axes: arithmetic and the like take it as any."""
+    found, keep = plane(frame, level, axis), [x for x in range(3) if x != axis]
+    space = Space(*(tuple(values[x] for x in keep) for values in (frame.space.dim, frame.space.spacing, frame.space.origin)), axes=tuple(frame.space.axes[x] for x in keep))
+    place = F.col("a").cast("long") + space.dim[0] * F.col("b").cast("long")
+    return frame.like(found.select(place.alias("v"), F.col(frame.value)), space=space)
+
+
 def coordinates(frame: Frame, real: bool = False) -> DataFrame:
     """(v, i, j, k), or world coordinates (v, x, y, z)."""
     ijk = frame.space.ijk()

@@ -748,6 +748,23 @@ def downsample_zoom(spark, sf_dir):
     return r6(resample.downsample_to(fx.volume(spark, sf_dir), outdim=(5, 7, 1)).df, "value")
 
 
+@query(w(VOL) + f", a AS (SELECT v, value FROM vol WHERE v < 100), b AS (SELECT v - 100 AS v, value FROM vol WHERE v BETWEEN 100 AND 199) SELECT v, {R('coalesce(b.value, 0) - coalesce(a.value, 0)', 'value')} FROM a FULL JOIN b USING (v)")
+def slice_difference(spark, sf_dir):
+    """One plane of a volume less the one below it."""
+    vol = fx.volume(spark, sf_dir)
+    above, below = (select.slice_frame(vol.like(vol.df, sparse=True), k, 2) for k in (1, 0))
+    return r6(elementwise.arithmetic(above, below, "-").df, "value")
+
+
+@query(w(VOL, SIZES.replace("vol AS", "sizes AS")) + "SELECT 'price' AS name, v, value FROM vol UNION ALL SELECT 'size', v, value FROM sizes")
+def named_volumes(spark, sf_dir):
+    """Volumes of one grid under names: two of three, in another order."""
+    from .plans.bucket import bucket
+
+    price, size = (fx.volume(spark, sf_dir, c) for c in ("p_retailprice", "p_size"))
+    return bucket(("none", "size", "price"), elementwise.arithmetic(size, 0.0, "*"), size, price).part(["price", "size"]).rows()
+
+
 #: Turned by 0.2 about z, the grid's axis-aligned box has 12 x 12 columns and begins at x = -18 sin 0.2.
 BOX = "g AS (SELECT unnest(range(0, 144 * nz)) AS v FROM vdim), s AS (SELECT v, v // 144 AS k, round(((2 * (v % 12) - 18 * sin(0.2)) * cos(0.2) + 2 * ((v // 12) % 12) * sin(0.2)) / 2, 9) AS s0, round((2 * ((v // 12) % 12) * cos(0.2) - (2 * (v % 12) - 18 * sin(0.2)) * sin(0.2)) / 2, 9) AS s1 FROM g), q AS (SELECT v, k, floor(s0) + di AS i, floor(s1) + dj AS j, (1 - abs(s0 - floor(s0) - di)) * (1 - abs(s1 - floor(s1) - dj)) AS w FROM s, (VALUES (0), (1)) a(di), (VALUES (0), (1)) b(dj) WHERE s0 BETWEEN 0 AND 9 AND s1 BETWEEN 0 AND 9), m AS (SELECT q.v, sum(w * value) AS value FROM q JOIN dense d ON d.v = CAST(i AS BIGINT) + 10 * (CAST(j AS BIGINT) + 10 * k) AND i <= 9 AND j <= 9 GROUP BY 1)"
 
