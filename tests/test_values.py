@@ -116,6 +116,24 @@ def test_components_settled_together_and_in_rounds(spark, monkeypatch):
     assert together == {tuple(r) for r in cluster.components(on, Space((70, 70, 3)), "6-connect").collect()}
 
 
+@pytest.mark.parametrize("radius", [1, 2, 4])
+def test_boxes_pass_by_pass(spark, radius):
+    dim = (7, 5, 2)
+    data = np.random.default_rng(radius).random(dim).round(2) * (np.random.default_rng(1).random(dim) < 0.6)
+
+    def mean(a):
+        wide = np.pad(a, radius)
+        return np.array([[[wide[i : i + 2 * radius + 1, j : j + 2 * radius + 1, k : k + 2 * radius + 1].sum() for k in range(dim[2])] for j in range(dim[1])] for i in range(dim[0])]) / (2 * radius + 1) ** 3
+
+    for sparse in (False, True):
+        v = arrays.from_array(spark, data, sparse=sparse)
+        assert arrays.to_array(neighbor.box_mean(v, radius)) == pytest.approx(mean(data))
+        m, q = mean(data), mean(data * data)
+        a = (q - m * m) / (q - m * m + 0.1)
+        want = np.where(data != 0, mean(a) * data + mean((1 - a) * m), data)
+        assert arrays.to_array(neighbor.guided_filter(v, radius, 0.1)) == pytest.approx(want)
+
+
 def zoomed(data, shape):
     """Linear interpolation axis by axis, ends on ends."""
     for axis, m in enumerate(shape):

@@ -377,22 +377,37 @@ def gaussian_blur(frame: Frame, sigma: float | None = 2.0, window: float = 1.0,
     return out
 
 
+def _box_sums(df: DataFrame, space: Space, names: list[str], radius: int) -> DataFrame:
+    """(v, names): sums over the cube of (2 r + 1) ** 3 cells about each cell, those outside the grid as zeros.
+
+    Radius 1 is one pass of 27 rows a cell; larger cubes are three passes along the axes, of 2 r + 1 rows each.
+    """
+    if radius < 2:
+        spread = scattered(df.select("v", *names), space, box_offsets(radius), space.ijk(), names)
+        return spread.groupBy("v").agg(*(F.sum(n).alias(n) for n in names))
+    stride = 1
+    for axis, n in enumerate(space.dim[:3]):
+        reach = min(radius, n - 1)
+        if reach:
+            place = space.ijk()[axis].cast("int")
+            rows = df.select("v", *names, place.alias("_p"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_d")).where((F.col("_p") + F.col("_d")).between(0, n - 1))
+            df = rows.select((F.col("v") + F.col("_d") * stride).alias("v"), *names).groupBy("v").agg(*(F.sum(c).alias(c) for c in names))
+        stride *= n
+    return df
+
+
 def box_mean(frame: Frame, radius: int) -> Frame:
     """Mean of the cube of (2 r + 1) ** 3 cells, cells outside the grid as zeros."""
-    cells = (2 * radius + 1) ** 3
-    spread = scattered(frame.df.select("v", F.col("value").alias("_x")), frame.space, box_offsets(radius), frame.space.ijk(), ["_x"])
-    df = spread.groupBy("v").agg((F.sum("_x") / cells).alias("value"))
-    return frame.like(df)
+    df = _box_sums(frame.df.select("v", F.col("value").alias("_x")), frame.space, ["_x"], radius)
+    return frame.like(df.select("v", (F.col("_x") / (2 * radius + 1) ** 3).alias("value")))
 
 
 def guided_filter(frame: Frame, radius: int = 4, epsilon: float = 0.49) -> Frame:
     """Self-guided edge-preserving filter; only non-zero voxels change."""
     cells = (2 * radius + 1) ** 3
-    offsets = box_offsets(radius)
 
     def means(df: DataFrame, names: list[str]) -> DataFrame:
-        spread = scattered(df.select("v", *names), frame.space, offsets, frame.space.ijk(), names)
-        return spread.groupBy("v").agg(*((F.sum(n) / cells).alias(n) for n in names))
+        return _box_sums(df, frame.space, names, radius).select("v", *((F.col(n) / cells).alias(n) for n in names))
 
     x = densified(frame).df
     local = means(x.select("v", F.col("value").alias("m"), (F.col("value") * F.col("value")).alias("q")), ["m", "q"])
