@@ -980,6 +980,29 @@ def contour_points(spark, sf_dir):
     return lattice(r6(lines.groupBy("plane", "line", "x", "y").agg(F.min("ord").alias("ord")).select("plane", "x", "y"), "x", "y"), "plane")
 
 
+@query(w(BOLD, near(4, "4 * (dx * dx + dy * dy) + 9 * dz * dz <= 64")) + f", r AS (SELECT 4 + dx AS i, 4 + dy AS j, 3 + dz AS k FROM o), g AS (SELECT i + 8 * (j + 8 * k) AS v FROM r, (SELECT ceil((max(vec_id) + 1) / 64.0) AS nz FROM embeddings) WHERE i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7 AND k BETWEEN 0 AND nz - 1), s AS (SELECT t.t AS t, avg(coalesce(x, 0.0)) AS s FROM g CROSS JOIN (SELECT unnest(range(0, 64)) AS t) t LEFT JOIN bold ON bold.v = g.v AND bold.t = t.t GROUP BY t.t) SELECT v, {R('coalesce(covar_pop(x, s) / nullif(stddev_pop(x) * stddev_pop(s), 0), CAST(' + chr(39) + 'nan' + chr(39) + ' AS DOUBLE))', 'value')} FROM bold JOIN s USING (t) GROUP BY v")
+def seed_ball_correlation(spark, sf_dir):
+    """The mean series of an 8 mm ball, correlated with every voxel's."""
+    bold = fx.bold(spark, sf_dir)
+    ball = neighbor.spherical_roi(spark, bold.space, (4, 4, 3), 8.0)
+    seed = select.series_roi(bold, ball).groupBy("t").agg(F.avg("x").alias("s"))
+    return r6(reduce.seed_correlation(bold, seed).df, "value")
+
+
+@query(w(BOLD, BDIM, ATLAS) + f", s AS (SELECT b.v, CASE WHEN any_value(a.label) % 2 = 1 AND stddev_pop(x) > 0 THEN avg(x) / stddev_pop(x) ELSE 0 END AS value FROM bold b JOIN atlas a USING (v) GROUP BY b.v) SELECT g.v, {R('coalesce(value, 0)', 'value')}, 'temporal_snr' AS method, true AS same_mask FROM (SELECT unnest(range(0, nz * 64)) AS v FROM bdim) g LEFT JOIN s USING (v)")
+def receipt_across_files(spark, sf_dir):
+    """A masked map written to a file and read again, with what its receipt says: the method, and that the mask is the one at hand."""
+    from .plans import digests
+    from .sources import images, nifti
+
+    labels, path = fx.atlas(spark, sf_dir), fresh(spark, "map.nii")
+    mask = digests.sealed(Frame(labels.df.where("label % 2 = 1").select("v", F.lit(True).alias("value")), labels.space, "volume", True))
+    nifti.write(reduce.temporal_snr(fx.bold(spark, sf_dir), mask), path, "f8")
+    back = images.read_image(spark, path)
+    again = digests.frame_digest(mask.like(mask.df.repartition(3)))
+    return r6(back.df.select("v", "value", F.lit(back.receipt.method_name).alias("method"), F.lit(back.receipt.mask_hash == again).alias("same_mask")), "value")
+
+
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY 1, 2")
 def daily_windows(spark, sf_dir):
     from .streaming.windows import tumbling
