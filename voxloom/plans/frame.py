@@ -67,6 +67,12 @@ def grid(spark: SparkSession, space: Space) -> DataFrame:
     return spark.range(space.nvox).select(F.col("id").alias("v"))
 
 
+def met(df: DataFrame) -> DataFrame:
+    """``df`` for a join that is to shuffle both sides: Spark's sizes know neither what Parquet packed nor what an explode
+    adds, and a side that is as large as the grid would be broadcast, whole, through the driver."""
+    return df.hint("merge")
+
+
 def densified(frame: Frame, fill: float = 0.0) -> Frame:
     """A volume with a row for every voxel; a series with one for every voxel and time that occurs."""
     if not frame.sparse:
