@@ -69,3 +69,24 @@ def test_bilateral_meets_its_neighbours_in_blocks(spark, small_blocks):
     assert told[50, 0] is None and sum(x is None for x in told.values()) == 3
     masked = {(r.v, r.t): r.x for r in neighbor.bilateral_filter(gap, 1.5, 2.0, 1, on).df.collect()}
     assert masked[65, 1] == told[65, 1] and masked[10, 2] == data[10, 2]
+
+
+def test_a_spline_of_a_long_line_needs_no_matrix(spark):
+    n = 150_000  # a matrix of n * n doubles has 180 GB
+    line = Frame(spark.range(n).select(F.col("id").alias("v"), F.sin("id").alias("value")), Space((1, 1, n)), "volume")
+    got = resample._spline(line).orderBy("v").toPandas()["value"].to_numpy()
+    c = np.concatenate([[got[1]], got, [got[-2]]])
+    assert np.abs((c[:-2] + 4 * c[1:-1] + c[2:]) / 6 - np.sin(np.arange(n))).max() < 1e-12
+
+
+def test_a_spline_of_pieces_is_that_of_whole_lines(spark):
+    x = np.random.default_rng(3).normal(size=6 * 70 * 101)
+    vol = Frame(spark.createDataFrame(list(enumerate(x.tolist())), "v long, value double"), Space((6, 70, 101)), "volume")
+    whole, pieces = ({r.v: r.value for r in resample._spline(vol, p).collect()} for p in (1 << 15, 1))
+    assert len(pieces) == len(whole) == len(x) and max(abs(whole[v] - pieces[v]) for v in whole) < 1e-12
+    c = np.array([whole[v] for v in range(len(x))]).reshape(101, 70, 6)
+    for axis in range(3):
+        c = np.pad(c, [(1, 1) if a == axis else (0, 0) for a in range(3)], mode="reflect")
+        take = lambda lo: np.take(c, range(lo, lo + c.shape[axis] - 2), axis)  # noqa: B023, E731
+        c = (take(0) + 4 * take(1) + take(2)) / 6
+    assert np.abs(c.ravel() - x).max() < 1e-12

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..plans.contracts import InvalidArgument
-from ..plans.frame import Frame, densified, grid
+from ..plans.frame import Frame, densified, grid, met
 from ..plans.space import Space, axis_codes, codes_to_orientation, orientation, orientation_transform, output_aligned_space, rescale_affine, voxel_sizes
 
 
@@ -43,56 +43,80 @@ def _interpolated(frame: Frame, at, target: Space, order: int) -> Frame:
         for n in range(3):
             inside = inside & (F.col(f"s{n}") >= 0) & (F.col(f"s{n}") <= src.dim[n] - 1)
         at = at.where(inside).select("v", *(F.floor(f"s{n}").cast("long").alias(f"g{n}") for n in range(3)), *((F.col(f"s{n}") - F.floor(f"s{n}")).alias(f"f{n}") for n in range(3)))
-        table = F.array(*(F.struct(*(F.lit(d).alias(f"d{n}") for n, d in enumerate(o))) for o in product(reach, repeat=3)))
-        at = at.withColumn("o", F.explode(table))
-        w, g = F.lit(1.0), []
-        for n in range(3):
-            d = F.abs(F.col(f"f{n}") - F.col(f"o.d{n}"))
-            w = w * ((1 - d) if order == 1 else F.when(d < 1, 2 / 3 - d * d + d * d * d / 2).when(d < 2, F.pow(2 - d, 3) / 6).otherwise(0.0))
-            p = F.col(f"g{n}") + F.col(f"o.d{n}")
+        taps = at.select("*", F.lit(1.0).alias("w"), F.lit(0).cast("long").alias("sv"))
+        stride = 1
+        for n in range(3):  # axis by axis, so that taps of no weight are gone before the next one multiplies them
+            taps = taps.select("*", F.explode(F.sequence(F.lit(reach[0]), F.lit(reach[-1]))).alias("o"))
+            d = F.abs(F.col(f"f{n}") - F.col("o"))
+            w = (1 - d) if order == 1 else F.when(d < 1, 2 / 3 - d * d + d * d * d / 2).when(d < 2, (2 - d) * (2 - d) * (2 - d) / 6).otherwise(0.0)
+            p = F.col(f"g{n}") + F.col("o")
             if order == 3:  # mirror about the outer cells' centres, as the coefficients do
                 last = max(1, src.dim[n] - 1)
                 m = F.pmod(p, F.lit(2 * last))
                 p = F.when(m <= last, m).otherwise(2 * last - m) if src.dim[n] > 1 else F.lit(0)
-            g.append(p.cast("long"))
-        taps = at.withColumn("w", w).where("w <> 0").where(src.inside(*g)).select("v", src.index(*g).alias("sv"), "w")
+            kept = [c for c in taps.columns if c not in (f"g{n}", f"f{n}", "w", "sv", "o")]
+            taps = taps.select(*kept, "sv", "w", w.alias("_w"), p.cast("long").alias("_p")).where(f"_w <> 0 and _p between 0 and {src.dim[n] - 1}")
+            taps = taps.select(*kept, (F.col("w") * F.col("_w")).alias("w"), (F.col("sv") + F.col("_p") * F.lit(stride)).alias("sv"))
+            stride *= src.dim[n]
         data = frame.df if order == 1 else _spline(frame)
     else:
         raise InvalidArgument("order must be 0, 1 or 3")
-    got = taps.join(data.withColumnRenamed("v", "sv"), "sv").groupBy("v", *keys).agg(F.sum(F.col("w") * F.col(value)).alias(value))
+    got = taps.join(met(data.withColumnRenamed("v", "sv")), "sv").groupBy("v", *keys).agg(F.sum(F.col("w") * F.col(value)).alias(value))
     space = target if frame.kind != "series" else target.add_dim(src.dim[3], src.spacing[3])
     out = Frame(got.select(*frame.keys, value), space, frame.kind, True, None)
     return densified(out) if frame.kind == "volume" and not frame.sparse else out
 
 
-def _spline(frame: Frame):
-    """Coefficients of the interpolating cubic B-spline, mirrored at the ends: one linear system per line and axis."""
-    import pandas as pd
+#: The spline's coefficients are sums over so many cells on either side, the rest is below the precision of doubles: POLE ** REACH is 5e-19.
+POLE, REACH = 3**0.5 - 2, 32
+#: A task solves pieces of about so many cells together, of as many lines as there are in them or of a part of a line.
+PIECE = 1 << 15
+
+
+def _spline(frame: Frame, piece: int = PIECE):
+    """Coefficients of the interpolating cubic B-spline, mirrored at the ends, along each axis.
+
+    The inverse of the filter (1/6, 4/6, 1/6) is sqrt(3) * POLE ** |d|. Lines come in pieces; those of a long line hold the
+    REACH cells beyond both ends too, so that a piece's size does not depend on the line's.
+    """
+    import pyarrow as pa
 
     frame = densified(frame)
     value, keys = frame.value, list(frame.keys)
-    df = frame.df
+    piece = max(piece, REACH)
+    weights = [3**0.5 * POLE ** abs(d) for d in range(-REACH, REACH + 1)]
+    df = frame.df.select(*keys, F.col(value).cast("double").alias(value))
+    kind = ", ".join(f"{c} {t}" for c, t in df.dtypes)
     for axis in range(3):
         n = frame.space.dim[axis]
         if n == 1:
             continue
-        a = np.zeros((n, n))
-        for p in range(n):
-            for d, w in ((-1, 1 / 6), (0, 4 / 6), (1, 1 / 6)):
-                q = abs(p + d)
-                a[p, q if q < n else 2 * (n - 1) - q] += w
-        inverse = np.linalg.inv(a)
         stride = int(np.prod(frame.space.dim[:axis], dtype=np.int64))
-        place = frame.space.ijk()[axis].cast("int")
-
-        def run(g: pd.DataFrame) -> pd.DataFrame:
-            line = np.zeros(n)
-            line[g["p"].to_numpy()] = g[value].to_numpy()
-            g[value] = (inverse @ line)[g["p"].to_numpy()]
-            return g[[*keys, value]]
-
-        kind = ", ".join(f"{c} {t}" for c, t in df.select(*keys, value).dtypes)
-        df = df.withColumn("p", place).withColumn("line", F.col("v") - F.col("p") * stride).groupBy("line", *[k for k in keys if k != "v"]).applyInPandas(run, kind)
+        lines = max(1, piece // n)
+
+        def run(t):
+            line, p, x = (t.column(c).to_numpy() for c in ("_line", "_p", "_x"))
+            first = int(p.min())
+            held = np.zeros((lines, int(p.max()) - first + 1))
+            held[line, p - first] = x
+            at = np.abs(np.arange(-REACH, held.shape[1] + REACH) + first) % (2 * (n - 1))
+            at = np.clip(np.where(at < n, at, 2 * (n - 1) - at) - first, 0, held.shape[1] - 1)  # clipped: only for cells of other pieces
+            wide = held[:, at]
+            out = sum(w * wide[:, d : d + held.shape[1]] for d, w in enumerate(weights))
+            own = t.column("_own").to_numpy()
+            kept = t.filter(pa.array(own))
+            return pa.table([*(kept.column(k) for k in keys), pa.array(out[line, p - first][own])], names=[*keys, value])
+
+        place = frame.space.ijk()[axis].cast("long")
+        line = F.floor(F.col("v") / (stride * n)) * stride + F.col("v") % stride
+        rows = df.select(*keys, F.col(value).alias("_x"), place.alias("_p"), (line % lines).alias("_line"), F.floor(line / lines).alias("_lines"))
+        if n > piece:
+            last = (n - 1) // piece
+            pieces = F.sequence(F.greatest(F.floor((F.col("_p") - REACH) / piece), F.lit(0)), F.least(F.floor((F.col("_p") + REACH) / piece), F.lit(last)))
+            rows = rows.withColumn("_piece", F.explode(pieces)).withColumn("_own", F.floor(F.col("_p") / piece) == F.col("_piece"))
+        else:
+            rows = rows.withColumns({"_piece": F.lit(0), "_own": F.lit(True)})
+        df = rows.groupBy("_lines", "_piece", *[k for k in keys if k != "v"]).applyInArrow(run, kind)
     return df
 
 
