@@ -90,3 +90,10 @@ def test_a_spline_of_pieces_is_that_of_whole_lines(spark):
         take = lambda lo: np.take(c, range(lo, lo + c.shape[axis] - 2), axis)  # noqa: B023, E731
         c = (take(0) + 4 * take(1) + take(2)) / 6
     assert np.abs(c.ravel() - x).max() < 1e-12
+
+
+def test_a_grid_is_filled_by_a_join_that_shuffles(spark):
+    counts = Frame(spark.range(40).select(F.col("id").alias("v"), F.lit(1).alias("t"), F.lit(2.0).alias("x")), Space((5, 5, 4, 3)), "series", sparse=True)
+    full = densified(counts).df
+    assert "SortMergeJoin" in plan(full) and "BroadcastHashJoin" not in plan(full)
+    assert full.count() == 300 and full.where("x = 2").count() == 40

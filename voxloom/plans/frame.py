@@ -82,7 +82,7 @@ def densified(frame: Frame, fill: float = 0.0) -> Frame:
     if frame.kind == "series":
         # times are few and known from the space, so that this multiplies rows by a constant
         every = every.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(frame.space.dim[3] - 1))))
-    df = every.join(frame.df, list(frame.keys), "left")
+    df = every.join(met(frame.df), list(frame.keys), "left")
     return frame.like(df.select(*frame.keys, F.coalesce(F.col(frame.value), F.lit(fill)).alias(frame.value)), sparse=False)
 
 
