@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _U, mix, shared_dir, word_hashes, written
+from .common import _U, distinct, mix, shared_dir, word_hashes, written
 from .toxicity import batches_of, label_model
 
 SAMPLE_ROWS = 8000
@@ -27,40 +27,43 @@ _SHAPE[65:91] = 65
 _SHAPE[48:58] = 48
 
 
-def measures(data: np.ndarray, bounds: np.ndarray):
-    """(per-text measures, shape slots of words, their texts)."""
+_LETTER, _SYMBOL, _STOP = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (bytes([*range(65, 91), *range(97, 123), *range(128, 256)]), b"#$%&*@^~<>=_+{}[]\\", b".!?"))
+
+
+def measures(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of figures of all texts for each measure."""
     texts = len(bounds) - 1
     words, first = word_hashes(data, bounds)
     n_words = np.diff(first)
-    owner = np.repeat(np.arange(texts), n_words)
 
     def count(mask: np.ndarray) -> np.ndarray:
-        total = np.cumsum(np.append(0, mask))
-        return (total[bounds[1:]] - total[bounds[:-1]]).astype(float)
+        return np.diff(np.searchsorted(np.flatnonzero(mask), bounds)).astype(float)
 
     size = np.maximum(1, np.diff(bounds)).astype(float)
-    letters = count(((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 128))
-    symbols = count(np.isin(data, np.frombuffer(b"#$%&*@^~<>=_+{}[]\\", np.uint8)))
+    letters = count(_LETTER[data])
+    symbols = count(_SYMBOL[data])
     capitals = count((data >= 65) & (data <= 90))
     bars = count(data == 124)
     same = np.zeros(len(words), bool)
-    same[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
-    pairs = np.unique(np.stack([owner.astype(_U), words]), axis=1)[0] if len(words) else np.empty(0, _U)
-    kinds = np.bincount(pairs.astype(np.int64), minlength=texts)
-    stops = count(np.isin(data, np.frombuffer(b".!?", np.uint8)))
+    same[1:] = words[1:] == words[:-1]
+    same[first[:-1][n_words > 0]] = False
+    kinds = np.array([len(distinct(words[u:v])) if v > u else 0 for u, v in zip(first[:-1].tolist(), first[1:].tolist())], float)
+    stops = count(_STOP[data])
     per = np.maximum(1, n_words).astype(float)
-    m = np.stack([symbols / size, capitals / np.maximum(1, letters), bars / per, kinds / per, np.bincount(owner, same, minlength=texts) / per, stops / per, n_words.astype(float)])
-    # shapes: equal classes in a row once
+    return np.stack([symbols / size, capitals / np.maximum(1, letters), bars / per, kinds / per, np.diff(np.searchsorted(np.flatnonzero(same), first)) / per, stops / per, n_words.astype(float)]).reshape(7, texts)
+
+
+def shapes(data: np.ndarray, bounds: np.ndarray):
+    """(shape slots of words, their texts): equal classes in a row count once."""
     shape = _SHAPE[data]
     keep = np.ones(len(shape), bool)
     keep[1:] = shape[1:] != shape[:-1]
-    inner = np.zeros(len(shape), bool)
-    inner[bounds[(bounds > 0) & (bounds < len(shape))]] = True
-    keep |= inner
-    at = np.cumsum(np.append(0, keep))
-    shapes, start = word_hashes(np.where(shape == 65, 1, shape)[keep].astype(np.uint8), at[bounds])
-    shape_owner = np.repeat(np.arange(texts), np.diff(start))
-    return m, (mix(shapes) & _U(SLOTS - 1)).astype(np.int64), shape_owner
+    keep[bounds[(bounds > 0) & (bounds < len(shape))]] = True
+    at = np.searchsorted(np.flatnonzero(keep), bounds)
+    shape = shape[keep]
+    shape[shape == 65] = 1
+    hashes, start = word_hashes(shape, at)
+    return (mix(hashes) & _U(SLOTS - 1)).astype(np.int64), np.repeat(np.arange(len(bounds) - 1), np.diff(start))
 
 
 def votes(m: np.ndarray) -> np.ndarray:
@@ -103,16 +106,17 @@ def fit(rows, cols, vals, target, rounds: int = 300, l2: float = 1e-4) -> np.nda
 
 
 def score(data: np.ndarray, bounds: np.ndarray, w: np.ndarray) -> np.ndarray:
-    m, slots, owner = measures(data, bounds)
-    rows, cols, vals = _features(m, slots, owner)
-    return 1 / (1 + np.exp(-np.clip(np.bincount(rows, vals * w[cols], minlength=m.shape[1]) + w[-1], -30, 30)))
+    """0 to 1; 0 of texts without words."""
+    m = measures(data, bounds)
+    rows, cols, vals = _features(m, *shapes(data, bounds))
+    return (m[6] > 0) / (1 + np.exp(-np.clip(np.bincount(rows, vals * w[cols], minlength=m.shape[1]) + w[-1], -30, 30)))
 
 
 def _count(batches):
     seen: dict[bytes, int] = {}
     for batch in batches:
         for data, bounds in batches_of(batch.column(0)):
-            rows, times = np.unique(votes(measures(data, bounds)[0]), axis=0, return_counts=True)
+            rows, times = np.unique(votes(measures(data, bounds)), axis=0, return_counts=True)
             for r, t in zip(rows, times):
                 seen[r.tobytes()] = seen.get(r.tobytes(), 0) + int(t)
     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "times"])
@@ -135,8 +139,8 @@ def quality_model(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPL
         rows, cols, vals, target, at = [], [], [], [], 0
         for batch in batches:
             for data, bounds in batches_of(batch.column(0)):
-                m, slots, owner = measures(data, bounds)
-                r, c, v = _features(m, slots, owner)
+                m = measures(data, bounds)
+                r, c, v = _features(m, *shapes(data, bounds))
                 rows.append(r + at)
                 cols.append(c)
                 vals.append(v)
@@ -162,11 +166,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, threshold: float = 0.5)
 
     def run(batches):
         for batch in batches:
-            out = []
-            for data, bounds in batches_of(batch.column(1)):
-                s = score(data, bounds, shared.value)
-                words = np.diff(word_hashes(data, bounds)[1])
-                out.append(np.where(words > 0, s, 0.0))
+            out = [score(data, bounds, shared.value) for data, bounds in batches_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.empty(0))], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
