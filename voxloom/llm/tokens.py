@@ -155,42 +155,61 @@ def _tokenize(shared, end_id: int | None):
     return run
 
 
-def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit ranks."""
+def pack_documents(ranks: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+    """(control bytes, data bytes, ends of each document's control bytes, of its data bytes) of the unsigned 32-bit ranks
+    of consecutive documents of so many ranks each."""
     ranks = ranks.astype(np.uint32)
     code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(code) // 4) * 4, np.uint8)
-    padded[: len(code)] = code
-    quads = padded.reshape(-1, 4)
-    control = quads[:, 0] | (quads[:, 1] << 2) | (quads[:, 2] << 4) | (quads[:, 3] << 6)
-    end = np.cumsum(code.astype(np.int64) + 1)
-    start = end - code - 1
-    data = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+    quads = -(-sizes // 4)
+    control_ends = np.cumsum(quads)
+    first = np.cumsum(sizes) - sizes
+    padded = np.zeros(4 * int(quads.sum()), np.uint8)
+    padded[np.arange(len(code)) + np.repeat(4 * (control_ends - quads) - first, sizes)] = code
+    padded = padded.reshape(-1, 4)
+    control = padded[:, 0] | (padded[:, 1] << 2) | (padded[:, 2] << 4) | (padded[:, 3] << 6)
+    ends = np.append(0, np.cumsum(code.astype(np.int64) + 1))
+    start = ends[:-1]
+    data = np.empty(int(ends[-1]), np.uint8)
     data[start] = ranks & 0xFF
     for k in (1, 2, 3):
-        more = code >= k
-        if not more.any():
+        more = np.flatnonzero(code >= k)
+        if not len(more):
             break
         data[start[more] + k] = (ranks[more] >> (8 * k)) & 0xFF
-    return control.tobytes(), data.tobytes()
+    return control.tobytes(), data.tobytes(), control_ends, ends[first + sizes]
+
+
+def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """(control bytes, data bytes) of unsigned 32-bit ranks."""
+    return pack_documents(ranks, np.array([len(ranks)]))[:2]
 
 
 _SIZES = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
 
-def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    size = _SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    start = np.cumsum(size) - size
-    raw = np.frombuffer(data, np.uint8)
+def unpack_documents(raw: bytes, sizes: np.ndarray, data_sizes: np.ndarray) -> np.ndarray:
+    """The ranks of consecutive documents, each its control bytes and then its data bytes, of so many ranks and data bytes."""
+    raw = np.frombuffer(raw, np.uint8)
+    quads = -(-sizes // 4)
+    begins = np.cumsum(quads + data_sizes) - quads - data_sizes
+    before = np.cumsum(quads) - quads
+    codes = _SIZES[raw[np.arange(int(quads.sum())) + np.repeat(begins - before, quads)]].reshape(-1)
+    first = np.cumsum(sizes) - sizes
+    size = codes[np.arange(int(sizes.sum())) + np.repeat(4 * before - first, sizes)]
+    start = np.cumsum(size) - size + np.repeat(begins + quads - (np.cumsum(data_sizes) - data_sizes), sizes)
     out = raw[start].astype(np.uint32)
     for k in (1, 2, 3):
-        more = size > k
-        if not more.any():
+        more = np.flatnonzero(size > k)
+        if not len(more):
             break
         out[more] |= raw[start[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
+    return unpack_documents(control + data, np.array([n]), np.array([len(data)]))
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -205,21 +224,25 @@ def _write_shards(root: str, shared):
         rank_of, kind = shared.value
         out, name, index, tokens, at = None, f"{uuid.uuid4().hex}.vxt", [], 0, len(MAGIC)
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if out is None:
-                    filesystem.create_dir(base, recursive=True)
-                    out = filesystem.open_output_stream(f"{base}/{name}")
-                    out.write(MAGIC)
-                ranks = rank_of[np.frombuffer(ids.as_buffer(), kind)]
-                control, data = pack_ranks(ranks)
-                out.write(control)
-                out.write(data)
-                index.append((doc_id or 0, doc_id is None, len(ranks), len(data)))
-                at += len(control) + len(data)
-                tokens += len(ranks)
+            if not batch.num_rows:
+                continue
+            if out is None:
+                filesystem.create_dir(base, recursive=True)
+                out = filesystem.open_output_stream(f"{base}/{name}")
+                out.write(MAGIC)
+            ids = batch.column(1).to_pylist()
+            sizes = np.array([len(x) for x in ids], np.int64) // kind.itemsize
+            control, data, c, d = pack_documents(rank_of[np.frombuffer(b"".join(ids), kind)], sizes)
+            c, d = np.append(0, c), np.append(0, d)
+            parts = zip(c.tolist(), c[1:].tolist(), d.tolist(), d[1:].tolist())
+            out.write(b"".join([x for a, b, u, v in parts for x in (control[a:b], data[u:v])]))
+            doc_ids = batch.column(0)
+            index.append(np.stack([doc_ids.fill_null(0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), sizes, np.diff(d)], axis=1))
+            at += len(control) + len(data)
+            tokens += int(sizes.sum())
         if out is None:
             return
-        rows = np.array(index, np.int64)
+        rows = np.concatenate(index)
         out.write(rows.tobytes())
         out.write(np.array([at, len(rows)], np.int64).tobytes() + MAGIC)
         out.close()
@@ -254,7 +277,7 @@ def encode_corpus(spark: SparkSession, docs: DataFrame, tokenizer_path: str, out
     drop(spark, both)
 
 
-def _read_shards(root: str, shared, digest: bool, at_once: int = 4 << 20):
+def _read_shards(root: str, shared, digest: bool, at_once: int = 1 << 20):
     def run(batches):
         filesystem, base = _filesystem(root)
         id_of = shared.value
@@ -274,12 +297,9 @@ def _read_shards(root: str, shared, digest: bool, at_once: int = 4 << 20):
                         first = len(MAGIC) if a == 0 else int(ends[a - 1])
                         b = max(a + 1, int(np.searchsorted(ends, first + at_once, side="right")))
                         raw = f.read_at(int(ends[b - 1]) - first, first)
-                        out, p = [], 0
-                        for i in range(a, b):
-                            c, d, n = int(control[i]), int(index[i, 3]), int(index[i, 2])
-                            ids = id_of[unpack_ranks(raw[p : p + c], raw[p + c : p + c + d], n)].astype("<u4")
-                            out.append(zlib.crc32(ids.tobytes()) if digest else ids)
-                            p += c + d
+                        ids = id_of[unpack_documents(raw, index[a:b, 2], index[a:b, 3])].astype("<u4")
+                        ends_of = np.append(0, np.cumsum(index[a:b, 2])).tolist()
+                        out = [zlib.crc32(ids[u:v]) if digest else ids[u:v] for u, v in zip(ends_of, ends_of[1:])]
                         last = pa.array(out, pa.int64()) if digest else pa.array(out, pa.list_(pa.int32()))
                         ids = pa.array(index[a:b, 0], mask=index[a:b, 1].astype(bool))
                         yield pa.RecordBatch.from_arrays([ids, pa.array(starts[a:b]), pa.array(index[a:b, 2]), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
