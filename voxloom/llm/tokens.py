@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +31,25 @@ from .common import drop, shared_dir, written
 MAGIC = b"VXTOKEN1"
 #: A Python worker keeps the ids of the latest words: of so many at least, and twice as many at most.
 CACHED = 800_000
+#: Texts of so many bytes are cut together.
+TEXTS_AT_ONCE = 4 << 20
 SHARD_TOKENS = 16_000_000
-_ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_SPACES = "\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD_SPACE = re.compile(f"[{_ODD_SPACES}]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of every range, one range behind the other."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 class Encoder:
     """Ids of whole texts, with what single spaces separate encoded once.
 
+    Arrow cuts many texts, numbers their distinct pieces, so that Python meets each of them once, and lays the pieces'
+    ids out. Texts with other spaces than single ones, special tokens or zeros are cut one by one.
+
     ``cut``: for byte-level vocabularies whose pre-tokenizer always breaks before a single space between two other
     characters, as byte_bpe_50k's does. Pieces not known yet are encoded as one text and told apart by their bytes.
     """
@@ -55,6 +67,8 @@ class Encoder:
             self.bytes[k] = len(token)
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.cut, self.known, self.before = cut, {}, {}
+        #: What a text has that Arrow does not cut, for RE2.
+        self.odd = "|".join([r"  | \n|\n |\A | \z", rf"[\x00{_ODD_SPACES}]", *map(re.escape, self.special)])
         self.marks = {c: x.tobytes() for c, x in zip(".,!?", self._encode(list(".,!?")))} if cut else {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -62,7 +76,7 @@ class Encoder:
 
     def _keys(self, text: str) -> list[str]:
         """Pieces without the space before them; a first one is marked by a zero, one behind a line end keeps that instead."""
-        if not self.cut or any(s in text for s in self.special):
+        if not self.cut or "\0" in text or any(s in text for s in self.special):
             return ["\0" + text]
         if "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
             first, *rest = _CUT.split(text)
@@ -94,25 +108,59 @@ class Encoder:
             at = [0, *(cuts * width).tolist()]
             self.known.update((k, raw[u:v]) for k, u, v in zip(joint[a : a + 8192], at, at[1:]))
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        cut = [self._keys(t) for t in texts]
+    def _ids(self, keys: list[str]) -> list[bytes]:
+        """The ids of each of some distinct pieces."""
         if len(self.known) > CACHED:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
-        new = list(dict.fromkeys(p for pieces in cut for p in pieces if p not in known))
+        found = list(map(known.get, keys))
+        new = [k for k, x in zip(keys, found) if x is None]
+        if not new:
+            return found
         if before:
-            known.update([(k, before[k]) for k in new if k in before])
-            new = [k for k in new if k not in known]
-        if new:
-            # a word before a mark of punctuation: both are pre-tokens of their own
-            ended = [k for k in new if k[-1] in ".,!?" and k[:-1].isalpha()] if self.cut else []
-            marked = set(ended)
-            stems = dict.fromkeys(k[:-1] for k in ended if k[:-1] not in known)
-            stems.update(dict.fromkeys(k for k in new if k not in marked))
-            if stems:
-                self._learn(list(stems))
-            known.update([(k, known[k[:-1]] + self.marks[k[-1]]) for k in ended])
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+            again = {k: x for k in new if (x := before.get(k)) is not None}
+            known.update(again)
+            new = [k for k in new if k not in again]
+        # a word before a mark of punctuation: both are pre-tokens of their own
+        ended = [k for k in new if k[-1] in ".,!?" and k[:-1].isalpha()] if self.cut else []
+        marked = set(ended)
+        stems = dict.fromkeys(k[:-1] for k in ended if k[:-1] not in known)
+        stems.update(dict.fromkeys(k for k in new if k not in marked))
+        if stems:
+            self._learn(list(stems))
+        known.update([(k, known[k[:-1]] + self.marks[k[-1]]) for k in ended])
+        return [known[k] if x is None else x for k, x in zip(keys, found)]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one text behind the other; where each text's ids end) of a string array (null: empty)."""
+        if not len(texts):
+            return np.empty(0, self.type), np.empty(0, np.int64)
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.cut else np.ones(len(texts), bool)
+        plain = texts.filter(pa.array(~odd))
+        plain = pc.if_else(pc.match_substring_regex(plain, r"\n\n|\A\n|\n\z"), plain, pc.replace_substring(plain, "\n", " \n"))  # as in _keys
+        cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0", plain.type), plain, pa.scalar("", plain.type)), " ")
+        coded = cut.flatten().dictionary_encode()
+        # to_pylist takes many times as long, and no piece of these has a space
+        keys = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", plain.type))[0].as_py().split(" ") if len(coded) else []
+        rest = [self._keys(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        own: dict[str, int] = {}
+        piece = np.append(coded.indices.to_numpy(), np.array([own.setdefault(k, len(keys) + len(own)) for pieces in rest for k in pieces], np.int32))
+        pieces, offsets = np.zeros(len(texts), np.int64), cut.offsets.to_numpy()
+        pieces[~odd] = np.diff(offsets)
+        pieces[odd] = [len(x) for x in rest]
+        if rest:
+            begins = np.zeros(len(texts), np.int64)
+            begins[~odd] = offsets[:-1]
+            begins[odd] = len(coded) + np.cumsum(pieces[odd]) - pieces[odd]
+            piece = piece[_ranges(begins, pieces)]
+        laid = pa.array(self._ids(keys + list(own)), pa.large_binary()).take(pa.array(piece))
+        ends = np.frombuffer(laid.buffers()[1], np.int64, len(piece) + 1)[np.cumsum(pieces)] // self.type.itemsize
+        return np.frombuffer(laid.buffers()[2] or b"", self.type, int(ends[-1])), ends
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        ids, ends = self.column(pa.array(texts, pa.large_string()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if len(texts) else []
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -134,20 +182,37 @@ def encoder_of(tokenizer_json: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def gathered(batches, most: int = TEXTS_AT_ONCE):
+    """The rows of consecutive batches together, until they reach ``most`` bytes: fewer texts repeat what others have learned."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(some)
+            some, size = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
+
 def _tokenize(shared, end_id: int | None):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("id", pa.int32()), ("times", pa.int64())])
 
     def run(batches):
         encoder = encoder_of(shared.value)
         counts = np.zeros(max(encoder.size, (end_id or 0) + 1), np.int64)
-        end = b"" if end_id is None else np.array([end_id], encoder.type).tobytes()
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                ids = [x + end for x in encoder.batch([t or "" for t in part.column(1).to_pylist()])]
-                counts += np.bincount(np.frombuffer(b"".join(ids), encoder.type), minlength=len(counts))
-                none = pa.nulls(len(ids), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), none.cast(pa.int32()), none], schema=schema)
+        for batch in gathered(batches):
+            n = batch.num_rows
+            ids, ends = encoder.column(batch.column(1))
+            if end_id is not None:
+                ids, ends = np.insert(ids, ends, np.array(end_id, encoder.type)), ends + np.arange(1, n + 1)
+            counts += np.bincount(ids, minlength=len(counts))
+            offsets = np.append(0, ends * encoder.type.itemsize)
+            ids = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            for a in range(0, n, 512):
+                some = ids[a : a + 512].cast(pa.binary())
+                none = pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + 512], some, none.cast(pa.int32()), none], schema=schema)
         used = np.flatnonzero(counts)
         none = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays([none, pa.nulls(len(used), pa.binary()), pa.array(used.astype(np.int32)), pa.array(counts[used])], schema=schema)
@@ -158,25 +223,30 @@ def _tokenize(shared, end_id: int | None):
 def pack_documents(ranks: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
     """(control bytes, data bytes, ends of each document's control bytes, of its data bytes) of the unsigned 32-bit ranks
     of consecutive documents of so many ranks each."""
-    ranks = ranks.astype(np.uint32)
-    code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    ranks = np.ascontiguousarray(ranks, "<u4")
+    most = int(ranks.max(initial=0))
+    code = (ranks > 0xFF).view(np.uint8)
+    for limit in (0xFFFF, 0xFFFFFF):
+        if most > limit:
+            code = code + (ranks > limit)
     quads = -(-sizes // 4)
-    control_ends = np.cumsum(quads)
-    first = np.cumsum(sizes) - sizes
-    padded = np.zeros(4 * int(quads.sum()), np.uint8)
-    padded[np.arange(len(code)) + np.repeat(4 * (control_ends - quads) - first, sizes)] = code
+    control_ends, last = np.cumsum(quads), np.cumsum(sizes)
+    # what fills a document's last control byte lies behind its codes
+    pads = 4 * quads - sizes
+    own = np.ones(4 * int(quads.sum()), bool)
+    own[_ranges(4 * control_ends - pads, pads)] = False
+    padded = np.zeros(len(own), np.uint8)
+    padded[own] = code
     padded = padded.reshape(-1, 4)
     control = padded[:, 0] | (padded[:, 1] << 2) | (padded[:, 2] << 4) | (padded[:, 3] << 6)
-    ends = np.append(0, np.cumsum(code.astype(np.int64) + 1))
-    start = ends[:-1]
-    data = np.empty(int(ends[-1]), np.uint8)
-    data[start] = ranks & 0xFF
-    for k in (1, 2, 3):
-        more = np.flatnonzero(code >= k)
-        if not len(more):
-            break
-        data[start[more] + k] = (ranks[more] >> (8 * k)) & 0xFF
-    return control.tobytes(), data.tobytes(), control_ends, ends[first + sizes]
+    width = 1 + (most > 0xFF) if most <= 0xFFFF else 4
+    data = ranks.astype("<u2").view(np.uint8) if width == 2 else ranks.astype(np.uint8) if width == 1 else ranks.view(np.uint8)
+    if width > 1:
+        kept = np.ones((len(ranks), width), bool)
+        for k in range(1, width):
+            np.greater_equal(code, k, out=kept[:, k])
+        data = data[kept.reshape(-1)]
+    return control.tobytes(), data.tobytes(), control_ends, last + np.append(0, np.cumsum(code, dtype=np.int64))[last]
 
 
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -184,26 +254,29 @@ def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     return pack_documents(ranks, np.array([len(ranks)]))[:2]
 
 
-_SIZES = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
+_CODES = np.array([[c >> (2 * k) & 3 for k in range(4)] for c in range(256)], np.uint8)
 
 
 def unpack_documents(raw: bytes, sizes: np.ndarray, data_sizes: np.ndarray) -> np.ndarray:
     """The ranks of consecutive documents, each its control bytes and then its data bytes, of so many ranks and data bytes."""
     raw = np.frombuffer(raw, np.uint8)
     quads = -(-sizes // 4)
-    begins = np.cumsum(quads + data_sizes) - quads - data_sizes
-    before = np.cumsum(quads) - quads
-    codes = _SIZES[raw[np.arange(int(quads.sum())) + np.repeat(begins - before, quads)]].reshape(-1)
-    first = np.cumsum(sizes) - sizes
-    size = codes[np.arange(int(sizes.sum())) + np.repeat(4 * before - first, sizes)]
-    start = np.cumsum(size) - size + np.repeat(begins + quads - (np.cumsum(data_sizes) - data_sizes), sizes)
-    out = raw[start].astype(np.uint32)
-    for k in (1, 2, 3):
-        more = np.flatnonzero(size > k)
-        if not len(more):
-            break
-        out[more] |= raw[start[more] + k].astype(np.uint32) << np.uint32(8 * k)
-    return out
+    ends = np.cumsum(quads + data_sizes)
+    is_data = np.ones(len(raw), bool)
+    is_data[_ranges(ends - quads - data_sizes, quads)] = False
+    codes = _CODES[raw[~is_data]].reshape(-1)
+    pads = 4 * quads - sizes
+    own = np.ones(len(codes), bool)
+    own[_ranges(4 * np.cumsum(quads) - pads, pads)] = False
+    code = codes[own]
+    most = int(code.max(initial=0))
+    width = most + 1 if most < 2 else 4
+    out = np.zeros((len(code), width), np.uint8)
+    kept = np.ones((len(code), width), bool)
+    for k in range(1, width):
+        np.greater_equal(code, k, out=kept[:, k])
+    out[kept] = raw[is_data]
+    return out.reshape(-1).view(f"<u{width}").astype(np.uint32)
 
 
 def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
